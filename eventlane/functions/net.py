@@ -8,8 +8,9 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from eventlane.functions.text import UNICODE_SPACE, ascii_lower, ws_trim
+from eventlane.functions.text import ascii_lower, ws_trim
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 IPV4 = rf"\A{_OCTET}(?:\.{_OCTET}){{3}}\z"
@@ -29,8 +30,8 @@ def ipv4_number(text: Column) -> Column:
     return F.when(is_ipv4(text), number)
 
 
-def _canonical(text: str) -> str | None:
-    if "%" in text:
+def _canonical(text: str | None) -> str | None:
+    if text is None or "%" in text:
         return None
     try:
         return str(ipaddress.ip_address(text))
@@ -38,7 +39,7 @@ def _canonical(text: str) -> str | None:
         return None
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _canonical_ipv6(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
         yield pa.array([None if t is None else _canonical(t) for t in batch.to_pylist()], pa.string())
@@ -65,7 +66,7 @@ def in_cidrs(address: Column, cidrs: Sequence[str]) -> Column:
     hit = F.coalesce(hit, F.lit(False))
     if six:
 
-        @F.arrow_udf("boolean")
+        @F.arrow_udf(T.BooleanType())
         def six_hit(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             def inside(text):
                 if text is None:
@@ -90,7 +91,7 @@ def _first_ip(candidates: Column, ipv6: bool) -> Column:
     return F.try_element_at(F.filter(candidates, is_ipv4), F.lit(1))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _first_parseable(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
         out = []
@@ -146,4 +147,4 @@ def resolve_client_ip(
     return F.when(trusted, F.coalesce(*found, peer_col)).otherwise(peer_col)
 
 
-__all__ = ["UNICODE_SPACE", "canonical_ip", "in_cidrs", "ipv4_number", "resolve_client_ip"]
+__all__ = ["canonical_ip", "in_cidrs", "ipv4_number", "resolve_client_ip"]

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlane.functions.text import blank_to_null, ws_trim
@@ -66,25 +67,34 @@ def value_type(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
+def string_of(value: Column) -> Column:
+    """Text of a JSON string value, null for any other kind."""
+    return F.when(value_type(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
+def strings_at(payload: Column | str, paths: Sequence[tuple[str, ...]]) -> Column:
+    """Array of the string values at several paths, null where not a string."""
+    return F.transform(tokens_at(payload, paths), string_of)
+
+
 def string_at(payload: Column | str, *segments: str) -> Column:
-    """Text of a JSON string, null for any other kind of value."""
-    value = at(payload, *segments)
-    return F.when(
-        value_type(value) == "STRING", F.try_variant_get(value, "$", "string")
-    )
+    return strings_at(payload, [segments])[0]
 
 
-def payload_token(payload: Column | str, *segments: str) -> Column:
-    """Trimmed non-blank string, or an integer as decimal text; else null.
+TOKEN = "struct<text:string,is_string:boolean>"
+
+
+def token_of(value: Column) -> Column:
+    """(text, is_string) of a VARIANT value, null unless it is a token.
 
-    Integers are those of 64 bits, signed or unsigned. ``1.0`` is typed as a
-    decimal of scale 0 too, so decimals count only above the signed range.
+    A token is a non-blank string, trimmed, or an integer of 64 bits, signed
+    or unsigned, as decimal text. ``1.0`` is typed as a decimal of scale 0
+    too, so decimals count only above the signed range.
     """
-    value = at(payload, *segments)
     kind = value_type(value)
-    number = F.try_variant_get(value, "$", "decimal(20,0)")
     text = F.try_variant_get(value, "$", "string")
-    return (
+    number = F.try_variant_get(value, "$", "decimal(20,0)")
+    token = (
         F.when(kind == "STRING", blank_to_null(text))
         .when(kind == "BIGINT", text)
         .when(
@@ -94,6 +104,35 @@ def payload_token(payload: Column | str, *segments: str) -> Column:
             number.cast("string"),
         )
     )
+    return F.when(token.isNotNull(), F.struct(token.alias("text"), (kind == "STRING").alias("is_string")))
+
+
+def tokens_at(payload: Column | str, paths: Sequence[tuple[str, ...]]) -> Column:
+    """Values at several paths as VARIANTs, for one pass of :func:`as_tokens`."""
+    return F.array(*(at(payload, *path) for path in paths))
+
+
+def as_tokens(values: Column) -> Column:
+    """Tokens of an array of values. The lambda states the rule once, which
+    keeps the generated code small whatever the number of paths."""
+    return F.transform(values, token_of)
+
+
+def payload_token(payload: Column | str, *segments: str) -> Column:
+    """Token text at one path."""
+    return as_tokens(tokens_at(payload, [segments]))[0]["text"]
+
+
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a generator.
+
+    Catalyst copies the definition of a plain column into every filter and
+    projection above it; a JSON parse would then run once per use. It does not
+    do so across a generator, so each column here is computed once per row.
+    """
+    names = set(columns)
+    kept = [c for c in df.columns if c not in names]
+    return df.select(*kept, F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
 def pointer_segments(pointer: str) -> list[str]:
@@ -108,47 +147,36 @@ def pointer_exists(payload: Column | str, pointer: str) -> Column:
 
     A numeric token is an index in an array and a key in an object.
     """
-    current = _col(payload)
+    readings = ["$"]
     for segment in pointer_segments(pointer):
-        as_key = F.try_variant_get(current, json_path([segment]), "variant")
+        step = [json_path([segment])[1:]]
         if re.fullmatch(r"0|[1-9][0-9]{0,8}", segment):
-            as_index = F.try_variant_get(current, f"$[{segment}]", "variant")
-            current = F.coalesce(as_key, as_index)
-        else:
-            current = as_key
-    return current.isNotNull()
+            step.append(f"[{segment}]")
+        readings = [path + one for path in readings for one in step]
+    if len(readings) > 64:
+        raise ValueError("too many numeric tokens in the pointer")
+    found = F.lit(False)
+    for path in readings:
+        found = found | F.try_variant_get(_col(payload), path, "variant").isNotNull()
+    return found
 
 
-def integer_at(payload: Column | str, *segments: str) -> Column:
-    """BIGINT from a JSON integer or from a string holding exactly an integer."""
-    value = at(payload, *segments)
+def integer_of(value: Column) -> Column:
     kind = value_type(value)
     text = F.try_variant_get(value, "$", "string")
-    return F.when(kind == "BIGINT", F.try_variant_get(value, "$", "bigint")).when(
-        (kind == "STRING") & F.regexp_like(text, F.lit(r"\A[+-]?[0-9]+\z")), text.try_cast("bigint")
-    )
+    exact = (kind == "BIGINT") | ((kind == "STRING") & F.regexp_like(text, F.lit(r"\A[+-]?[0-9]+\z")))
+    return F.when(exact, text.try_cast("bigint"))
 
 
-def optional_string(payload: Column, key: str) -> tuple[Column, Column]:
-    """(text or null, is well typed) of an optional string field."""
-    value = at(payload, key)
+def integer_at(payload: Column | str, *segments: str) -> Column:
+    """BIGINT from a JSON integer or from a string holding exactly an integer."""
+    return F.transform(tokens_at(payload, [segments]), integer_of)[0]
+
+
+def optional_string(value: Column) -> Column:
+    """(text, fits) of an optional string: absent and JSON null fit as null."""
     kind = value_type(value)
-    fits = value.isNull() | kind.isin("STRING", "VOID")
-    return F.when(kind == "STRING", F.try_variant_get(value, "$", "string")), fits
-
-
-__all__ = [
-    "at",
-    "body_text",
-    "integer_at",
-    "is_object_text",
-    "json_path",
-    "optional_string",
-    "parse_json",
-    "payload_token",
-    "pointer_exists",
-    "pointer_segments",
-    "string_at",
-    "value_type",
-    "ws_trim",
-]
+    return F.struct(
+        string_of(value).alias("text"),
+        (value.isNull() | F.coalesce(kind.isin("STRING", "VOID"), F.lit(False))).alias("fits"),
+    )

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 # Unicode White_Space spelled out, so that no slow (?U) flag is needed.
 UNICODE_SPACE = r"[\s\x{85}\p{Z}]"
-_EDGE_SPACE = rf"\A{UNICODE_SPACE}+|{UNICODE_SPACE}+\z"
+SPACE_CHARS = "".join(
+    chr(c)
+    for c in (*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+)
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -20,7 +23,7 @@ def _col(value: Column | str) -> Column:
 
 def ws_trim(value: Column | str) -> Column:
     """Strip Unicode white space at both ends (``trim`` strips spaces only)."""
-    return F.regexp_replace(_col(value), _EDGE_SPACE, "")
+    return F.trim(_col(value), F.lit(SPACE_CHARS))
 
 
 def ascii_lower(value: Column | str) -> Column:
@@ -28,6 +31,11 @@ def ascii_lower(value: Column | str) -> Column:
     return F.translate(_col(value), _UPPER, _LOWER)
 
 
+def without_spaces(value: Column | str) -> Column:
+    """Drop all Unicode white space."""
+    return F.translate(_col(value), SPACE_CHARS, "")
+
+
 def ascii_upper(value: Column | str) -> Column:
     return F.translate(_col(value), _LOWER, _UPPER)
 

@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlane.functions.payload import at, body_text, optional_string, parse_json, value_type
+from eventlane.functions.payload import (
+    at,
+    body_text,
+    computed_once,
+    optional_string,
+    parse_json,
+    strings_at,
+    tokens_at,
+    value_type,
+)
 
 RFC3339 = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
@@ -99,41 +108,52 @@ def encode_dlq(failed_at: Column, error: Column, envelope: Column) -> Column:
     )
 
 
-def envelope_from(doc: Column) -> tuple[Column, Column]:
-    """(envelope struct, is valid) from a parsed document.
+_TEXTS = ("id", "source", "event_type", "received_at")
+_META_TEXTS = ("trace_id", "ingress_adapter", "route_key")
+
+
+def envelope_from(doc: Column) -> Column:
+    """Envelope struct of a parsed document, null when it is not one.
 
     Required fields are strict, extra fields are ignored, ``payload`` may be
-    JSON null but must be there.
+    JSON null but must be there. ``flags`` may be absent but not null.
     """
-    texts = {name: at(doc, name) for name in ("id", "source", "event_type", "received_at")}
-    valid = at(doc, "payload").isNotNull()
-    for value in texts.values():
-        valid = valid & F.coalesce(value_type(value) == "STRING", F.lit(False))
-    meta = at(doc, "meta")
-    meta_kind = F.coalesce(value_type(meta), F.lit("VOID"))
-    has_meta = meta_kind.startswith("OBJECT")
-    fields, fits = {}, F.lit(True)
-    for name in ("trace_id", "ingress_adapter", "route_key"):
-        fields[name], ok = optional_string(meta, name)
-        fits = fits & ok
-    flags = at(meta, "flags")
-    flag_list = F.try_variant_get(flags, "$", "array<string>")
-    flags_ok = flags.isNull() | F.coalesce(value_type(flags).isin("ARRAY<STRING>", "ARRAY<VOID>"), F.lit(False))
-    empty_list = F.coalesce(F.size(flag_list), F.lit(0)) <= 0
-    flags_ok = flags_ok & (flags.isNull() | empty_list | (value_type(flags) == "ARRAY<STRING>"))
-    valid = valid & ((meta_kind == "VOID") | (has_meta & fits & flags_ok))
+    texts = strings_at(doc, [(name,) for name in _TEXTS])
+    payload, meta = at(doc, "payload"), at(doc, "meta")
+    options = F.transform(tokens_at(doc, [("meta", name) for name in _META_TEXTS]), optional_string)
+    flags = at(doc, "meta", "flags")
+    flag_items = F.try_variant_get(flags, "$", "array<variant>")
+    flags_fit = flags.isNull() | F.coalesce(
+        F.forall(flag_items, lambda item: F.coalesce(value_type(item) == "STRING", F.lit(False))), F.lit(False)
+    )
+    has_meta = meta.isNotNull() & ~F.coalesce(value_type(meta) == "VOID", F.lit(False))
+    # Casting to a map of values is null for anything but an object.
+    meta_fits = (
+        F.try_variant_get(meta, "$", "map<string,variant>").isNotNull()
+        & F.forall(options, lambda o: o["fits"])
+        & flags_fit
+    )
+    valid = payload.isNotNull() & F.forall(texts, lambda t: t.isNotNull()) & (~has_meta | meta_fits)
     struct = F.struct(
-        *(F.try_variant_get(value, "$", "string").alias(name) for name, value in texts.items()),
-        at(doc, "payload").alias("payload"),
+        *(texts[i].alias(name) for i, name in enumerate(_TEXTS)),
+        payload.alias("payload"),
         F.when(
             has_meta,
             F.struct(
-                *(column.alias(name) for name, column in fields.items()),
-                F.coalesce(flag_list, F.array().cast("array<string>")).alias("flags"),
+                *(options[i]["text"].alias(name) for i, name in enumerate(_META_TEXTS)),
+                F.coalesce(F.try_variant_get(flags, "$", "array<string>"), F.array().cast("array<string>")).alias("flags"),
             ),
         ).alias("meta"),
     )
-    return F.when(valid, struct), F.coalesce(valid, F.lit(False))
+    return F.when(valid, struct)
+
+
+def _problem(value: str, decoded: Column, kind: str) -> Column:
+    return (
+        F.when(F.col(value).isNull(), F.lit("missing payload"))
+        .when(F.col("_doc").isNull(), F.lit("invalid json"))
+        .when(decoded.isNull(), F.lit(kind))
+    )
 
 
 def decode_envelope(df: DataFrame, value: str = "value") -> DataFrame:
@@ -141,18 +161,25 @@ def decode_envelope(df: DataFrame, value: str = "value") -> DataFrame:
 
     Split with :func:`good` and :func:`bad`, so that undecodable rows are kept.
     """
-    parsed = df.withColumn("_doc", parse_json(body_text(value)))
-    envelope, valid = envelope_from(F.col("_doc"))
-    return (
-        parsed.withColumn("envelope", envelope)
-        .withColumn(
-            "decode_error",
-            F.when(F.col(value).isNull(), F.lit("missing payload"))
-            .when(F.col("_doc").isNull(), F.lit("invalid json"))
-            .when(F.col("envelope").isNull(), F.lit("invalid envelope")),
-        )
-        .drop("_doc")
+    parsed = computed_once(df, _doc=parse_json(body_text(value)))
+    decoded = computed_once(parsed, envelope=envelope_from(F.col("_doc")))
+    return computed_once(decoded, decode_error=_problem(value, F.col("envelope"), "invalid envelope")).drop("_doc")
+
+
+def decode_dlq(df: DataFrame, value: str = "value") -> DataFrame:
+    """Add ``failed_at``, ``error``, ``envelope`` and ``decode_error`` of dead letters."""
+    parsed = computed_once(df, _doc=parse_json(body_text(value)))
+    outer = strings_at("_doc", [("failed_at",), ("error",)])
+    decoded = computed_once(parsed, _outer=outer, _inner=envelope_from(at("_doc", "envelope")))
+    typed = F.forall("_outer", lambda t: t.isNotNull())
+    named = decoded.select(
+        "*",
+        F.col("_outer")[0].alias("failed_at"),
+        F.col("_outer")[1].alias("error"),
+        F.when(typed, F.col("_inner")).alias("envelope"),
     )
+    problem = _problem(value, F.col("envelope"), "invalid dead letter")
+    return computed_once(named, decode_error=problem).drop("_doc", "_outer", "_inner")
 
 
 def good(decoded: DataFrame) -> DataFrame:
@@ -161,24 +188,3 @@ def good(decoded: DataFrame) -> DataFrame:
 
 def bad(decoded: DataFrame) -> DataFrame:
     return decoded.filter(F.col("decode_error").isNotNull()).drop("envelope")
-
-
-def decode_dlq(df: DataFrame, value: str = "value") -> DataFrame:
-    """Add ``failed_at``, ``error``, ``envelope`` and ``decode_error`` of dead letters."""
-    parsed = df.withColumn("_doc", parse_json(body_text(value)))
-    failed_at = at("_doc", "failed_at")
-    error = at("_doc", "error")
-    envelope, valid = envelope_from(at("_doc", "envelope"))
-    typed = F.coalesce((value_type(failed_at) == "STRING") & (value_type(error) == "STRING"), F.lit(False))
-    return (
-        parsed.withColumn("failed_at", F.try_variant_get(failed_at, "$", "string"))
-        .withColumn("error", F.try_variant_get(error, "$", "string"))
-        .withColumn("envelope", F.when(typed, envelope))
-        .withColumn(
-            "decode_error",
-            F.when(F.col(value).isNull(), F.lit("missing payload"))
-            .when(F.col("_doc").isNull(), F.lit("invalid json"))
-            .when(F.col("envelope").isNull(), F.lit("invalid dead letter")),
-        )
-        .drop("_doc")
-    )

@@ -13,7 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlane.functions.injection import flagged_leaves, sanitized_text
-from eventlane.functions.payload import body_text, is_object_text, parse_json, pointer_exists, string_at
+from eventlane.functions.payload import (
+    as_tokens,
+    body_text,
+    computed_once,
+    is_object_text,
+    parse_json,
+    pointer_exists,
+    string_at,
+    tokens_at,
+)
 from eventlane.functions.signing import adapter_token_ok
 from eventlane.functions.text import normalize_source
 from eventlane.sources.specs import RequestView, SourceSpec, by_source, outside_window
@@ -151,6 +160,7 @@ def request_view() -> RequestView:
         headers=F.col("headers"),
         body=F.col("body"),
         payload=F.col("payload"),
+        tokens=F.col("_tokens"),
         received_epoch=F.col("received_epoch"),
         ipad=F.col("secret_ipad"),
         opad=F.col("secret_opad"),
@@ -176,21 +186,27 @@ def payload_failures(view: RequestView, specs: Sequence[SourceSpec]) -> list[Col
 
 
 def with_payload(df: DataFrame) -> DataFrame:
-    """Add ``body_text`` and the parsed ``payload`` once, for all later reads."""
-    return df.withColumn("body_text", body_text("body")).withColumn("payload", parse_json("body_text"))
+    """Add ``body_text`` and ``payload``: each body is decoded and parsed once."""
+    text = body_text("body")
+    return computed_once(df, body_text=text, payload=parse_json(text))
 
 
 def with_keys(df: DataFrame, specs: Sequence[SourceSpec]) -> DataFrame:
-    """Add ``event_type``, ``dedup_key`` and ``cooldown_key`` of each request."""
-    view = request_view()
+    """Add ``event_type``, ``dedup_key`` and ``cooldown_key`` of each request.
+
+    Only the paths of the row's own source are read.
+    """
     source = F.col("source")
-    return df.withColumns(
-        {
-            "event_type": by_source(source, specs, lambda s: s.event_type(view)),
-            "dedup_key": by_source(source, specs, lambda s: s.dedup_key(view)),
-            "cooldown_key": by_source(source, specs, lambda s: s.cooldown_key(view)),
-        }
+    values = by_source(source, specs, lambda s: tokens_at("payload", s.paths))
+    df = computed_once(df, _tokens=as_tokens(values))
+    view = request_view()
+    keys = computed_once(
+        df,
+        event_type=by_source(source, specs, lambda s: s.event_type(s, view)),
+        dedup_key=by_source(source, specs, lambda s: s.dedup_key(view)),
+        cooldown_key=by_source(source, specs, lambda s: s.cooldown_key(s, view)),
     )
+    return keys.drop("_tokens")
 
 
 def key_failures(specs: Sequence[SourceSpec]) -> list[Column]:
@@ -211,6 +227,6 @@ def sanitize_payload(df: DataFrame, text: str = "body_text") -> DataFrame:
 
     Nothing is removed. Adds ``flagged`` and replaces ``payload``.
     """
-    flagged = df.withColumn("flagged", flagged_leaves(F.col(text)))
+    flagged = computed_once(df.withColumn("_flagged", flagged_leaves(F.col(text))), flagged=F.col("_flagged")).drop("_flagged")
     spliced = sanitized_text(F.col(text), F.col("flagged"))
     return flagged.withColumn("payload", F.parse_json(spliced))

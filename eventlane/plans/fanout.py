@@ -85,9 +85,8 @@ def send_all(deliveries: DataFrame, config: FanoutConfig) -> DataFrame:
     return out
 
 
-def step_results(deliveries: DataFrame, attempts: DataFrame, config: FanoutConfig) -> DataFrame:
+def step_results(deliveries: DataFrame, attempts: DataFrame) -> DataFrame:
     """(id, step, route_id, adapter_id, required, failed, error) of every planned step."""
-    limits = F.create_map(*(F.lit(x) for a in config.adapters for x in (a.id, a.policy.max_retries)))
     outcomes = delivery.attempt_outcome(attempts, max_retries=1).select(
         F.col("id").alias("o_id"), F.col("step").alias("o_step"), "attempts", "outcome", F.col("error").alias("send_error")
     )
@@ -95,7 +94,7 @@ def step_results(deliveries: DataFrame, attempts: DataFrame, config: FanoutConfi
         outcomes, (F.col("id") == F.col("o_id")) & (F.col("step") == F.col("o_step")), "left"
     )
     error = F.coalesce(F.col("plugin_error"), F.col("send_error"), F.when(F.col("o_id").isNull(), F.lit("not attempted")))
-    return joined.withColumn("attempt_limit", limits[F.col("adapter_id")]).select(
+    return joined.select(
         "id", "step", "route_id", "adapter_id", "required",
         (F.coalesce(F.col("outcome"), F.lit("none")) != "success").alias("failed"),
         error.alias("error"),
@@ -122,7 +121,7 @@ def process_batch(
     path = f"{attempts_path}/batch_id={batch_id}"
     send_all(planned.deliveries, config).write.mode("overwrite").parquet(path)
     attempts = spark.read.parquet(path)
-    settled = delivery.settle(step_results(planned.deliveries, attempts, config))
+    settled = delivery.settle(step_results(planned.deliveries, attempts))
     failed_at = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     dead = delivery.dead_letters(planned.events, settled, failed_at)
     if config.no_output.allow and config.no_output.sink == "dlq":

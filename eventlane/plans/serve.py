@@ -18,13 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlane.functions.net import resolve_client_ip
-from eventlane.functions.payload import is_object_text
+from eventlane.functions.payload import computed_once, is_object_text
 from eventlane.functions.signing import secrets_table
 from eventlane.functions.text import normalize_source
 from eventlane.operators import folds, gates
 from eventlane.operators.envelopes import build_envelope, build_meta, uuid_text
 from eventlane.operators.plugins import Plugin, run_plugins
 from eventlane.operators.routing import ServeRoute, route_serve
+from eventlane.session import staged
 from eventlane.sources.specs import BUILT_IN, SourceSpec, source_topic
 from eventlane.sources.writers import to_records
 
@@ -82,14 +83,14 @@ def examine(requests: DataFrame, config: ServeConfig, checked: bool = True) -> D
         *gates.payload_failures(view, specs),
         *gates.key_failures(specs),
     )
-    df = df.withColumn("middle", F.when(F.col("early").isNull(), middle))
+    df = computed_once(df, middle=F.when(F.col("early").isNull(), middle))
     return _with_route(df, config).drop("secret_source", "secret_ipad", "secret_opad", "secret_token")
 
 
 def _with_route(df: DataFrame, config: ServeConfig) -> DataFrame:
     plugged = run_plugins(config.plugins, F.col("event_type"), F.col("payload"))
     missing = F.concat(F.lit("payload missing required field '"), plugged.missing_pointer, F.lit("'"))
-    df = df.withColumns({"event_type": plugged.event_type, "flags": plugged.flags, "_missing": missing})
+    df = computed_once(df, event_type=plugged.event_type, flags=plugged.flags, _missing=missing)
     df = route_serve(df, config.routes, source_topic(F.col("source"), config.source_topics, config.topic_prefix))
     unrouted = F.col("route_key").isNull() if config.routes else F.lit(False)
     late = F.coalesce(
@@ -111,7 +112,7 @@ def decide(requests: DataFrame, config: ServeConfig) -> DataFrame:
         client = resolve_client_ip("peer_ip", "headers", config.trust_proxy_headers, config.trusted_cidrs)
         df = df.withColumn("client_ip", client).withColumn("received_ms", F.unix_millis("received_at"))
         extra = ["client_ip", "received_ms"]
-    narrow = df.select(*NARROW, *extra)
+    narrow = staged(df.select(*NARROW, *extra), "requests")
     blocked = F.col("early")
     if config.ip_limit_per_minute is not None:
         narrow = folds.rate_limit_ip(narrow, config.ip_limit_per_minute)

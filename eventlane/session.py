@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import sys
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,14 +18,36 @@ REQUIRED_CONF = {
 }
 
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the required runtime settings to ``spark`` and return it."""
+_shipped: set[tuple[str, str]] = set()
+
+
+def prepare(spark: SparkSession, *packages: str) -> SparkSession:
+    """Apply the required settings and make the packages importable in tasks."""
     for key, value in REQUIRED_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    for package in ("eventlane", *packages):
+        ship(spark, package)
     return spark
 
 
+def ship(spark: SparkSession, package: str) -> None:
+    """Send a package to the executors as a zip, once per application."""
+    mark = (spark.sparkContext.applicationId, package)
+    if mark in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(sys.modules[package].__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="run-"), f"{package}.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for folder, _, files in os.walk(root):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.join(package, os.path.relpath(full, root)))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(mark)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Folder for reliable checkpoints.
 
@@ -36,9 +62,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliably checkpoint ``df`` so that lost executors only re-read files."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(checkpoint_dir(df.sparkSession))
-    return df.checkpoint(eager)
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a table in the shared checkpoint folder and read it back.
+
+    For a narrow result that several later steps read: it is computed once,
+    the steps read only the columns they need, and a lost executor costs a
+    re-read instead of a recomputation.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores when the input has fewer splits than that.
+
+    A large table has many splits and is returned as it is. A small one that
+    sits in a single file would be parsed by a single task.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df

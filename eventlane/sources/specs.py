@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from eventlane.functions.payload import integer_at, payload_token, string_at
+from eventlane.functions.payload import integer_at
 from eventlane.functions.signing import hmac_sha256_hex, normalize_signature
 from eventlane.functions.text import ascii_lower, blank_to_null, header_value
 
@@ -32,6 +32,7 @@ class RequestView:
     headers: Column
     body: Column
     payload: Column
+    tokens: Column
     received_epoch: Column
     ipad: Column
     opad: Column
@@ -44,30 +45,36 @@ class SourceSpec:
 
     name: str
     auth: Callable[[RequestView], Sequence[Failure]]
-    event_type: Callable[[RequestView], Column]
+    event_type: Callable[[SourceSpec, RequestView], Column]
     missing_event_type: str
     delivery_id: Callable[[RequestView], Column]
     missing_delivery: str
-    entity_id: Callable[[RequestView], Column]
-    cooldown_key: Callable[[RequestView], Column]
+    entity_id: Callable[[SourceSpec, RequestView], Column]
+    cooldown_key: Callable[[SourceSpec, RequestView], Column]
+    paths: tuple[tuple[str, ...], ...]
     payload_check: Callable[[RequestView], Sequence[Failure]] = field(default=lambda _view: ())
 
     def __post_init__(self) -> None:
         if self.name != self.name.strip().lower() or not self.name:
             raise ValueError(f"source name {self.name!r} must be trimmed lower case")
 
+    def token(self, view: RequestView, *paths: tuple[str, ...]) -> Column:
+        """First token found at the given paths, which must be listed in ``paths``."""
+        return F.coalesce(*(view.tokens[self.paths.index(path)]["text"] for path in paths))
+
+    def string(self, view: RequestView, path: tuple[str, ...]) -> Column:
+        """Same for one path, strings only."""
+        token = view.tokens[self.paths.index(path)]
+        return F.when(token["is_string"], token["text"])
+
     def dedup_key(self, view: RequestView) -> Column:
         """``source:delivery:action:entity``; null when the delivery id is missing."""
-        action = F.coalesce(payload_token(view.payload, "action"), F.lit("unknown"))
+        action = F.coalesce(self.token(view, ("action",)), F.lit("unknown"))
         return F.concat(
-            F.lit(f"{self.name}:"), self.delivery_id(view), F.lit(":"), action, F.lit(":"), self.entity_id(view)
+            F.lit(f"{self.name}:"), self.delivery_id(view), F.lit(":"), action, F.lit(":"), self.entity_id(self, view)
         )
 
 
-def _first_token(view: RequestView, *paths: tuple[str, ...]) -> Column:
-    return F.coalesce(*(payload_token(view.payload, *path) for path in paths))
-
-
 def _hmac_auth(source: str, header: str) -> Callable[[RequestView], list[Failure]]:
     def build(view: RequestView) -> list[Failure]:
         given = header_value(view.headers, header)
@@ -97,25 +104,30 @@ EXAMPLE_ENTITY = (*EXAMPLE_COOLDOWN_ENTITY, ("resource", "id"))
 EXAMPLE_SCOPE = (("scope",), ("tenant",), ("project", "id"))
 
 
-def _github_event_type(view: RequestView) -> Column:
+GITHUB_PATHS = (("action",), ("repository", "full_name"), *GITHUB_ENTITY)
+LINEAR_PATHS = (("action",), ("type",), ("data", "team", "key"), *LINEAR_ENTITY)
+EXAMPLE_PATHS = (("action",), ("event_type",), ("type",), *EXAMPLE_SCOPE, *EXAMPLE_ENTITY)
+
+
+def _github_event_type(spec: SourceSpec, view: RequestView) -> Column:
     event = header_value(view.headers, "x-github-event")
-    action = blank_to_null(string_at(view.payload, "action"))
-    return F.when(event.isNotNull(), _dotted(event, action))
+    return F.when(event.isNotNull(), _dotted(event, spec.string(view, ("action",))))
 
 
-def _github_cooldown(view: RequestView) -> Column:
-    repo = F.replace(payload_token(view.payload, "repository", "full_name"), F.lit("/"), F.lit("-"))
-    return F.concat(F.lit("cooldown-github-"), repo, F.lit("-"), _first_token(view, *GITHUB_COOLDOWN_ENTITY))
+def _github_cooldown(spec: SourceSpec, view: RequestView) -> Column:
+    repo = F.replace(spec.token(view, ("repository", "full_name")), F.lit("/"), F.lit("-"))
+    return F.concat(F.lit("cooldown-github-"), repo, F.lit("-"), spec.token(view, *GITHUB_COOLDOWN_ENTITY))
 
 
 GITHUB = SourceSpec(
     name="github",
+    paths=GITHUB_PATHS,
     auth=_hmac_auth("github", "x-hub-signature-256"),
     event_type=_github_event_type,
     missing_event_type="missing X-GitHub-Event",
     delivery_id=lambda view: header_value(view.headers, "x-github-delivery"),
     missing_delivery="missing X-GitHub-Delivery",
-    entity_id=lambda view: F.coalesce(_first_token(view, *GITHUB_ENTITY), F.lit("unknown")),
+    entity_id=lambda spec, view: F.coalesce(spec.token(view, *GITHUB_ENTITY), F.lit("unknown")),
     cooldown_key=_github_cooldown,
 )
 
@@ -137,11 +149,9 @@ def outside_window(payload: Column, received_epoch: Column, window_seconds: int)
     return F.coalesce(distance > window_seconds, F.lit(True))
 
 
-def _linear_event_type(view: RequestView) -> Column:
-    kind = F.coalesce(
-        blank_to_null(string_at(view.payload, "type")), header_value(view.headers, "linear-event")
-    )
-    action = blank_to_null(string_at(view.payload, "action"))
+def _linear_event_type(spec: SourceSpec, view: RequestView) -> Column:
+    kind = F.coalesce(spec.string(view, ("type",)), header_value(view.headers, "linear-event"))
+    action = spec.string(view, ("action",))
     return F.when(kind.isNotNull(), _dotted(ascii_lower(kind), ascii_lower(action)))
 
 
@@ -159,18 +169,19 @@ def linear_source(window_seconds: int = 60, enforce_window: bool = True) -> Sour
 
     return SourceSpec(
         name="linear",
+        paths=LINEAR_PATHS,
         auth=_hmac_auth("linear", "linear-signature"),
         payload_check=window_check,
         event_type=_linear_event_type,
         missing_event_type="missing linear type",
         delivery_id=lambda view: header_value(view.headers, "linear-delivery"),
         missing_delivery="missing Linear-Delivery",
-        entity_id=lambda view: F.coalesce(_first_token(view, *LINEAR_ENTITY), F.lit("unknown")),
-        cooldown_key=lambda view: F.concat(
+        entity_id=lambda spec, view: F.coalesce(spec.token(view, *LINEAR_ENTITY), F.lit("unknown")),
+        cooldown_key=lambda spec, view: F.concat(
             F.lit("cooldown-linear-"),
-            payload_token(view.payload, "data", "team", "key"),
+            spec.token(view, ("data", "team", "key")),
             F.lit("-"),
-            _first_token(view, *LINEAR_COOLDOWN_ENTITY),
+            spec.token(view, *LINEAR_COOLDOWN_ENTITY),
         ),
     )
 
@@ -190,29 +201,28 @@ def _example_auth(view: RequestView) -> list[Failure]:
     ]
 
 
-def _example_event_type(view: RequestView) -> Column:
+def _example_event_type(spec: SourceSpec, view: RequestView) -> Column:
     event = F.coalesce(
-        header_value(view.headers, "x-example-event"),
-        payload_token(view.payload, "event_type"),
-        payload_token(view.payload, "type"),
+        header_value(view.headers, "x-example-event"), spec.token(view, ("event_type",), ("type",))
     )
-    action = payload_token(view.payload, "action")
+    action = spec.token(view, ("action",))
     return F.when(event.isNotNull(), _dotted(ascii_lower(event), ascii_lower(action)))
 
 
 EXAMPLE = SourceSpec(
     name="example",
+    paths=EXAMPLE_PATHS,
     auth=_example_auth,
     event_type=_example_event_type,
     missing_event_type="missing example event",
     delivery_id=lambda view: header_value(view.headers, "x-example-delivery"),
     missing_delivery="missing X-Example-Delivery",
-    entity_id=lambda view: F.coalesce(_first_token(view, *EXAMPLE_ENTITY), F.lit("unknown")),
-    cooldown_key=lambda view: F.concat(
+    entity_id=lambda spec, view: F.coalesce(spec.token(view, *EXAMPLE_ENTITY), F.lit("unknown")),
+    cooldown_key=lambda spec, view: F.concat(
         F.lit("cooldown-example-"),
-        _first_token(view, *EXAMPLE_SCOPE),
+        spec.token(view, *EXAMPLE_SCOPE),
         F.lit("-"),
-        _first_token(view, *EXAMPLE_COOLDOWN_ENTITY),
+        spec.token(view, *EXAMPLE_COOLDOWN_ENTITY),
     ),
 )
 
