@@ -152,9 +152,17 @@ def envelopes_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per order and line; the given table repeats some line numbers."""
+    items = table(spark, sf_dir, "lineitem")
+    return items.groupBy("l_orderkey", "l_linenumber").agg(
+        F.max("l_partkey").alias("l_partkey"), F.max("l_suppkey").alias("l_suppkey")
+    )
+
+
 def delivery_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Planned steps of each order: required first, failures from line data."""
-    items = table(spark, sf_dir, "lineitem")
+    items = order_items(spark, sf_dir)
     line, part = F.col("l_linenumber"), F.col("l_partkey")
     required = line % 3 != 0
     return items.select(
@@ -170,7 +178,7 @@ def delivery_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attempt rows from line items: the last line of an order is its last attempt."""
-    items = table(spark, sf_dir, "lineitem")
+    items = order_items(spark, sf_dir)
     part = F.col("l_partkey")
     status = F.when(part % 6 == 0, 404).when(part % 6 == 1, 503).when(part % 6 == 2, 429).when(part % 6 == 3, None).otherwise(200)
     return items.select(
