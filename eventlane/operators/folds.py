@@ -20,9 +20,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventlane.functions.text import safe_key
+from eventlane.session import staged
+
 ACCEPT, DUPLICATE, COOLDOWN = "accept", "duplicate", "cooldown"
 
 
@@ -104,37 +107,27 @@ def idempotency_decisions(
     cooldown_key: str = "cooldown_key",
     epoch: str = "received_epoch",
 ) -> DataFrame:
-    """Narrow table of (seq, decision) for every row that is not a duplicate.
+    """Narrow table of (seq, accept | cooldown) for the keyed rows that are not duplicates.
 
-    Dedup runs on all rows, cooldown on its survivors. A row whose dedup key is
-    blank skips both. Duplicates are the rows left out, which keeps the table
-    small to join.
+    Dedup runs on all rows with a dedup key, cooldown on its survivors. The
+    survivors feed both the second fold and the result, so they are staged
+    once. Rows left out are duplicates, or have a blank dedup key.
     """
-    narrow = df.select(
-        "seq",
+    keyed = df.filter(_keyed(F.col(dedup_key))).select(
+        F.col(dedup_key).alias("fold_key"),
         F.col(epoch).alias("fold_time"),
-        F.col(dedup_key).alias("dk"),
+        "seq",
         F.coalesce(F.col(cooldown_key), F.lit("")).alias("ck"),
     )
-    free = narrow.filter(~_keyed(F.col("dk"))).select("seq", F.lit(ACCEPT).alias("decision"))
-    keyed = narrow.filter(_keyed(F.col("dk"))).select(F.col("dk").alias("fold_key"), "fold_time", "seq", "ck")
-    survivors = ttl_accepted(keyed, dedup_ttl_seconds, carry="ck")
-    decided = cooldown_decisions(survivors.select("seq", "fold_time", F.col("ck").alias("fold_key")), cooldown_seconds)
-    return free.unionByName(decided)
-
-
-def cooldown_decisions(survivors: DataFrame, cooldown_seconds: int) -> DataFrame:
-    """(seq, accept | cooldown) for rows of (seq, fold_time, fold_key)."""
-    idle = survivors.filter(F.col("fold_key") == "").select("seq", F.lit(ACCEPT).alias("decision"))
-    candidates = survivors.filter(F.col("fold_key") != "").select("fold_key", "fold_time", "seq")
-    passed = ttl_accepted(candidates, cooldown_seconds).select(
-        F.col("seq").alias("passed_seq")
+    survivors = staged(
+        ttl_accepted(keyed, dedup_ttl_seconds, carry="ck").select("seq", "fold_time", "ck"), "survivors"
     )
-    judged = candidates.join(passed, F.col("seq") == F.col("passed_seq"), "left").select(
-        "seq",
-        F.when(F.col("passed_seq").isNotNull(), F.lit(ACCEPT)).otherwise(F.lit(COOLDOWN)).alias("decision"),
+    candidates = survivors.filter(F.col("ck") != "").select(F.col("ck").alias("fold_key"), "fold_time", "seq")
+    passed = ttl_accepted(candidates, cooldown_seconds).select(F.col("seq").alias("passed_seq"))
+    free = (F.col("ck") == "") | F.col("passed_seq").isNotNull()
+    return survivors.join(passed, F.col("seq") == F.col("passed_seq"), "left").select(
+        "seq", F.when(free, F.lit(ACCEPT)).otherwise(F.lit(COOLDOWN)).alias("decision")
     )
-    return idle.unionByName(judged)
 
 
 def _label(df: DataFrame, decisions: DataFrame, default: str, out: str) -> DataFrame:
@@ -159,16 +152,15 @@ def dedup_ttl(
 
 
 def idempotency(df: DataFrame, dedup_ttl_seconds: int = 604_800, cooldown_seconds: int = 30, out: str = "decision") -> DataFrame:
-    """Label each row ``accept``, ``duplicate`` or ``cooldown``."""
-    return _label(df, idempotency_decisions(df, dedup_ttl_seconds, cooldown_seconds), DUPLICATE, out)
+    """Label each row ``accept``, ``duplicate`` or ``cooldown``; a blank dedup key is accepted."""
+    labelled = _label(df, idempotency_decisions(df, dedup_ttl_seconds, cooldown_seconds), DUPLICATE, out)
+    return labelled.withColumn(out, F.when(_keyed(F.col("dedup_key")), F.col(out)).otherwise(F.lit(ACCEPT)))
 
 
 def alert_throttle(
     alerts: DataFrame, cooldown_seconds: int = 300, key: str = "event", epoch: str = "epoch"
 ) -> DataFrame:
     """Add ``sent``: false while a sent alert of the same safe event key is younger than the cooldown."""
-    from eventlane.functions.text import safe_key
-
     keyed = alerts.withColumn("throttle_key", safe_key(key))
     rows = keyed.select(F.col("throttle_key").alias("fold_key"), F.col(epoch).alias("fold_time"), "seq")
     passed = ttl_accepted(rows, cooldown_seconds).select(F.col("seq").alias("passed_seq"))
@@ -215,8 +207,6 @@ def rate_limit_source(
 
 def bucket_cutoffs(rows: DataFrame, limit: int) -> DataFrame:
     """(cut_source, cut_bucket, cutoff) of the buckets holding at least ``limit`` rows."""
-    from pyspark.sql import Window
-
     window = Window.partitionBy("cut_source", "cut_bucket").orderBy("at", "seq")
     return (
         rows.withColumn("rn", F.row_number().over(window))
@@ -310,8 +300,6 @@ def rate_limit_ip(
     of one address and millisecond are admitted in ``seq`` order, found by a
     cutoff row as in :func:`rate_limit_source`.
     """
-    from pyspark.sql import Window
-
     if limit_per_minute <= 0:
         raise ValueError("limit_per_minute must be positive")
     base = df.select(F.col(ip).alias("fold_key"), F.col(millis).alias("fold_time"), "seq").filter(

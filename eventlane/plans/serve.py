@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from eventlane.functions.net import resolve_client_ip
 from eventlane.functions.payload import computed_once, is_object_text
 from eventlane.functions.signing import secrets_table
-from eventlane.functions.text import normalize_source
+from eventlane.functions.text import blank_to_null, normalize_source
 from eventlane.operators import folds, gates
 from eventlane.operators.envelopes import build_envelope, build_meta, uuid_text
 from eventlane.operators.plugins import Plugin, run_plugins
@@ -226,8 +226,6 @@ def prevalidated(calls: DataFrame, config: ServeConfig) -> DataFrame:
         }
     )
     df = gates.with_keys(df, specs).drop("secret_ipad", "secret_opad", "secret_token", "headers", "body")
-    from eventlane.functions.text import blank_to_null
-
     df = df.withColumn(
         "event_type", F.when(F.col("override").isNotNull(), blank_to_null("override")).otherwise(F.col("event_type"))
     ).withColumn("body_text", F.to_json("payload"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
 import os
-import sys
 import tempfile
 import uuid
 import zipfile
@@ -36,7 +36,7 @@ def ship(spark: SparkSession, package: str) -> None:
     mark = (spark.sparkContext.applicationId, package)
     if mark in _shipped:
         return
-    root = os.path.dirname(os.path.abspath(sys.modules[package].__file__))
+    root = os.path.dirname(os.path.abspath(importlib.import_module(package).__file__))
     path = os.path.join(tempfile.mkdtemp(prefix="run-"), f"{package}.zip")
     with zipfile.ZipFile(path, "w") as archive:
         for folder, _, files in os.walk(root):
