@@ -81,19 +81,21 @@ def string_at(payload: Column | str, *segments: str) -> Column:
     return strings_at(payload, [segments])[0]
 
 
-TOKEN = "struct<text:string,is_string:boolean>"
+def _typed(value: Column) -> Column:
+    return F.struct(
+        value_type(value).alias("kind"), value.alias("value"), F.try_variant_get(value, "$", "string").alias("text")
+    )
 
 
-def token_of(value: Column) -> Column:
-    """(text, is_string) of a VARIANT value, null unless it is a token.
+def _token(typed: Column) -> Column:
+    """(text, is_string) of a typed value; the text is null unless it is a token.
 
     A token is a non-blank string, trimmed, or an integer of 64 bits, signed
     or unsigned, as decimal text. ``1.0`` is typed as a decimal of scale 0
     too, so decimals count only above the signed range.
     """
-    kind = value_type(value)
-    text = F.try_variant_get(value, "$", "string")
-    number = F.try_variant_get(value, "$", "decimal(20,0)")
+    kind, text = typed["kind"], typed["text"]
+    number = F.try_variant_get(typed["value"], "$", "decimal(20,0)")
     token = (
         F.when(kind == "STRING", blank_to_null(text))
         .when(kind == "BIGINT", text)
@@ -104,7 +106,7 @@ def token_of(value: Column) -> Column:
             number.cast("string"),
         )
     )
-    return F.when(token.isNotNull(), F.struct(token.alias("text"), (kind == "STRING").alias("is_string")))
+    return F.struct(token.alias("text"), (kind == "STRING").alias("is_string"))
 
 
 def tokens_at(payload: Column | str, paths: Sequence[tuple[str, ...]]) -> Column:
@@ -113,9 +115,12 @@ def tokens_at(payload: Column | str, paths: Sequence[tuple[str, ...]]) -> Column
 
 
 def as_tokens(values: Column) -> Column:
-    """Tokens of an array of values. The lambda states the rule once, which
-    keeps the generated code small whatever the number of paths."""
-    return F.transform(values, token_of)
+    """(text, is_string) tokens of an array of values.
+
+    The lambdas state the rule once, which keeps the generated code small
+    whatever the number of paths, and type each value once.
+    """
+    return F.transform(F.transform(values, _typed), _token)
 
 
 def payload_token(payload: Column | str, *segments: str) -> Column:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,15 +42,33 @@ def metrics(events: DataFrame, window: str | None = None, time: str = "received_
     return known.groupBy(*keys).agg(F.count(F.lit(1)).alias("value"))
 
 
-def metric_rows(df: DataFrame, metric: str, **labels: Column) -> DataFrame:
-    """Rows of one metric in the long layout that :func:`metrics` counts."""
-    unknown = set(labels) - set(METRICS[metric])
-    if unknown:
-        raise ValueError(f"{metric} has no labels {sorted(unknown)}")
-    return df.select(
-        F.lit(metric).alias("metric"),
-        *(labels.get(name, F.lit(None)).cast("string").alias(name) for name in LABELS),
-    )
+@dataclass(frozen=True)
+class Count:
+    """One counter a row may feed: the metric, when it does, and its labels."""
+
+    metric: str
+    when: Column
+    labels: Mapping[str, Column]
+
+    def __post_init__(self) -> None:
+        unknown = set(self.labels) - set(METRICS[self.metric])
+        if unknown:
+            raise ValueError(f"{self.metric} has no labels {sorted(unknown)}")
+
+
+def metric_rows(df: DataFrame, *counts: Count) -> DataFrame:
+    """Long metric rows of several counters from one pass over ``df``."""
+    hits = [
+        F.when(
+            count.when,
+            F.struct(
+                F.lit(count.metric).alias("metric"),
+                *(count.labels.get(name, F.lit(None)).cast("string").alias(name) for name in LABELS),
+            ),
+        )
+        for count in counts
+    ]
+    return df.select(F.inline(F.array_compact(F.array(*hits))))
 
 
 def latency_histogram(

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,13 +31,23 @@ from eventlane.operators.folds import (
 DECISION = "seq bigint, fold_key string, at timestamp, accepted boolean"
 
 
-def _sorted(chunks: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    rows = pd.concat(list(chunks), ignore_index=True)
-    return rows.sort_values(["fold_time", "seq"], kind="stable", ignore_index=True)
+def _sorted(chunks: Iterator[pd.DataFrame]) -> tuple[pd.DataFrame, list[int]]:
+    """Rows of one key in (time, seq) order, and their times.
 
+    Most keys bring a single row per micro-batch, so that case is kept cheap.
+    """
+    parts = list(chunks)
+    rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+    if len(rows) > 1:
+        order = np.lexsort((rows["seq"].to_numpy(), rows["fold_time"].to_numpy()))
+        rows = rows.take(order)
+    return rows, rows["fold_time"].tolist()
 
-def _answer(key: tuple, rows: pd.DataFrame, accepted: list[bool]) -> pd.DataFrame:
-    return pd.DataFrame({"seq": rows["seq"], "fold_key": key[0], "at": rows["at"], "accepted": accepted})
+
+def _answer(rows: pd.DataFrame, accepted: list[bool]) -> pd.DataFrame:
+    out = rows[["seq", "fold_key", "at"]].copy(deep=False)
+    out["accepted"] = accepted
+    return out
 
 
 def _arm(state: GroupState, until_ms: int) -> None:
@@ -48,8 +59,7 @@ def _ttl_step(ttl: int):
         if state.hasTimedOut:
             state.remove()
             return
-        rows = _sorted(chunks)
-        times = rows["fold_time"].tolist()
+        rows, times = _sorted(chunks)
         expiry = state.get[0] if state.exists else None
         accepted = [False] * len(times)
         kept, expiry = accepted_positions(times, 0, len(times), expiry, ttl)
@@ -57,7 +67,7 @@ def _ttl_step(ttl: int):
             accepted[i] = True
         state.update((int(expiry),))
         _arm(state, expiry * 1000)
-        yield _answer(key, rows, accepted)
+        yield _answer(rows, accepted)
 
     return step
 
@@ -67,13 +77,13 @@ def _count_step(limit: int, bucket_seconds: int):
         if state.hasTimedOut:
             state.remove()
             return
-        rows = _sorted(chunks)
+        rows, times = _sorted(chunks)
         used = state.get[0] if state.exists else 0
-        accepted = [used + i < limit for i in range(len(rows))]
-        state.update((int(used + len(rows)),))
-        bucket_end = (int(rows["fold_time"].iloc[0]) // bucket_seconds + 1) * bucket_seconds
+        accepted = [used + i < limit for i in range(len(times))]
+        state.update((int(used + len(times)),))
+        bucket_end = (times[0] // bucket_seconds + 1) * bucket_seconds
         _arm(state, bucket_end * 1000)
-        yield _answer(key, rows, accepted)
+        yield _answer(rows, accepted)
 
     return step
 
@@ -85,17 +95,17 @@ def _token_step(limit: int):
         if state.hasTimedOut:
             state.remove()
             return
-        rows = _sorted(chunks)
+        rows, times = _sorted(chunks)
         full_at = state.get[0] if state.exists else None
         accepted = []
-        for now in rows["fold_time"].tolist():
+        for now in times:
             hits, full_at = bucket_admissions([now], [1], 0, 1, full_at, period, limit)
             accepted.append(bool(hits))
         state.update((int(full_at),))
         # An idle bucket holds one request more than a fresh one, so its state is
         # kept for a day past being full rather than dropped at once.
         _arm(state, full_at + 86_400_000)
-        yield _answer(key, rows, accepted)
+        yield _answer(rows, accepted)
 
     return step
 

@@ -331,6 +331,13 @@ ORACLE["prevalidated"] = f"""WITH {LOG}, c AS (SELECT seq, CASE WHEN ok THEN sou
   SELECT seq, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status, reason,
     CASE WHEN reason IS NULL THEN {TOPIC} END AS topic, CASE WHEN reason IS NULL THEN event_type END AS event_type,
     CASE WHEN reason IS NULL THEN 'kafka-in' END AS ingress_adapter FROM v"""
+ORACLE["mcp_calls"] = f"""WITH {LOG}, c AS (SELECT seq, CASE WHEN ok THEN source ELSE 'x' END AS source,
+    octet_length(encode(CASE WHEN ok THEN payload ELSE 'null' END)) > 110 AS big FROM log WHERE ok OR seq % 41 = 2)
+  SELECT seq, source, CASE WHEN big THEN 'rejected' ELSE 'accepted' END AS status, CASE WHEN big THEN 413 ELSE 200 END AS http_code FROM c"""
+ORACLE["decode_dlq"] = f"""WITH {LOG}
+  SELECT seq, strftime(make_timestamp((ep + 60) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS failed_at, 'forward failed: ' || (seq % 3) AS error,
+    'e-' || seq AS id, NULL AS decode_error FROM log WHERE ok AND seq % 4 = 0
+  UNION ALL SELECT seq, NULL, NULL, NULL, coalesce({_DECODE_ERROR.replace('invalid envelope', 'invalid dead letter')}, 'invalid dead letter') FROM log"""
 # Steps number the destinations over the whole route list.
 STEPS = """steps AS (
   SELECT r.*, log.* FROM log JOIN (VALUES (0, 's-all', 'agent', true), (1, 's-all', 'bus', true), (2, 's-all', 'audit', false),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -491,6 +491,21 @@ def ws_frames(spark, sf_dir):
     return parsed.select("seq", "event_type", "parse_error", F.md5(F.to_json("payload")).alias("payload_md5"))
 
 
+@query
+def mcp_calls(spark, sf_dir):
+    """Tool calls with the adapter's limit on the serialized payload."""
+    parsed = parsers.parse_mcp_call(fixtures.envelopes_json(spark, sf_dir)).filter(F.col("parse_error").isNull())
+    gated = gates.gate_payload_size(parsed, 110, F.to_json("payload"))
+    return gates.with_status(gated).select("seq", "source", "status", "http_code")
+
+
+@query
+def decode_dlq(spark, sf_dir):
+    """Dead letters, and topic records that are none."""
+    dead = dead_letters(spark, sf_dir).unionByName(fixtures.envelopes_json(spark, sf_dir).select("seq", "value"))
+    return envelopes.decode_dlq(dead).select("seq", "failed_at", "error", "envelope.id", "decode_error")
+
+
 @query
 def prevalidated(spark, sf_dir):
     """Kafka ingress through sanitizer, plugins and routes without gates."""
@@ -575,28 +590,33 @@ def trace_event(spark, sf_dir):
 def metrics(spark, sf_dir):
     """All eight counters over requests, decisions, attempts and settled events."""
     decided = serve.decide(fixtures.requests(spark, sf_dir), serve_config())
-    accepted = decided.filter(F.col("status") == "accepted")
-    log = fixtures.envelopes_json(spark, sf_dir)
-    tries = fixtures.attempts(spark, sf_dir)
+    accepted = F.col("status") == "accepted"
+    unrouted = (F.col("status") == "rejected") & (F.col("reason") == "no matching serve route")
     ok = F.coalesce(F.col("http_status") == 200, F.lit(False))
-    settled = delivery.settle(fixtures.delivery_steps(spark, sf_dir))
-    row = reports.metric_rows
+    why = F.coalesce(F.col("error"), F.col("http_status").cast("string"))
+    count = reports.Count
     return reports.metrics(
         relay.fan_in(
-            row(accepted, "serve_ingress_events_total", adapter=F.lit("http-in"), source=F.col("source")),
-            row(accepted, "serve_publish_success_total", topic=F.col("topic")),
-            row(
-                decided.filter((F.col("status") == "rejected") & (F.col("reason") == "no matching serve route")),
-                "serve_publish_failure_total", topic=F.col("topic"), reason=F.col("reason"),
+            reports.metric_rows(
+                decided,
+                count("serve_ingress_events_total", accepted, {"adapter": F.lit("http-in"), "source": F.col("source")}),
+                count("serve_publish_success_total", accepted, {"topic": F.col("topic")}),
+                count("serve_publish_failure_total", unrouted, {"topic": F.col("topic"), "reason": F.col("reason")}),
+            ),
+            reports.metric_rows(
+                fixtures.envelopes_json(spark, sf_dir),
+                count("smash_consume_events_total", F.lit(True), {"topic": F.col("topic")}),
+            ),
+            reports.metric_rows(
+                fixtures.attempts(spark, sf_dir),
+                count("smash_egress_success_total", ok, {"adapter": F.col("adapter_id")}),
+                count("smash_egress_failure_total", ~ok, {"adapter": F.col("adapter_id"), "reason": why}),
             ),
-            row(log, "smash_consume_events_total", topic=F.col("topic")),
-            row(tries.filter(ok), "smash_egress_success_total", adapter=F.col("adapter_id")),
-            row(
-                tries.filter(~ok), "smash_egress_failure_total", adapter=F.col("adapter_id"),
-                reason=F.coalesce(F.col("error"), F.col("http_status").cast("string")),
+            reports.metric_rows(
+                delivery.settle(fixtures.delivery_steps(spark, sf_dir)),
+                count("smash_commit_total", F.col("outcome") == "commit", {"topic": F.lit("webhooks.core")}),
+                count("smash_dlq_total", F.col("outcome") == "dlq", {"topic": F.lit("webhooks.dlq")}),
             ),
-            row(settled.filter("outcome = 'commit'"), "smash_commit_total", topic=F.lit("webhooks.core")),
-            row(settled.filter("outcome = 'dlq'"), "smash_dlq_total", topic=F.lit("webhooks.dlq")),
         )
     )
 
@@ -687,27 +707,21 @@ def probe_mismatch(spark, sf_dir):
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     fixtures.ready(spark)
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    # The given table is one file, which a stream reads in one task.
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return rows.repartition(spark.sparkContext.defaultParallelism)
 
 
 def finish(stream: DataFrame) -> DataFrame:
     """Run a stream over all available input and return what it wrote."""
     spark = stream.sparkSession
-    base = tempfile.mkdtemp(prefix="run-", dir=_local(checkpoint_dir(spark)))
-    out, state = f"{base}/out", f"{base}/state"
+    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     started = (
-        stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state)
-        .trigger(availableNow=True).start(out)
+        stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/state")
+        .trigger(availableNow=True).start(f"{base}/out")
     )
     started.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
-
-
-def _local(folder: str) -> str | None:
-    import os
-
-    path = folder.removeprefix("file://").removeprefix("file:")
-    return path if os.path.isdir(path) else None
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
 @query
