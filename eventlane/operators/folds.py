@@ -142,7 +142,11 @@ def _label(df: DataFrame, decisions: DataFrame, default: str, out: str) -> DataF
 def dedup_ttl(
     df: DataFrame, ttl_seconds: int = 604_800, key: str = "dedup_key", epoch: str = "received_epoch", out: str = "decision"
 ) -> DataFrame:
-    """Label each row ``accept`` or ``duplicate`` under the time-to-live rule."""
+    """Label each row ``accept`` or ``duplicate`` under the time-to-live rule.
+
+    ``df`` is read twice (fold and label): stage it first if its keys are
+    costly to derive. The same goes for :func:`idempotency`.
+    """
     rows = df.filter(_keyed(F.col(key))).select(
         F.col(key).alias("fold_key"), F.col(epoch).alias("fold_time"), "seq"
     )

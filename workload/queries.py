@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from eventlane.functions import injection, net, payload, signing, text
 from eventlane.operators import delivery, envelopes, folds, gates, health, plugins, relay, reports, routing
 from eventlane.plans import serve
-from eventlane.session import checkpoint_dir
+from eventlane.session import checkpoint_dir, staged
 from eventlane.sources import parsers, specs
 from eventlane.sources.specs import BUILT_IN
 from eventlane.streaming import keyed
@@ -308,14 +308,14 @@ def safe_keys(spark, sf_dir):
 @query
 def dedup_ttl(spark, sf_dir):
     rows = keyed_requests(spark, sf_dir).filter(F.col("dedup_key").isNotNull()).select("seq", "received_epoch", "dedup_key")
-    return folds.dedup_ttl(rows).select("seq", "decision")
+    return folds.dedup_ttl(staged(rows, "keys")).select("seq", "decision")
 
 
 @query
 def cooldown(spark, sf_dir):
-    """Dedup, then cooldown on the survivors (one hour of each)."""
+    """Dedup for three days, then cooldown of ten hours on the survivors."""
     rows = keyed_requests(spark, sf_dir).select("seq", "received_epoch", "dedup_key", "cooldown_key")
-    return folds.idempotency(rows, 3 * 86_400, 36_000).select("seq", "decision")
+    return folds.idempotency(staged(rows, "keys"), 3 * 86_400, 36_000).select("seq", "decision")
 
 
 @query
