@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from eventlane.operators.routing import (
     route_smash,
 )
 
+from eventlane.session import staged
+
 
 @dataclass(frozen=True)
 class Adapter:
@@ -67,22 +70,32 @@ def plan_deliveries(records: DataFrame, config: FanoutConfig) -> Planned:
     return Planned(shaped, no_output(routed, config.no_output), bad(decoded), events)
 
 
-def send_all(deliveries: DataFrame, config: FanoutConfig) -> DataFrame:
+def shaped(deliveries: DataFrame, config: FanoutConfig) -> DataFrame:
+    """Deliveries with the ``body`` their adapter sends, in one pass for all adapters."""
+    body = F.lit(None).cast("string")
+    for adapter in config.adapters:
+        body = F.when(F.col("adapter_id") == adapter.id, adapter.shape(F.col("envelope"))).otherwise(body)
+    columns = ("id", "step", "route_id", "adapter_id", "required", "plugin_error")
+    return deliveries.select(*columns, body.alias("body"))
+
+
+def send_all(ready: DataFrame, config: FanoutConfig) -> DataFrame:
     """Attempt rows of all adapters; rows whose plugins failed are not sent.
 
     Every destination is attempted in parallel. ``settle`` then decides by step
     order; a destination after a required failure may have been sent already,
     which at-least-once delivery allows.
     """
-    ready = deliveries.filter(F.col("plugin_error").isNull())
-    parts = []
-    for adapter in config.adapters:
-        rows = ready.filter(F.col("adapter_id") == adapter.id).withColumn("body", adapter.shape(F.col("envelope")))
-        parts.append(delivery.deliver(rows, adapter.make_send, adapter.policy, config.partitions))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    if not config.adapters:
+        raise ValueError("no adapter is configured")
+    parts = [
+        delivery.deliver(
+            ready.filter((F.col("adapter_id") == adapter.id) & F.col("plugin_error").isNull()),
+            adapter.make_send, adapter.policy, config.partitions,
+        )
+        for adapter in config.adapters
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def step_results(deliveries: DataFrame, attempts: DataFrame) -> DataFrame:
@@ -119,9 +132,10 @@ def process_batch(
     spark = records.sparkSession
     planned = plan_deliveries(records, config)
     path = f"{attempts_path}/batch_id={batch_id}"
-    send_all(planned.deliveries, config).write.mode("overwrite").parquet(path)
-    attempts = spark.read.parquet(path)
-    settled = delivery.settle(step_results(planned.deliveries, attempts))
+    ready = staged(shaped(planned.deliveries, config), "deliveries")
+    send_all(ready, config).write.mode("overwrite").parquet(path)
+    attempts = spark.read.schema(delivery.ATTEMPTS).parquet(path)
+    settled = delivery.settle(step_results(ready, attempts))
     failed_at = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     dead = delivery.dead_letters(planned.events, settled, failed_at)
     if config.no_output.allow and config.no_output.sink == "dlq":
@@ -131,3 +145,25 @@ def process_batch(
     write_dead(dead)
     write_undecodable(planned.undecodable)
     return settled
+
+
+def start(
+    records: DataFrame,
+    config: FanoutConfig,
+    attempts_path: str,
+    checkpoint: str,
+    write_dead: Callable[[DataFrame], None],
+    write_undecodable: Callable[[DataFrame], None],
+    write_settled: Callable[[DataFrame], None] = lambda settled: None,
+    trigger: dict | None = None,
+):
+    """Run the fan-out over a stream of topic records, batch by batch.
+
+    Offsets advance once a batch is sent, settled and dead-lettered.
+    """
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        write_settled(process_batch(df, config, attempts_path, batch_id, write_dead, write_undecodable))
+
+    writer = records.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -186,6 +186,28 @@ def test_fan_out_batch_end_to_end(spark, tmp_path):
     assert spark.read.parquet(broken).select("decode_error").collect() == [("invalid json",)]
 
 
+def test_fan_out_stream(spark, tmp_path):
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    source = str(tmp_path / "in")
+    texts = [json.dumps({**ENVELOPE, "id": str(i), "event_type": "push"}) for i in range(4)]
+    values(spark, *texts).withColumn("topic", F.lit("t.b")).select("topic", "value").write.parquet(source)
+    stream = spark.readStream.schema("topic string, value binary").parquet(source)
+    config = fanout.FanoutConfig(ROUTES, (fanout.Adapter("req", sender, policy=delivery.RetryPolicy(1)), fanout.Adapter("opt", sender, policy=delivery.RetryPolicy(1))))
+    dead, done = str(tmp_path / "dead"), str(tmp_path / "done")
+    query = fanout.start(
+        stream, config, str(tmp_path / "attempts"), str(tmp_path / "state"),
+        lambda df: writers.write_dlq(df, "dlq", table_path=dead), lambda df: writers.quarantine(df, str(tmp_path / "bad")),
+        lambda df: writers.write_table(df, done),
+    )
+    query.awaitTermination()
+    assert sorted((r.id, r.outcome) for r in spark.read.parquet(done).collect()) == [("0", "commit"), ("1", "commit"), ("2", "dlq"), ("3", "commit")]
+    assert spark.read.parquet(dead).count() == 1
+
+
 def test_serve_ids_are_repeatable(spark):
     from workload import fixtures, queries
 
