@@ -18,6 +18,13 @@ REQUIRED_CONF = {
 }
 
 
+# The keyed streams need this state store; changed only from Spark's default.
+_STATE_STORE = (
+    "spark.sql.streaming.stateStore.providerClass",
+    "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider",
+    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+)
+
 # Methods above 8000 bytes are never compiled by the JVM; such stages run faster
 # on split, compilable projections. Changed only where it is at its default.
 _METHOD_LIMIT = ("spark.sql.codegen.hugeMethodLimit", "65535", "8000")
@@ -30,9 +37,9 @@ def prepare(spark: SparkSession, *packages: str) -> SparkSession:
     for key, value in REQUIRED_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
-    key, default, better = _METHOD_LIMIT
-    if spark.conf.get(key, default) == default:
-        spark.conf.set(key, better)
+    for key, default, better in (_METHOD_LIMIT, _STATE_STORE):
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, better)
     for package in ("eventlane", *packages):
         ship(spark, package)
     return spark

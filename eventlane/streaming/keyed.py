@@ -5,18 +5,18 @@ event-time timer once it can no longer matter. The rules are the ones of
 ``operators.folds``; order within a micro-batch is (time, seq). A row earlier
 than its key's state is judged against that state. The watermark must lag more
 than the worst disorder between partitions: rows behind it are dropped by
-Spark and show up in ``numRowsDroppedByWatermark``.
+Spark and show up in ``numRowsDroppedByWatermark``. ``prepare`` selects the
+RocksDB state store, which these operators need.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from eventlane.functions.text import safe_key
 from eventlane.operators.folds import (
@@ -29,92 +29,97 @@ from eventlane.operators.folds import (
 )
 
 DECISION = "seq bigint, fold_key string, at timestamp, accepted boolean"
+DAY_MS = 86_400_000
 
 
-def _sorted(chunks: Iterator[pd.DataFrame]) -> tuple[pd.DataFrame, list[int]]:
-    """Rows of one key in (time, seq) order, and their times.
+class KeyedRule(StatefulProcessor):
+    """One stored number per key; ``judge`` applies the rule to a sorted batch."""
 
-    Most keys bring a single row per micro-batch, so that case is kept cheap.
-    """
-    parts = list(chunks)
-    rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-    if len(rows) > 1:
-        order = np.lexsort((rows["seq"].to_numpy(), rows["fold_time"].to_numpy()))
-        rows = rows.take(order)
-    return rows, rows["fold_time"].tolist()
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("value", T.StructType([T.StructField("value", T.LongType())]))
 
+    def judge(self, times: list[int], stored: int | None) -> tuple[list[bool], int, int]:
+        """(accepted per row, value to store, time in ms until which it matters)."""
+        raise NotImplementedError
 
-def _answer(rows: pd.DataFrame, accepted: list[bool]) -> pd.DataFrame:
-    out = rows[["seq", "fold_key", "at"]].copy(deep=False)
-    out["accepted"] = accepted
-    return out
+    def spent(self, stored: int, now_ms: int) -> bool:
+        """Whether the stored value no longer matters at ``now_ms``."""
+        raise NotImplementedError
 
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        batch = sorted(((r["fold_time"], r["seq"], r["at"]) for r in rows), key=lambda row: row[:2])
+        held = self.state.get()
+        stored = None if held is None else held[0]
+        accepted, value, until_ms = self.judge([row[0] for row in batch], stored)
+        if value != stored:
+            self.state.update((value,))
+            self.handle.registerTimer(until_ms)
+        for (_, seq, at), ok in zip(batch, accepted):
+            yield Row(seq=seq, fold_key=key[0], at=at, accepted=ok)
 
-def _arm(state: GroupState, until_ms: int) -> None:
-    state.setTimeoutTimestamp(max(int(until_ms), state.getCurrentWatermarkMs() + 1))
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.state.get()
+        if held is not None and self.spent(held[0], expiredTimerInfo.getExpiryTimeInMs()):
+            self.state.clear()
+        return iter(())
 
+    def close(self) -> None:
+        pass
 
-def _ttl_step(ttl: int):
-    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows, times = _sorted(chunks)
-        expiry = state.get[0] if state.exists else None
+
+class TtlRule(KeyedRule):
+    def __init__(self, ttl: int) -> None:
+        self.ttl = ttl
+
+    def judge(self, times, stored):
         accepted = [False] * len(times)
-        kept, expiry = accepted_positions(times, 0, len(times), expiry, ttl)
+        kept, expiry = accepted_positions(times, 0, len(times), stored, self.ttl)
         for i in kept:
             accepted[i] = True
-        state.update((int(expiry),))
-        _arm(state, expiry * 1000)
-        yield _answer(rows, accepted)
-
-    return step
-
-
-def _count_step(limit: int, bucket_seconds: int):
-    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows, times = _sorted(chunks)
-        used = state.get[0] if state.exists else 0
-        accepted = [used + i < limit for i in range(len(times))]
-        state.update((int(used + len(times)),))
-        bucket_end = (times[0] // bucket_seconds + 1) * bucket_seconds
-        _arm(state, bucket_end * 1000)
-        yield _answer(rows, accepted)
-
-    return step
-
-
-def _token_step(limit: int):
-    period = refill_period_ms(limit)
-
-    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows, times = _sorted(chunks)
-        full_at = state.get[0] if state.exists else None
-        accepted = []
+        return accepted, expiry, expiry * 1000
+
+    def spent(self, stored, now_ms):
+        return stored * 1000 <= now_ms
+
+
+class CountRule(KeyedRule):
+    """The key names one bucket, so its state goes when the bucket has ended."""
+
+    def __init__(self, limit: int, bucket_seconds: int) -> None:
+        self.limit, self.bucket_seconds = limit, bucket_seconds
+
+    def judge(self, times, stored):
+        used = stored or 0
+        accepted = [used + i < self.limit for i in range(len(times))]
+        bucket_end = (times[0] // self.bucket_seconds + 1) * self.bucket_seconds
+        return accepted, used + len(times), bucket_end * 1000
+
+    def spent(self, stored, now_ms):
+        return True
+
+
+class TokenRule(KeyedRule):
+    """An idle bucket holds one request more than a fresh one, so its state is
+    kept for a day past being full rather than dropped at once."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.period = limit, refill_period_ms(limit)
+
+    def judge(self, times, stored):
+        accepted, full_at = [], stored
         for now in times:
-            hits, full_at = bucket_admissions([now], [1], 0, 1, full_at, period, limit)
+            hits, full_at = bucket_admissions([now], [1], 0, 1, full_at, self.period, self.limit)
             accepted.append(bool(hits))
-        state.update((int(full_at),))
-        # An idle bucket holds one request more than a fresh one, so its state is
-        # kept for a day past being full rather than dropped at once.
-        _arm(state, full_at + 86_400_000)
-        yield _answer(rows, accepted)
+        return accepted, full_at, full_at + DAY_MS
 
-    return step
+    def spent(self, stored, now_ms):
+        return stored + DAY_MS <= now_ms
 
 
-def _run(rows: DataFrame, step, delay: str) -> DataFrame:
+def _run(rows: DataFrame, rule: KeyedRule, delay: str) -> DataFrame:
     keyed = rows.withWatermark("at", delay)
-    return keyed.groupBy("fold_key").applyInPandasWithState(
-        step, DECISION, "value bigint", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    return keyed.groupBy("fold_key").transformWithState(rule, DECISION, "Append", "EventTime")
 
 
 def _rows(df: DataFrame, key, time, at: str) -> DataFrame:
@@ -127,7 +132,7 @@ def dedup_ttl_stream(
 ) -> DataFrame:
     """(seq, fold_key, at, decision) of a stream under the time-to-live rule."""
     rows = _rows(df.filter(F.coalesce(F.col(key), F.lit("")) != ""), F.col(key), F.col(epoch), at)
-    return _named(_run(rows, _ttl_step(ttl_seconds), delay), DUPLICATE)
+    return _named(_run(rows, TtlRule(ttl_seconds), delay), DUPLICATE)
 
 
 def cooldown_stream(
@@ -136,14 +141,14 @@ def cooldown_stream(
 ) -> DataFrame:
     """Same for dedup survivors under their cooldown key."""
     rows = _rows(df.filter(F.coalesce(F.col(key), F.lit("")) != ""), F.col(key), F.col(epoch), at)
-    return _named(_run(rows, _ttl_step(cooldown_seconds), delay), COOLDOWN)
+    return _named(_run(rows, TtlRule(cooldown_seconds), delay), COOLDOWN)
 
 
 def alert_throttle_stream(
     df: DataFrame, cooldown_seconds: int = 300, key: str = "event", epoch: str = "epoch", at: str = "at", delay: str = "10 minutes"
 ) -> DataFrame:
     rows = _rows(df, safe_key(key), F.col(epoch), at)
-    return _named(_run(rows, _ttl_step(cooldown_seconds), delay), "suppressed")
+    return _named(_run(rows, TtlRule(cooldown_seconds), delay), "suppressed")
 
 
 def rate_limit_source_stream(
@@ -153,7 +158,7 @@ def rate_limit_source_stream(
     """First ``limit`` rows per source and bucket; the key holds the bucket, so few sources still spread."""
     bucket = F.call_function("div", F.col(epoch), F.lit(bucket_seconds)).cast("string")
     rows = _rows(df, F.concat_ws("@", F.col(source), bucket), F.col(epoch), at)
-    return _named(_run(rows, _count_step(limit, bucket_seconds), delay), "limited")
+    return _named(_run(rows, CountRule(limit, bucket_seconds), delay), "limited")
 
 
 def rate_limit_ip_stream(
@@ -161,7 +166,7 @@ def rate_limit_ip_stream(
     at: str = "received_at", delay: str = "10 minutes",
 ) -> DataFrame:
     rows = _rows(df.filter(F.col(ip).isNotNull()), F.col(ip), F.col(millis), at)
-    return _named(_run(rows, _token_step(limit_per_minute), delay), "limited")
+    return _named(_run(rows, TokenRule(limit_per_minute), delay), "limited")
 
 
 def _named(decided: DataFrame, refused: str) -> DataFrame:
