@@ -6,9 +6,10 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import difference, duck
+from workload.oracle import ORACLE as SQL
+from workload.queries import QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
