@@ -305,3 +305,11 @@ def encode_digests(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     out = df.withColumn(made, digests(F.col(text), file_bytes(df.sparkSession, path)))
     names = ("n_tokens", "ids_sha256", "decoded_sha256")
     return out.drop(*names).select("*", *[f"{made}.{n}" for n in names]).drop(made)
+
+
+def digested(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
+    """``df`` with the digests of its ids and of their decoded text, in place of same-named columns; null ids give nulls."""
+    text = decoded(F.col(ids), file_bytes(df.sparkSession, path))
+    return df.withColumns({
+        "n_tokens": (F.octet_length(ids) / 4).cast("long"), "ids_sha256": F.sha2(F.col(ids), 256), "decoded_sha256": F.sha2(F.encode(text, "UTF-8"), 256),
+    })
