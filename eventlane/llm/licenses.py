@@ -114,25 +114,22 @@ def knowledge() -> Knowledge:
     return Knowledge(sentences, tuple(sorted(rules, key=lambda r: (-len(r[1]), r[0], r[1]))))
 
 
-def sentences(text: str) -> Iterator[tuple[int, int, str]]:
-    """Start, end and normalised form of each sentence, and of each line that is not one."""
+def sentences(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of each sentence, without white space around it."""
     start = 0
     for match in [*_EDGE.finditer(text), None]:
         end = match.end() if match else len(text)
-        part = text[start:end]
-        if part.strip():
-            yield start, end, normal(part)
-            if "\n" in part.strip():
-                at = start
-                for line in part.splitlines(keepends=True):
-                    if line.strip():
-                        yield at, at + len(line), normal(line)
-                    at += len(line)
+        if part := text[start:end].strip():
+            first = text.index(part, start)
+            yield first, first + len(part)
         start = end
 
 
 def known_sentences(text: str, own: Knowledge) -> list[tuple[int, int, str]]:
-    """Places and identifiers of the known sentences of a whole text, in order."""
+    """Places and identifiers of the known sentences of a whole text, in order.
+
+    A sentence may run over lines; one that is not known is looked up line by line.
+    """
     lower = text.lower()
     if not any(t in lower for t in TRIGGERS):
         return []
@@ -140,11 +137,17 @@ def known_sentences(text: str, own: Knowledge) -> list[tuple[int, int, str]]:
         # The tag's colon is no sentence end.
         text = re.sub(r"(?i)(spdx-license-identifier):", r"\1 ", text)
     found = []
-    for start, end, sentence in sentences(text):
-        name = own.sentences.get(sentence)
-        if name is not None and (not found or found[-1][:2] != (start, end)):
-            lead = len(text[start:end]) - len(text[start:end].lstrip())
-            found.append((start + lead, start + len(text[start:end].rstrip()), name))
+    for start, end in sentences(text):
+        name = own.sentences.get(normal(text[start:end]))
+        if name is not None:
+            found.append((start, end, name))
+            continue
+        for line in text[start:end].splitlines(keepends=True) if "\n" in text[start:end] else ():
+            name = own.sentences.get(normal(line))
+            if name is not None:
+                lead = len(line) - len(line.lstrip())
+                found.append((start + lead, start + len(line.rstrip()), name))
+            start += len(line)
     return found
 
 
