@@ -39,6 +39,7 @@ def features(text: str) -> list[str]:
     looks = Counter(chunk for chunk in chunks if not _PLAIN.fullmatch(chunk))
     seen = set(_WORD.findall(text.lower()))
     odd = sum(looks.values())
+    plain = [chunk.lower().strip(".,;:!?") for chunk in chunks]
     bands = [
         _band("odd", odd, n),
         _band("bar", looks.get("|", 0), n),
@@ -46,6 +47,7 @@ def features(text: str) -> list[str]:
         _band("repeated", n - len(set(chunks)), n) if n >= 20 else "repeated:few",
         _band("lines", len(lines) - len(set(lines)), len(lines)) if len(lines) >= 4 else "lines:few",
         _band("digits", sum(c[0].isdigit() for c in chunks), n),
+        _band("echo", sum(a == b for a, b in zip(plain, plain[1:], strict=False)), n),
         f"letters:{letters > 0}" if letters is not None else "letters:many",
     ]
     return [*seen, *(f"{a}/{b}" for i, a in enumerate(bands) for b in ["", *bands[i + 1 :]])]
@@ -80,7 +82,7 @@ def score(known: dict[int, float], text: str) -> float:
     return sum(known.get(digest(f), 0.0) for f in features(text))
 
 
-def fit(rows: list[np.ndarray], grades: list[int], seen_in: int = 4, most: int = 1 << 17, rounds: int = 250, sparse: float = 2e-4) -> Model:
+def fit(rows: list[np.ndarray], grades: list[int], seen_in: int = 4, most: int = 1 << 17, rounds: int = 500, sparse: float = 1e-3) -> Model:
     """Fit shared weights and ordered thresholds by accelerated proximal gradient steps.
 
     Features in fewer than ``seen_in`` rows are dropped and the ``most`` frequent
