@@ -147,7 +147,7 @@ class SegmentTrees:
 class Codec:
     """Encoding and decoding with one tokenizer file, with a bounded cache of chunks between white space."""
 
-    def __init__(self, file: bytes, room: int = 600_000) -> None:
+    def __init__(self, file: bytes, room: int = 300_000) -> None:
         data = json.loads(file)
         model = data["model"]
         vocab = model["vocab"]
@@ -164,11 +164,10 @@ class Codec:
         self.inner = np.array([vocab[s] for s in symbols], np.int32)
         self.last = np.array([vocab[s + suffix] for s in symbols], np.int32)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        steps = Tokenizer.from_str(file.decode())
-        self.normalise = steps.normalizer.normalize_str
-        # The file's first step alone: it splits, the second only renames bytes.
-        data["pre_tokenizer"] = data["pre_tokenizer"]["pretokenizers"][0]
-        self.split = Tokenizer.from_str(json.dumps(data)).pre_tokenizer.pre_tokenize_str
+        # The file's normaliser and the first step of its splitter: the second only renames bytes.
+        steps = data | {"pre_tokenizer": data["pre_tokenizer"]["pretokenizers"][0], "model": model | {"vocab": {}, "merges": []}, "added_tokens": []}
+        steps = Tokenizer.from_str(json.dumps(steps))
+        self.normalise, self.split = steps.normalizer.normalize_str, steps.pre_tokenizer.pre_tokenize_str
         self.room = room
         self.chunks: dict[str, bytes] = {}
 
