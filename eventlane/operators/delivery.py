@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
@@ -14,8 +16,6 @@ from eventlane.functions.text import truncate_bytes
 from eventlane.operators.envelopes import compact_envelope
 
 MIN_MESSAGE_BYTES = 128
-# Fixed value: the request id of a JSON-RPC tool call on the wire.
-JSONRPC_ID = "hook-smash"
 
 
 def shape_http_payload(envelope: Column, max_bytes: int = 4000) -> Column:
@@ -33,17 +33,18 @@ def shape_http_payload(envelope: Column, max_bytes: int = 4000) -> Column:
     )
 
 
-def shape_tool_call(envelope: Column, tool_name: str, jsonrpc: bool = False) -> Column:
+def shape_tool_call(envelope: Column, tool_name: str, jsonrpc: bool = False, request_id: str = "1") -> Column:
     """Tool invocation around the whole envelope, plain or as a JSON-RPC call.
 
-    Keys come out sorted, as JSON objects do on this wire.
+    Keys come out sorted, as JSON objects do on this wire. ``request_id`` names
+    a JSON-RPC call.
     """
     arguments = F.struct(F.parse_json(F.to_json(compact_envelope(envelope))).alias("envelope"))
     if not jsonrpc:
         return F.to_json(F.struct(arguments.alias("arguments"), F.lit(tool_name).alias("tool")))
     return F.to_json(
         F.struct(
-            F.lit(JSONRPC_ID).alias("id"),
+            F.lit(request_id).alias("id"),
             F.lit("2.0").alias("jsonrpc"),
             F.lit("tools/call").alias("method"),
             F.struct(arguments.alias("arguments"), F.lit(tool_name).alias("name")).alias("params"),
@@ -102,8 +103,14 @@ def retryable(status: int | None, error: str | None, policy: RetryPolicy) -> boo
     return status >= 500 or status == 429
 
 
-def attempt_rows(key: str, body: str, send: Send, policy: RetryPolicy, sleep: Callable[[float], None]) -> list[tuple]:
-    """(attempt, status, transport error, backoff) of one delivery."""
+def attempt_rows(
+    key: str, body: str, send: Send, policy: RetryPolicy, sleep: Callable[[float], None], until: float | None = None
+) -> list[tuple]:
+    """(attempt, status, transport error, backoff) of one delivery.
+
+    A pause that would end after ``until`` (monotonic seconds) is not taken:
+    the delivery is left pending for a later run.
+    """
     rows = []
     for attempt in range(1, policy.max_retries + 1):
         status, error = None, None
@@ -119,7 +126,7 @@ def attempt_rows(key: str, body: str, send: Send, policy: RetryPolicy, sleep: Ca
         again = not ok and attempt < policy.max_retries and retryable(status, error, policy)
         delay = policy.delay(attempt - 1) if again else None
         rows.append((attempt, status, error, delay))
-        if not again:
+        if not again or (until is not None and time.monotonic() + delay > until):
             break
         sleep(delay)
     return rows
@@ -131,33 +138,118 @@ ATTEMPTS = (
 )
 
 
+@dataclass(frozen=True)
+class Receiver:
+    """How one adapter's rows are sent: a client for each thread, and when to try again."""
+
+    make_send: Callable[[], Send]
+    policy: RetryPolicy = RetryPolicy()
+
+
+class _Clients(threading.local):
+    def __init__(self, receivers: Mapping[str, Receiver]) -> None:
+        self.receivers, self.made = receivers, {}
+
+    def __getitem__(self, adapter: str) -> Send:
+        if adapter not in self.made:
+            self.made[adapter] = self.receivers[adapter].make_send()
+        return self.made[adapter]
+
+
+def deliver_in_order(
+    deliveries: DataFrame,
+    receivers: Mapping[str, Receiver],
+    key: str = "record",
+    partitions: int | None = None,
+    concurrency: int = 8,
+    deadline: float | None = None,
+    sleep: Callable[[float], None] = time.sleep,
+) -> DataFrame:
+    """Walk each record's steps in order and return one row per attempt.
+
+    ``key`` names a record, so records of equal id stay apart. A record stops
+    at its first required step that fails or whose plugins failed; what comes
+    later is not sent. One pass serves all adapters. ``concurrency`` records of
+    a task are under way at once; after ``deadline`` seconds a task starts no
+    retry, and what is left pends. Delivery is at least once: a retried task
+    sends again under the same idempotency key (event id, step).
+    """
+    columns = [key, "id", "step", "route_id", "adapter_id", "required", "plugin_error", "body"]
+    spread = deliveries.select(*columns)
+    spread = (spread.repartition(partitions, key) if partitions else spread.repartition(key)).sortWithinPartitions(key, "step")
+    schema = f"{key} bigint, {ATTEMPTS}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        clients = _Clients(receivers)
+        until = None if deadline is None else time.monotonic() + deadline
+
+        def walk(rows: list) -> list[tuple]:
+            out = []
+            for row in rows:
+                ok = False
+                if row.plugin_error is None:
+                    policy = receivers[row.adapter_id].policy
+                    tries = attempt_rows(f"{row.id}/{row.step}", row.body, clients[row.adapter_id], policy, sleep, until)
+                    out += [(row[0], row.id, row.step, row.route_id, row.adapter_id, row.required, *t) for t in tries]
+                    ok = tries[-1][1] is not None and 200 <= tries[-1][1] < 300
+                if row.required and not ok:
+                    break
+            return out
+
+        def frame(done: Iterable[list[tuple]]) -> pd.DataFrame:
+            names = [*columns[:6], "attempt", "http_status", "error", "backoff"]
+            return pd.DataFrame([t for rows in done for t in rows], columns=names).astype({"http_status": "Int32"})
+
+        held: list = []
+        with ThreadPoolExecutor(concurrency) as pool:
+            for batch in batches:
+                records: list[list] = []
+                for row in batch.itertuples(index=False):
+                    if held and held[0][0] != row[0]:
+                        records.append(held)
+                        held = []
+                    held.append(row)
+                yield frame(pool.map(walk, records))
+            if held:
+                yield frame([walk(held)])
+
+    return spread.mapInPandas(run, schema)
+
+
 def deliver(
     deliveries: DataFrame,
     make_send: Callable[[], Send],
     policy: RetryPolicy = RetryPolicy(),
     partitions: int | None = None,
     sleep: Callable[[float], None] = time.sleep,
+    concurrency: int = 8,
+    deadline: float | None = None,
 ) -> DataFrame:
     """Send each row's ``body`` and return one row per attempt.
 
-    ``make_send`` builds one client per task. Delivery over HTTP is at least
-    once: a retried task sends again under the same idempotency key (event id,
-    step), so receivers can drop the repeat. Rows are spread over
-    ``partitions`` tasks by event id, which also bounds open connections.
+    ``make_send`` builds a client for each thread. Delivery over HTTP is at
+    least once: a retried task sends again under the same idempotency key
+    (event id, step), so receivers can drop the repeat. Rows are spread over
+    ``partitions`` tasks by event id; a task has at most ``concurrency``
+    requests under way, so a slow receiver does not stall all its rows.
     """
     spread = deliveries.repartition(partitions, "id") if partitions else deliveries
     columns = ["id", "step", "route_id", "adapter_id", "required"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        send = make_send()
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                for attempt in attempt_rows(f"{row.id}/{row.step}", row.body, send, policy, sleep):
-                    out.append((row.id, row.step, row.route_id, row.adapter_id, row.required, *attempt))
-            yield pd.DataFrame(
-                out, columns=[*columns, "attempt", "http_status", "error", "backoff"]
-            ).astype({"http_status": "Int32"})
+        clients = _Clients({"": Receiver(make_send)})
+        until = None if deadline is None else time.monotonic() + deadline
+
+        def tries(row) -> list[tuple]:
+            rows = attempt_rows(f"{row.id}/{row.step}", row.body, clients[""], policy, sleep, until)
+            return [(row.id, row.step, row.route_id, row.adapter_id, row.required, *t) for t in rows]
+
+        with ThreadPoolExecutor(concurrency) as pool:
+            for batch in batches:
+                out = [t for rows in pool.map(tries, batch.itertuples(index=False)) for t in rows]
+                yield pd.DataFrame(
+                    out, columns=[*columns, "attempt", "http_status", "error", "backoff"]
+                ).astype({"http_status": "Int32"})
 
     return spread.select(*columns, "body").mapInPandas(run, ATTEMPTS)
 
@@ -206,12 +298,13 @@ def attempt_outcome(attempts: DataFrame, max_retries: int = 5, keys: tuple[str,
     )
 
 
-def settle(steps: DataFrame) -> DataFrame:
+def settle(steps: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
     """Per-event outcome from its delivery steps.
 
     ``steps`` holds (id, step, route_id, adapter_id, required, failed, error).
     Steps count in order up to the first required failure, which dead-letters
-    the event and leaves it uncommitted; optional failures are ignored. A plain
+    the event and leaves it uncommitted; optional failures are ignored. ``keys``
+    name a record: where ids can repeat, give the record beside the id. A plain
     aggregate, combined map-side.
     """
     broken = F.col("required") & F.col("failed")
@@ -223,14 +316,14 @@ def settle(steps: DataFrame) -> DataFrame:
         F.col("first.route_id"), F.lit("': "), F.col("first.error"),
     )
     return (
-        steps.groupBy("id")
+        steps.groupBy(*keys)
         .agg(
             first,
             F.count(F.lit(1)).alias("planned_steps"),
             F.count_if(~F.col("required") & F.col("failed")).alias("optional_failures"),
         )
         .select(
-            "id",
+            *keys,
             F.when(F.col("first").isNotNull(), "dlq").otherwise("commit").alias("outcome"),
             F.col("first.step").alias("failed_step"),
             reason.alias("reason"),
@@ -250,9 +343,9 @@ def executed_steps(steps: DataFrame, settled: DataFrame) -> DataFrame:
     )
 
 
-def dead_letters(events: DataFrame, settled: DataFrame, failed_at: Column) -> DataFrame:
-    """Dead-letter rows (failed_at, error, envelope) of events settled as ``dlq``."""
-    lost = settled.filter(F.col("outcome") == "dlq").select(F.col("id").alias("lost_id"), "reason")
-    return events.join(lost, F.col("envelope.id") == F.col("lost_id")).select(
+def dead_letters(events: DataFrame, settled: DataFrame, failed_at: Column, key: str = "record") -> DataFrame:
+    """Dead-letter rows (failed_at, error, envelope) of records settled as ``dlq``."""
+    lost = settled.filter(F.col("outcome") == "dlq").select(F.col(key).alias("lost"), "reason")
+    return events.join(lost, F.col(key) == F.col("lost")).select(
         failed_at.alias("failed_at"), F.col("reason").alias("error"), "envelope"
     )

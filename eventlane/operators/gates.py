@@ -152,7 +152,7 @@ def loop_guard(
 
 
 def with_secrets(df: DataFrame, secrets: DataFrame) -> DataFrame:
-    return df.join(F.broadcast(secrets), F.col("source") == F.col("secret_source"), "left")
+    return df.join(secrets, F.col("source") == F.col("secret_source"), "left")
 
 
 def request_view() -> RequestView:

@@ -16,15 +16,17 @@ EPOCH = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 @dataclass(frozen=True)
 class HealthConfig:
-    relay_service: str = "firecracker@relay.service"
-    broker_service: str = "firecracker@{id}.service"
-    relay_ip: str = "172.30.0.20"
+    """Names and addresses of a deployment; ``broker_service`` holds ``{id}``."""
+
+    relay_service: str
+    broker_service: str
+    relay_ip: str
+    required_services: tuple[str, ...]
     relay_port: int = 8080
     broker_port: int = 9092
     health_url: str = ""
     health_expect: str = "ok"
     health_restart_service: str = ""
-    required_services: tuple[str, ...] = ("firecracker-network.service", "firecracker@relay.service")
 
 
 def _alert(severity: str, event: Column, message: Column, healed: bool = True) -> Column:
@@ -49,7 +51,7 @@ def _stuck(vm: Column, state: Column, service: Column, pid: Column) -> Column:
     )
 
 
-def health_rules(heartbeats: DataFrame, config: HealthConfig = HealthConfig()) -> DataFrame:
+def health_rules(heartbeats: DataFrame, config: HealthConfig) -> DataFrame:
     """One row per alert a heartbeat gives rise to, in rule order.
 
     Brokers are checked through a higher-order function, so a heartbeat is
@@ -124,9 +126,13 @@ def probe_mismatch(probes: DataFrame, expected: str = "expected", observed: str
 
 
 def latest_status(heartbeats: DataFrame) -> DataFrame:
-    """Latest heartbeat per host with memory in MB and a broker summary."""
+    """Latest heartbeat per host with memory in MB and a broker summary.
+
+    Of heartbeats of one time the largest counts, by ``seq`` where there is one.
+    """
+    ties = [c for c in ("seq",) if c in heartbeats.columns] or ["uptime_seconds", "load"]
     last = heartbeats.groupBy("host").agg(
-        F.max_by(F.struct(*[c for c in heartbeats.columns if c != "host"]), "timestamp").alias("h")
+        F.max_by(F.struct(*[c for c in heartbeats.columns if c != "host"]), F.struct("timestamp", *ties)).alias("h")
     )
     relay = F.col("h.vms.relay")
     brokers = F.array_join(

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from eventlane.functions.text import wildcard_match
 from eventlane.operators.plugins import Plugin, run_plugins
 
-MAX_ROUTES = 10_000
 # Above this many routes matching is done once per distinct (topic, type).
 INLINE_ROUTES = 100
 
@@ -59,11 +58,6 @@ class SmashRoute:
         return [d for d in self.destinations if d.required] + [d for d in self.destinations if not d.required]
 
 
-def _check_size(routes: Sequence) -> None:
-    if len(routes) > MAX_ROUTES:
-        raise ValueError(f"at most {MAX_ROUTES} routes are supported")
-
-
 def serve_route_column(
     routes: Sequence[ServeRoute], source: Column, event_type: Column
 ) -> Column:
@@ -71,7 +65,6 @@ def serve_route_column(
 
     One chain of tests: no join and no shuffle.
     """
-    _check_size(routes)
     chain = [
         F.when(
             wildcard_match(route.source_match, source) & wildcard_match(route.event_type_pattern, event_type),
@@ -130,7 +123,6 @@ def _route_struct(ordinal: int, first_step: int, route: SmashRoute) -> Column:
 def smash_matches(routes: Sequence[SmashRoute], topic: Column, event_type: Column) -> Column:
     """All matching routes, in order, as an array. Steps number the destinations
     over the whole route list, so their order is the delivery order."""
-    _check_size(routes)
     if not routes:
         return F.array().cast(MATCH)
     tests, first_step = [], 0

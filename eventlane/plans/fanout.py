@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +22,7 @@ from eventlane.operators.routing import (
     route_smash,
 )
 
-from eventlane.session import staged
+from eventlane.session import checkpoint_dir, remove
 
 
 @dataclass(frozen=True)
@@ -42,32 +42,52 @@ class FanoutConfig:
     adapters: Sequence[Adapter] = ()
     no_output: NoOutputPolicy = NoOutputPolicy()
     partitions: int | None = None
+    concurrency: int = 8
+    deadline: float | None = None
 
 
 @dataclass(frozen=True)
 class Planned:
+    """One batch: its routed events, planned deliveries, and what reaches nothing or cannot be read."""
+
+    events: DataFrame
     deliveries: DataFrame
     unreached: DataFrame
     undecodable: DataFrame
-    events: DataFrame = field(repr=False, default=None)
+    unread: DataFrame = field(repr=False)
 
 
-def plan_deliveries(records: DataFrame, config: FanoutConfig) -> Planned:
-    """Stateless half (batch or stream): one row per event and destination."""
+def routed_events(records: DataFrame, config: FanoutConfig) -> DataFrame:
+    """Records decoded and routed once (batch or stream); undecodable ones keep their bytes and ``decode_error``."""
     decoded = decode_envelope(records)
-    events = good(decoded).select(*[c for c in ("topic",) if c in decoded.columns], "envelope", "envelope.id", "envelope.event_type")
-    routed = route_smash(events, config.routes)
-    steps = expand_destinations(routed).select(
-        "id", "topic", "envelope", "event_type", "envelope.payload", "envelope.meta", "step", "route_id", "adapter_id", "required"
+    kept = [c for c in ("topic", "partition", "offset") if c in decoded.columns]
+    bytes_of_bad = F.when(F.col("decode_error").isNotNull(), F.col("value")).alias("value")
+    events = decoded.select(*kept, bytes_of_bad, "envelope", "decode_error", "envelope.id", "envelope.event_type")
+    return route_smash(events, config.routes)
+
+
+def plan_deliveries(records: DataFrame, config: FanoutConfig) -> Planned:
+    """Stateless half (batch or stream): one row per record and destination."""
+    return planned(routed_events(records, config), config)
+
+
+def planned(routed: DataFrame, config: FanoutConfig) -> Planned:
+    """Deliveries of routed events, and the events that have none."""
+    live = good(routed)
+    own = ["record"] if "record" in routed.columns else []
+    steps = expand_destinations(live).select(
+        *own, "id", "topic", "envelope", "event_type", "envelope.payload", "envelope.meta", "step", "route_id", "adapter_id", "required"
     )
     plugins: Mapping[str, Sequence[Plugin]] = {a.id: a.plugins for a in config.adapters if a.plugins}
-    planned = apply_destination_plugins(steps, plugins, [a.id for a in config.adapters] or None)
+    done = apply_destination_plugins(steps, plugins, [a.id for a in config.adapters] or None)
     changed = F.struct(
         F.col("envelope.id").alias("id"), F.col("envelope.source").alias("source"), F.col("event_type").alias("event_type"),
         F.col("envelope.received_at").alias("received_at"), F.col("payload").alias("payload"), F.col("meta").alias("meta"),
     )
-    shaped = planned.withColumn("envelope", changed).drop("payload", "meta", "event_type")
-    return Planned(shaped, no_output(routed, config.no_output), bad(decoded), events)
+    deliveries = done.withColumn("envelope", changed).drop("payload", "meta", "event_type")
+    unread = bad(routed)
+    undecodable = unread.drop("matches", "envelope", "id", "event_type", "record")
+    return Planned(live, deliveries, no_output(live, config.no_output), undecodable, unread)
 
 
 def shaped(deliveries: DataFrame, config: FanoutConfig) -> DataFrame:
@@ -75,45 +95,43 @@ def shaped(deliveries: DataFrame, config: FanoutConfig) -> DataFrame:
     body = F.lit(None).cast("string")
     for adapter in config.adapters:
         body = F.when(F.col("adapter_id") == adapter.id, adapter.shape(F.col("envelope"))).otherwise(body)
-    columns = ("id", "step", "route_id", "adapter_id", "required", "plugin_error")
+    columns = ("record", "id", "step", "route_id", "adapter_id", "required", "plugin_error")
     return deliveries.select(*columns, body.alias("body"))
 
 
 def send_all(ready: DataFrame, config: FanoutConfig) -> DataFrame:
-    """Attempt rows of all adapters; rows whose plugins failed are not sent.
-
-    Every destination is attempted in parallel. ``settle`` then decides by step
-    order; a destination after a required failure may have been sent already,
-    which at-least-once delivery allows.
-    """
+    """Attempt the steps of each record in order, up to its first required failure."""
     if not config.adapters:
         raise ValueError("no adapter is configured")
-    parts = [
-        delivery.deliver(
-            ready.filter((F.col("adapter_id") == adapter.id) & F.col("plugin_error").isNull()),
-            adapter.make_send, adapter.policy, config.partitions,
-        )
-        for adapter in config.adapters
-    ]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    receivers = {a.id: delivery.Receiver(a.make_send, a.policy) for a in config.adapters}
+    return delivery.deliver_in_order(
+        ready, receivers, partitions=config.partitions, concurrency=config.concurrency, deadline=config.deadline
+    )
 
 
 def step_results(deliveries: DataFrame, attempts: DataFrame) -> DataFrame:
-    """(id, step, route_id, adapter_id, required, failed, error) of every planned step."""
-    outcomes = delivery.attempt_outcome(attempts, max_retries=1).select(
-        F.col("id").alias("o_id"), F.col("step").alias("o_step"), "attempts", "outcome", F.col("error").alias("send_error")
+    """(record, id, step, route_id, adapter_id, required, failed, error) of every planned step.
+
+    A step that its record never came to has not failed; the step that stopped
+    the record has.
+    """
+    keys = ("record", "step")
+    outcomes = delivery.attempt_outcome(attempts.drop("id"), 1, keys).select(
+        F.col("record").alias("o_record"), F.col("step").alias("o_step"), "outcome", F.col("error").alias("send_error")
     )
-    joined = deliveries.select("id", "step", "route_id", "adapter_id", "required", "plugin_error").join(
-        outcomes, (F.col("id") == F.col("o_id")) & (F.col("step") == F.col("o_step")), "left"
+    joined = deliveries.select("record", "id", "step", "route_id", "adapter_id", "required", "plugin_error").join(
+        outcomes, (F.col("record") == F.col("o_record")) & (F.col("step") == F.col("o_step")), "left"
     )
-    error = F.coalesce(F.col("plugin_error"), F.col("send_error"), F.when(F.col("o_id").isNull(), F.lit("not attempted")))
+    failed = F.col("plugin_error").isNotNull() | F.coalesce(F.col("outcome") != "success", F.lit(False))
     return joined.select(
-        "id", "step", "route_id", "adapter_id", "required",
-        (F.coalesce(F.col("outcome"), F.lit("none")) != "success").alias("failed"),
-        error.alias("error"),
+        "record", "id", "step", "route_id", "adapter_id", "required", failed.alias("failed"),
+        F.coalesce(F.col("plugin_error"), F.col("send_error")).alias("error"),
     )
 
 
+ACCOUNT = "record bigint, id string, topic string, outcome string, reason string"
+
+
 def process_batch(
     records: DataFrame,
     config: FanoutConfig,
@@ -121,30 +139,59 @@ def process_batch(
     batch_id: int,
     write_dead: Callable[[DataFrame], None],
     write_undecodable: Callable[[DataFrame], None],
+    write_unreached: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
     """One micro-batch end to end, for ``foreachBatch``.
 
-    Attempts are written as a table before they are read back, so settling
-    never sends twice and a lost executor costs only a re-read. The write
-    replaces this batch's own folder, so a repeated batch does not double it.
-    Returns the settled events.
+    Returns one row per record (record, id, topic, outcome, reason): ``commit``,
+    ``dlq``, ``discard``, ``error`` or ``undecodable``. An event without a
+    destination follows the no-output policy; where that is an error, it goes
+    to ``write_unreached``, and without one the batch fails after its account
+    is written, so that the stream's offsets do not pass it.
+
+    The decoded and routed batch and the attempts are written before they are
+    read back, so settling never sends twice and a lost executor costs only a
+    re-read. Each write replaces this batch's own folder, so a repeated batch
+    does not double it. Records are told apart by place, not by event id.
     """
     spark = records.sparkSession
-    planned = plan_deliveries(records, config)
+    stage = f"{checkpoint_dir(spark)}/fanout-{uuid.uuid4().hex}"
+    routed = routed_events(records, config).withColumn("record", F.monotonically_increasing_id())
+    routed.write.parquet(f"{stage}/routed")
+    plan = planned(spark.read.schema(routed.schema).parquet(f"{stage}/routed"), config)
+    bodies = shaped(plan.deliveries, config)
+    bodies.write.parquet(f"{stage}/bodies")
+    ready = spark.read.schema(bodies.schema).parquet(f"{stage}/bodies")
     path = f"{attempts_path}/batch_id={batch_id}"
-    ready = staged(shaped(planned.deliveries, config), "deliveries")
-    send_all(ready, config).write.mode("overwrite").parquet(path)
-    attempts = spark.read.schema(delivery.ATTEMPTS).parquet(path)
-    settled = delivery.settle(step_results(ready, attempts))
+    sent = send_all(ready, config)
+    sent.write.mode("overwrite").parquet(path)
+    attempts = spark.read.schema(sent.schema).parquet(path)
+    settled = delivery.settle(step_results(ready, attempts), ("record", "id"))
+    account = _account(plan, settled)
+    accounts = f"{attempts_path.rstrip('/')}.accounts/batch_id={batch_id}"
+    account.write.mode("overwrite").parquet(accounts)
+    account = spark.read.schema(ACCOUNT).parquet(accounts)
     failed_at = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    dead = delivery.dead_letters(planned.events, settled, failed_at)
-    if config.no_output.allow and config.no_output.sink == "dlq":
-        dead = dead.unionByName(
-            planned.unreached.select(failed_at.alias("failed_at"), F.col("reason").alias("error"), "envelope")
-        )
-    write_dead(dead)
-    write_undecodable(planned.undecodable)
-    return settled
+    write_dead(delivery.dead_letters(plan.events, account, failed_at))
+    write_undecodable(plan.undecodable)
+    lost = account.filter("outcome = 'error'")
+    if write_unreached is not None:
+        write_unreached(plan.unreached.filter("outcome = 'error'").drop("record"))
+    elif count := lost.count():
+        raise RuntimeError(f"{count} events of batch {batch_id} reach no destination: {lost.first()['reason']}")
+    remove(spark, stage)
+    return account
+
+
+def _account(plan: Planned, settled: DataFrame) -> DataFrame:
+    """One row per record of a batch."""
+    topics = plan.events.select(F.col("record").alias("of"), "topic")
+    sent = settled.join(topics, F.col("record") == F.col("of")).select("record", "id", "topic", "outcome", "reason")
+    outcome = F.when(F.col("outcome") == "commit", "discard").otherwise(F.col("outcome")).alias("outcome")
+    unreached = plan.unreached.select("record", "id", "topic", outcome, "reason")
+    none = F.lit(None).cast("string")
+    unread = plan.unread.select("record", none.alias("id"), "topic", F.lit("undecodable").alias("outcome"), F.col("decode_error").alias("reason"))
+    return sent.unionByName(unreached).unionByName(unread)
 
 
 def start(
@@ -156,6 +203,7 @@ def start(
     write_undecodable: Callable[[DataFrame], None],
     write_settled: Callable[[DataFrame], None] = lambda settled: None,
     trigger: dict | None = None,
+    write_unreached: Callable[[DataFrame], None] | None = None,
 ):
     """Run the fan-out over a stream of topic records, batch by batch.
 
@@ -163,7 +211,7 @@ def start(
     """
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        write_settled(process_batch(df, config, attempts_path, batch_id, write_dead, write_undecodable))
+        write_settled(process_batch(df, config, attempts_path, batch_id, write_dead, write_undecodable, write_unreached))
 
     writer = records.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

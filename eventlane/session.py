@@ -42,9 +42,18 @@ def prepare(spark: SparkSession, *packages: str) -> SparkSession:
             spark.conf.set(key, better)
     for package in ("eventlane", *packages):
         ship(spark, package)
+        _expose(spark, package)
     return spark
 
 
+def _expose(spark: SparkSession, package: str) -> None:
+    """Put a package on the path of the Python processes that the driver starts for streams."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(importlib.import_module(package).__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+
+
 def ship(spark: SparkSession, package: str) -> None:
     """Send a package to the executors as a zip, once per application."""
     mark = (spark.sparkContext.applicationId, package)
@@ -63,19 +72,29 @@ def ship(spark: SparkSession, package: str) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for reliable checkpoints.
+    """Folder for staged tables and reliable checkpoints.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``; only where
-    that is unset (tests, one machine) is a temporary folder made.
+    A cluster names a folder that all executors share in
+    ``spark.checkpoint.dir``. Only a local session, where all tasks run on this
+    machine, gets a temporary folder if none is named.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    named = named or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="eventlane-ckpt-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        named = tempfile.mkdtemp(prefix="eventlane-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", named)
     return named
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a staged folder that is no longer read."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it back.
 
@@ -87,15 +106,3 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when the input has fewer splits than that.
-
-    A large table has many splits and is returned as it is. A small one that
-    sits in a single file would be parsed by a single task.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df

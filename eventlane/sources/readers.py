@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from eventlane import model
 from eventlane.operators.envelopes import decode_envelope
@@ -72,22 +72,36 @@ LOG_TIME = r"\A(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}
 def read_logs(
     spark: SparkSession, path: str, since: str | None = None, until: str | None = None, stream: bool = False
 ) -> DataFrame:
-    """Log lines as (source, ts, line); the source is the file name without ``.log``."""
-    lines = _reader(spark, stream).text(path)
+    """Log lines as (source, ts, line_no, line).
+
+    The source is the file's path below ``path`` without ``.log``, or its name
+    where ``path`` is the file. ``line_no`` grows along a file but has gaps: it
+    is the place of the line's split in the file plus the line's number in its
+    task, which stays below the size of a split. A stream has no ``line_no``.
+    """
+    lines = _reader(spark, stream).option("recursiveFileLookup", "true").text(path)
+    root = re.sub(r"\A[a-z]+:/+", "/", path).rstrip("/")
+    below = F.regexp_replace("_metadata.file_path", rf"\A.*?{re.escape(root)}/", "")
+    name = F.when(F.contains("_metadata.file_path", F.lit(root + "/")), below).otherwise(F.element_at(F.split("_metadata.file_path", "/"), -1))
+    number = F.lit(None).cast("bigint")
+    if not stream:
+        number = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     tagged = lines.select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.log)?$", 1).alias("source"),
+        F.regexp_replace(name, r"\.log\z", "").alias("source"),
         F.regexp_extract(F.col("value"), LOG_TIME, 1).try_cast("timestamp").alias("ts"),
+        number.alias("line_no"),
         F.col("value").alias("line"),
     )
     return log_bounds(tagged, since, until)
 
 
 def log_bounds(lines: DataFrame, since: str | None = None, until: str | None = None) -> DataFrame:
-    """Lines with ``since <= ts <= until``; without bounds all lines pass."""
+    """Lines with ``since <= ts <= until``; undated lines, such as those of a traceback, always stay."""
+    undated = F.col("ts").isNull()
     if since is not None:
-        lines = lines.filter(F.col("ts") >= F.lit(since).cast("timestamp"))
+        lines = lines.filter(undated | (F.col("ts") >= F.lit(since).cast("timestamp")))
     if until is not None:
-        lines = lines.filter(F.col("ts") <= F.lit(until).cast("timestamp"))
+        lines = lines.filter(undated | (F.col("ts") <= F.lit(until).cast("timestamp")))
     return lines
 
 
@@ -95,6 +109,3 @@ def read_heartbeats(spark: SparkSession, path: str, stream: bool = False) -> Dat
     """Heartbeat snapshots (nested JSON) with a fixed schema, no inference pass."""
     return _reader(spark, stream).schema(model.HEARTBEAT).json(path)
 
-
-def schema_ddl(schema: T.StructType) -> str:
-    return schema.simpleString()

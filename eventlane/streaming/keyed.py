@@ -4,8 +4,8 @@ State is one number per key, held in the state store and dropped by an
 event-time timer once it can no longer matter. The rules are the ones of
 ``operators.folds``; order within a micro-batch is (time, seq). A row earlier
 than its key's state is judged against that state. The watermark must lag more
-than the worst disorder between partitions: rows behind it are dropped by
-Spark and show up in ``numRowsDroppedByWatermark``. ``prepare`` selects the
+than the worst disorder between partitions: Spark drops rows behind it, so run
+the streams under ``LateRowAlarm``, which stops a query at the first such row. ``prepare`` selects the
 RocksDB state store, which these operators need.
 """
 
@@ -13,10 +13,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 from eventlane.functions.text import safe_key
 from eventlane.operators.folds import (
@@ -29,18 +29,20 @@ from eventlane.operators.folds import (
 )
 
 DECISION = "seq bigint, fold_key string, at timestamp, accepted boolean"
-DAY_MS = 86_400_000
 
 
 class KeyedRule(StatefulProcessor):
     """One stored number per key; ``judge`` applies the rule to a sorted batch."""
 
+    # Columns that rows keep on their way through.
+    carry: tuple[str, ...] = ()
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("value", T.StructType([T.StructField("value", T.LongType())]))
 
-    def judge(self, times: list[int], stored: int | None) -> tuple[list[bool], int, int]:
-        """(accepted per row, value to store, time in ms until which it matters)."""
+    def judge(self, times: list[int], stored: int | None) -> tuple[list[bool], int, int | None]:
+        """(accepted per row, value to store, time in ms until which it matters or None for ever)."""
         raise NotImplementedError
 
     def spent(self, stored: int, now_ms: int) -> bool:
@@ -48,15 +50,16 @@ class KeyedRule(StatefulProcessor):
         raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        batch = sorted(((r["fold_time"], r["seq"], r["at"]) for r in rows), key=lambda row: row[:2])
+        batch = sorted(rows, key=lambda r: (r["fold_time"], r["seq"]))
         held = self.state.get()
         stored = None if held is None else held[0]
-        accepted, value, until_ms = self.judge([row[0] for row in batch], stored)
+        accepted, value, until_ms = self.judge([r["fold_time"] for r in batch], stored)
         if value != stored:
             self.state.update((value,))
-            self.handle.registerTimer(until_ms)
-        for (_, seq, at), ok in zip(batch, accepted):
-            yield Row(seq=seq, fold_key=key[0], at=at, accepted=ok)
+            if until_ms is not None:
+                self.handle.registerTimer(until_ms)
+        for r, ok in zip(batch, accepted, strict=True):
+            yield Row(seq=r["seq"], fold_key=key[0], at=r["at"], accepted=ok, **{c: r[c] for c in self.carry})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         held = self.state.get()
@@ -100,8 +103,8 @@ class CountRule(KeyedRule):
 
 
 class TokenRule(KeyedRule):
-    """An idle bucket holds one request more than a fresh one, so its state is
-    kept for a day past being full rather than dropped at once."""
+    """An idle bucket holds one request more than a fresh one, so its state, one
+    number an address, is kept for good, as the batch rule keeps it."""
 
     def __init__(self, limit: int) -> None:
         self.limit, self.period = limit, refill_period_ms(limit)
@@ -111,44 +114,48 @@ class TokenRule(KeyedRule):
         for now in times:
             hits, full_at = bucket_admissions([now], [1], 0, 1, full_at, self.period, self.limit)
             accepted.append(bool(hits))
-        return accepted, full_at, full_at + DAY_MS
+        return accepted, full_at, None
 
     def spent(self, stored, now_ms):
-        return stored + DAY_MS <= now_ms
-
-
-def _run(rows: DataFrame, rule: KeyedRule, delay: str) -> DataFrame:
-    keyed = rows.withWatermark("at", delay)
-    return keyed.groupBy("fold_key").transformWithState(rule, DECISION, "Append", "EventTime")
+        return False
 
 
-def _rows(df: DataFrame, key, time, at: str) -> DataFrame:
-    return df.select("seq", key.alias("fold_key"), time.cast("bigint").alias("fold_time"), F.col(at).alias("at"))
+def _run(df: DataFrame, rule: KeyedRule, delay: str, key: Column, time: Column, at: str, refused: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Decisions of all rows; those with a blank key never meet the state and are accepted."""
+    rows = df.select("seq", key.alias("fold_key"), time.cast("bigint").alias("fold_time"), F.col(at).alias("at"), *carry)
+    rows = rows.withWatermark("at", delay)
+    blank = F.coalesce(F.col("fold_key"), F.lit("")) == ""
+    rule.carry = carry
+    schema = DECISION + "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema[4:])
+    judged = rows.filter(~blank).groupBy("fold_key").transformWithState(rule, schema, "Append", "EventTime")
+    free = rows.filter(blank).select("seq", "fold_key", "at", F.lit(True).alias("accepted"), *carry)
+    decision = F.when(F.col("accepted"), F.lit(ACCEPT)).otherwise(F.lit(refused)).alias("decision")
+    return judged.unionByName(free).select("seq", "fold_key", "at", decision, *carry)
 
 
 def dedup_ttl_stream(
     df: DataFrame, ttl_seconds: int = 604_800, key: str = "dedup_key", epoch: str = "received_epoch",
-    at: str = "received_at", delay: str = "10 minutes",
+    at: str = "received_at", delay: str = "10 minutes", carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(seq, fold_key, at, decision) of a stream under the time-to-live rule."""
-    rows = _rows(df.filter(F.coalesce(F.col(key), F.lit("")) != ""), F.col(key), F.col(epoch), at)
-    return _named(_run(rows, TtlRule(ttl_seconds), delay), DUPLICATE)
+    """(seq, fold_key, at, decision) of a stream under the time-to-live rule, and the columns to ``carry``.
+
+    Carry the cooldown key and the epoch to chain ``cooldown_stream`` behind it.
+    """
+    return _run(df, TtlRule(ttl_seconds), delay, F.col(key), F.col(epoch), at, DUPLICATE, carry)
 
 
 def cooldown_stream(
     df: DataFrame, cooldown_seconds: int = 30, key: str = "cooldown_key", epoch: str = "received_epoch",
-    at: str = "received_at", delay: str = "10 minutes",
+    at: str = "received_at", delay: str = "10 minutes", carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Same for dedup survivors under their cooldown key."""
-    rows = _rows(df.filter(F.coalesce(F.col(key), F.lit("")) != ""), F.col(key), F.col(epoch), at)
-    return _named(_run(rows, TtlRule(cooldown_seconds), delay), COOLDOWN)
+    return _run(df, TtlRule(cooldown_seconds), delay, F.col(key), F.col(epoch), at, COOLDOWN, carry)
 
 
 def alert_throttle_stream(
     df: DataFrame, cooldown_seconds: int = 300, key: str = "event", epoch: str = "epoch", at: str = "at", delay: str = "10 minutes"
 ) -> DataFrame:
-    rows = _rows(df, safe_key(key), F.col(epoch), at)
-    return _named(_run(rows, TtlRule(cooldown_seconds), delay), "suppressed")
+    return _run(df, TtlRule(cooldown_seconds), delay, safe_key(key), F.col(epoch), at, "suppressed")
 
 
 def rate_limit_source_stream(
@@ -157,22 +164,49 @@ def rate_limit_source_stream(
 ) -> DataFrame:
     """First ``limit`` rows per source and bucket; the key holds the bucket, so few sources still spread."""
     bucket = F.call_function("div", F.col(epoch), F.lit(bucket_seconds)).cast("string")
-    rows = _rows(df, F.concat_ws("@", F.col(source), bucket), F.col(epoch), at)
-    return _named(_run(rows, CountRule(limit, bucket_seconds), delay), "limited")
+    key = F.concat_ws("@", F.col(source), bucket)
+    return _run(df, CountRule(limit, bucket_seconds), delay, key, F.col(epoch), at, "limited")
 
 
 def rate_limit_ip_stream(
     df: DataFrame, limit_per_minute: int = 100, ip: str = "client_ip", millis: str = "received_ms",
     at: str = "received_at", delay: str = "10 minutes",
 ) -> DataFrame:
-    rows = _rows(df.filter(F.col(ip).isNotNull()), F.col(ip), F.col(millis), at)
-    return _named(_run(rows, TokenRule(limit_per_minute), delay), "limited")
+    """Token bucket per address; rows without an address are accepted."""
+    return _run(df, TokenRule(limit_per_minute), delay, F.col(ip), F.col(millis), at, "limited")
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that the query's stateful operators dropped behind the watermark, over its known progress."""
+    return sum(s.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for s in p["stateOperators"])
+
 
+class LateRowAlarm(StreamingQueryListener):
+    """Stops a query that drops a row behind the watermark, before it drops more.
 
-def _named(decided: DataFrame, refused: str) -> DataFrame:
-    return decided.select(
-        "seq", "fold_key", "at", F.when(F.col("accepted"), F.lit(ACCEPT)).otherwise(F.lit(refused)).alias("decision")
-    )
+    Add it to ``spark.streams``. Restart the query with a longer ``delay``, and
+    send the range of the alarmed batch through the batch fold.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.alarms = spark, []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        lost = sum(s.numRowsDroppedByWatermark for s in event.progress.stateOperators)
+        if lost:
+            self.alarms.append((str(event.progress.id), event.progress.batchId, lost))
+            query = self.spark.streams.get(str(event.progress.id))
+            if query is not None:
+                query.stop()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
 
 
 def dedup_approximate(df: DataFrame, key: str = "dedup_key", at: str = "received_at", delay: str = "7 days") -> DataFrame:

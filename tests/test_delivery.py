@@ -177,7 +177,7 @@ def test_fan_out_batch_end_to_end(spark, tmp_path):
         records, config, str(tmp_path / "attempts"), 0,
         lambda df: writers.write_dlq(df, "dlq", table_path=dead), lambda df: writers.quarantine(df, broken),
     )
-    assert sorted((r.id, r.outcome) for r in settled.collect()) == [("0", "commit"), ("2", "dlq")]
+    assert sorted((r.id or "", r.outcome) for r in settled.collect()) == [("", "undecodable"), ("0", "commit"), ("1", "dlq"), ("2", "dlq"), ("3", "dlq")]
     lost = [json.loads(r.value) for r in spark.read.parquet(dead).collect()]
     assert {d["envelope"]["id"]: d["error"].split(" for ")[0] for d in lost} == {
         "1": "no active smash destinations", "3": "no matching smash route",
@@ -186,6 +186,80 @@ def test_fan_out_batch_end_to_end(spark, tmp_path):
     assert spark.read.parquet(broken).select("decode_error").collect() == [("invalid json",)]
 
 
+def strict():
+    """Takes a delivery unless its payload asks for a refusal."""
+
+    def send(key, body):
+        return 404 if json.loads(body)["payload"].get("refuse") else 200
+
+    return send
+
+
+def fan_out(spark, tmp_path, records, policy=routing.NoOutputPolicy(), **sinks):
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    order = (routing.SmashRoute("r", "t.*", ("push",), (routing.Destination("first"), routing.Destination("later", False))),)
+    config = fanout.FanoutConfig(order, tuple(fanout.Adapter(a, strict, policy=delivery.RetryPolicy(1)) for a in ("first", "later")), policy)
+    path = str(tmp_path / "attempts")
+    kept = {}
+    account = fanout.process_batch(records, config, path, 0, lambda df: kept.update(dead=df.collect()), lambda df: kept.update(bad=df.collect()), **sinks)
+    return account.collect(), kept, spark.read.parquet(path).collect()
+
+
+def log_rows(spark, *rows):
+    texts = [json.dumps({**ENVELOPE, "id": i, "event_type": t, "payload": p}) for i, t, p in rows]
+    return values(spark, *texts).withColumn("topic", F.lit("t.a"))
+
+
+def test_records_of_equal_id_are_judged_apart(spark, tmp_path):
+    rows = log_rows(spark, ("7", "push", {}), ("7", "push", {"refuse": True}), ("7", "push", {}))
+    account, kept, _ = fan_out(spark, tmp_path, rows)
+    assert sorted((r.id, r.outcome) for r in account) == [("7", "commit"), ("7", "commit"), ("7", "dlq")]
+    assert len(kept["dead"]) == 1 and "refuse" in str(kept["dead"][0].envelope)
+
+
+def test_nothing_is_sent_after_a_required_failure(spark, tmp_path):
+    rows = log_rows(spark, ("1", "push", {}), ("2", "push", {"refuse": True}))
+    account, _, attempts = fan_out(spark, tmp_path, rows)
+    assert sorted((r.id, r.adapter_id) for r in attempts) == [("1", "first"), ("1", "later"), ("2", "first")]
+    assert {r.id: r.outcome for r in account} == {"1": "commit", "2": "dlq"}
+
+
+def test_events_without_destination_are_never_lost(spark, tmp_path):
+    rows = log_rows(spark, ("1", "push", {}), ("2", "view", {}))
+    with pytest.raises(RuntimeError, match="1 events of batch 0 reach no destination"):
+        fan_out(spark, tmp_path / "a", rows)
+    caught = []
+    account, _, _ = fan_out(spark, tmp_path / "b", rows, write_unreached=lambda df: caught.extend(df.collect()))
+    assert {r.id: r.outcome for r in account} == {"1": "commit", "2": "error"} and [r.id for r in caught] == ["2"]
+    account, _, _ = fan_out(spark, tmp_path / "c", rows, routing.NoOutputPolicy(True, "discard"))
+    assert {r.id: r.outcome for r in account} == {"1": "commit", "2": "discard"}
+
+
+def test_a_batch_leaves_no_staged_table(spark, tmp_path):
+    import glob
+
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    before = set(glob.glob(f"{folder}/fanout-*"))
+    fan_out(spark, tmp_path, log_rows(spark, ("1", "push", {})))
+    assert set(glob.glob(f"{folder}/fanout-*")) == before
+
+
+def test_a_deadline_leaves_retries_pending():
+    def down(key, body):
+        raise TimeoutError
+
+    import time
+
+    tries = delivery.attempt_rows("k", "b", down, delivery.RetryPolicy(5, 10, 30), lambda s: None, time.monotonic() + 15)
+    assert 2 <= len(tries) <= 5
+    tries = delivery.attempt_rows("k", "b", down, delivery.RetryPolicy(5, 10, 30), lambda s: None, time.monotonic())
+    assert len(tries) == 1 and tries[0][3] == 10
+
+
 def test_fan_out_stream(spark, tmp_path):
     import sys
 
@@ -204,7 +278,7 @@ def test_fan_out_stream(spark, tmp_path):
         lambda df: writers.write_table(df, done),
     )
     query.awaitTermination()
-    assert sorted((r.id, r.outcome) for r in spark.read.parquet(done).collect()) == [("0", "commit"), ("1", "commit"), ("2", "dlq"), ("3", "commit")]
+    assert sorted((r.id, r.outcome) for r in spark.read.parquet(done).select("id", "outcome").collect()) == [("0", "commit"), ("1", "commit"), ("2", "dlq"), ("3", "commit")]
     assert spark.read.parquet(dead).count() == 1
 
 
@@ -256,11 +330,11 @@ def test_reading_files(spark, tmp_path):
     (tmp_path / "logs").mkdir()
     (tmp_path / "logs" / "unit.log").write_text("2024-01-01T00:00:00Z a\n2024-01-03T00:00:00Z b\nplain\n")
     logs = readers.read_logs(spark, str(tmp_path / "logs"), since="2024-01-02", until="2024-01-04")
-    assert [(r.source, r.line[-1]) for r in logs.collect()] == [("unit", "b")]
+    assert [(r.source, r.line) for r in logs.orderBy("line_no").collect()] == [("unit", "2024-01-03T00:00:00Z b"), ("unit", "plain")]
     beat = {"host": "h", "timestamp": "2024-01-01T00:00:00Z", "services": {"x": "active"}, "vms": {"kafka_brokers": []}}
     (tmp_path / "hb.json").write_text(json.dumps(beat))
     beats = readers.read_heartbeats(spark, str(tmp_path / "hb.json"))
-    rules = {r.event for r in health.health_rules(beats).collect()}
+    rules = {r.event for r in health.health_rules(beats, health.HealthConfig("relay.service", "b@{id}.service", "10.0.0.1", ("net.service",))).collect()}
     assert rules == {"relay_port_down", "required_service_down_firecracker-network.service", "required_service_down_firecracker@relay.service"}
 
 

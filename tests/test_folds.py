@@ -1,6 +1,10 @@
 """Keyed folds against plain sequential stores, in batch and as streams."""
 
+import os
 import random
+import subprocess
+import sys
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -197,3 +201,68 @@ def test_stream_cooldown_and_throttle(spark, tmp_path):
     assert [d for _, d in sorted(map(tuple, throttled.select("seq", "decision").collect()))] == [
         "accept", "suppressed", "accept", "accept", "accept",
     ]
+
+
+def test_blank_keys_pass_a_stream(spark, tmp_path):
+    rows = [(1, BASE, "k"), (2, BASE + 1, ""), (3, BASE + 2, None), (4, BASE + 3, "k")]
+    schema = "seq bigint, received_epoch bigint, dedup_key string"
+    out = run_stream(spark, tmp_path, rows, schema, (4,), lambda s: keyed.dedup_ttl_stream(s, 500, carry=("received_epoch",)))
+    batch = folds.dedup_ttl(spark.createDataFrame(rows, schema), 500)
+    assert sorted(map(tuple, out.select("seq", "decision").collect())) == sorted(map(tuple, batch.select("seq", "decision").collect()))
+    assert sorted(r.received_epoch for r in out.collect()) == [r[1] for r in rows]
+
+
+def test_addresses_are_not_forgotten(spark, tmp_path):
+    """An address that was idle for days keeps the token its bucket holds, as in batch."""
+    rows = [(i, BASE + t, (BASE + t) * 1000, "1.2.3.4") for i, t in enumerate([0, 1, 2, 400_000, 400_000, 400_000, 400_000])]
+    schema = "seq bigint, received_epoch bigint, received_ms bigint, client_ip string"
+    out = run_stream(spark, tmp_path, [*rows, (99, BASE + 900_000, (BASE + 900_000) * 1000, None)], schema, (3, 4, 1), lambda s: keyed.rate_limit_ip_stream(s, 3))
+    batch = folds.rate_limit_ip(spark.createDataFrame(rows, schema), 3)
+    got = {r.seq: r.decision == "accept" for r in out.collect()}
+    assert got.pop(99) and got == {r.seq: r.within_ip_limit for r in batch.collect()}
+
+
+def test_late_rows_raise_an_alarm(spark, tmp_path):
+    rows = [(1, BASE, "a"), (2, BASE + 90_000, "b"), (3, BASE + 90_001, "c"), (4, BASE, "d"), (5, BASE + 90_002, "e")]
+    schema = "seq bigint, received_epoch bigint, dedup_key string"
+    alarm = keyed.LateRowAlarm(spark)
+    spark.streams.addListener(alarm)
+    try:
+        run_stream(spark, tmp_path, rows, schema, (2, 1, 1, 1), lambda s: keyed.dedup_ttl_stream(s, 500))
+        for _ in range(100):
+            if alarm.alarms:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(alarm)
+    assert sum(lost for _, _, lost in alarm.alarms) == 1
+
+
+def test_streams_start_from_any_folder(tmp_path):
+    script = tmp_path / "away.py"
+    script.write_text(
+        "import sys; sys.path.insert(0, sys.argv[1])\n"
+        "from pyspark.sql import SparkSession, functions as F\n"
+        "from eventlane.session import prepare\nfrom eventlane.streaming import keyed\n"
+        "s = prepare(SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate())\n"
+        "s.createDataFrame([(1, 1700000000, 'a')], 'seq bigint, received_epoch bigint, dedup_key string').write.parquet(sys.argv[2] + '/in')\n"
+        "r = s.readStream.schema('seq bigint, received_epoch bigint, dedup_key string').parquet(sys.argv[2] + '/in')\n"
+        "q = keyed.dedup_ttl_stream(r.withColumn('received_at', F.timestamp_seconds('received_epoch'))).writeStream.format('parquet')\n"
+        "q.option('checkpointLocation', sys.argv[2] + '/st').trigger(availableNow=True).start(sys.argv[2] + '/out').awaitTermination()\n"
+        "print('ROWS', s.read.parquet(sys.argv[2] + '/out').count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, str(script), root, str(tmp_path)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS 1" in done.stdout, done.stderr[-2000:]
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from eventlane import session
+
+    none = SimpleNamespace(get=lambda *a: None)
+    context = SimpleNamespace(getConf=lambda: none, getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(SimpleNamespace(sparkContext=context, conf=none))

@@ -5,11 +5,11 @@ The same derivations are stated as SQL in ``workload.oracle``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventlane.functions.signing import hmac_sha256_hex, pads
-from eventlane.session import prepare, spread
+from eventlane.session import prepare
 
 SECRETS = {"github": "gh-secret", "linear": "lin-secret", "example": "Example-Token"}
 TRUSTED = ("10.0.0.0/23",)
@@ -30,7 +30,7 @@ def ready(spark: SparkSession) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ready(spark)
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def phrase(number: Column) -> Column:
@@ -153,11 +153,10 @@ def envelopes_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order and line; the given table repeats some line numbers."""
+    """All lines of each order, numbered anew: the given table repeats some line numbers."""
     items = table(spark, sf_dir, "lineitem")
-    return items.groupBy("l_orderkey", "l_linenumber").agg(
-        F.max("l_partkey").alias("l_partkey"), F.max("l_suppkey").alias("l_suppkey")
-    )
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    return items.select("l_orderkey", F.row_number().over(order).alias("l_linenumber"), "l_partkey", "l_suppkey")
 
 
 def delivery_steps(spark: SparkSession, sf_dir: str) -> DataFrame:

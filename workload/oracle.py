@@ -122,8 +122,7 @@ ORACLE["client_ip"] = f"""WITH {EVENTS} SELECT seq, CASE WHEN user_id % 4 < 2 TH
 
 DEDUP_ROWS = "SELECT dedup_key AS k, ep AS t, seq FROM keyed WHERE dedup_key IS NOT NULL"
 ORACLE["dedup_ttl"] = f"""WITH RECURSIVE {REQUESTS}, {_fold('d', DEDUP_ROWS, 604800)}
-  SELECT seq, CASE WHEN seq IN (SELECT seq FROM d_ok) THEN 'accept' ELSE 'duplicate' END AS decision
-  FROM keyed WHERE dedup_key IS NOT NULL"""
+  SELECT seq, CASE WHEN dedup_key IS NULL OR seq IN (SELECT seq FROM d_ok) THEN 'accept' ELSE 'duplicate' END AS decision FROM keyed"""
 ORACLE["stream_dedup"] = ORACLE["dedup_ttl"]
 ORACLE["cooldown"] = f"""WITH RECURSIVE {REQUESTS}, {_fold('d', DEDUP_ROWS, 259200)},
   {_fold('c', 'SELECT cooldown_key AS k, ep AS t, seq FROM keyed WHERE cooldown_key IS NOT NULL AND seq IN (SELECT seq FROM d_ok)', 36000)}
@@ -333,10 +332,11 @@ ORACLE["prevalidated"] = f"""WITH {LOG}, c AS (SELECT seq, CASE WHEN ok THEN sou
     CASE WHEN reason IS NULL THEN 'kafka-in' END AS ingress_adapter FROM v"""
 ORACLE["mcp_calls"] = f"""WITH {LOG}, c AS (SELECT seq, CASE WHEN ok THEN source ELSE 'x' END AS source,
     octet_length(encode(CASE WHEN ok THEN payload ELSE 'null' END)) > 110 AS big FROM log WHERE ok OR seq % 41 = 2)
-  SELECT seq, source, CASE WHEN big THEN 'rejected' ELSE 'accepted' END AS status, CASE WHEN big THEN 413 ELSE 200 END AS http_code FROM c"""
+  SELECT seq, source, CASE WHEN big THEN 'rejected' ELSE 'accepted' END AS status, CASE WHEN big THEN 413 ELSE 200 END AS http_code, NULL AS parse_error FROM c
+  UNION ALL SELECT seq, NULL, NULL, NULL, CASE seq % 41 WHEN 0 THEN 'missing payload' ELSE 'invalid json' END FROM log WHERE NOT ok AND seq % 41 <> 2"""
 ORACLE["decode_dlq"] = f"""WITH {LOG}
   SELECT seq, strftime(make_timestamp((ep + 60) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS failed_at, 'forward failed: ' || (seq % 3) AS error,
-    'e-' || seq AS id, NULL AS decode_error FROM log WHERE ok AND seq % 4 = 0
+    'e-' || seq AS id, NULL AS decode_error FROM log WHERE ok
   UNION ALL SELECT seq, NULL, NULL, NULL, coalesce({_DECODE_ERROR.replace('invalid envelope', 'invalid dead letter')}, 'invalid dead letter') FROM log"""
 # Steps number the destinations over the whole route list.
 STEPS = """steps AS (
@@ -361,12 +361,12 @@ ORACLE["shape_http"] = f"""WITH {LOG}, p AS (SELECT *, CASE WHEN octet_length(en
     || '","payload":"' || replace(cut, '"', '\\"') || '"}}' AS body FROM p"""
 ORACLE["shape_tool"] = f"""WITH {LOG}, s AS (SELECT seq, {_SORTED} AS envelope FROM log WHERE ok)
   SELECT seq, '{{"arguments":{{"envelope":' || envelope || '}},"tool":"ingest"}}' AS plain,
-    '{{"id":"hook-smash","jsonrpc":"2.0","method":"tools/call","params":{{"arguments":{{"envelope":' || envelope
+    '{{"id":"1","jsonrpc":"2.0","method":"tools/call","params":{{"arguments":{{"envelope":' || envelope
     || '}},"name":"ingest"}}}}' AS jsonrpc FROM s"""
 ORACLE["dlq_summary"] = f"""WITH {LOG} SELECT source, event_type, 'forward failed: ' || (seq % 3) AS error, count(*) AS dead_letters,
-  max(strftime(make_timestamp((ep + 60) * 1000000), '%Y-%m-%dT%H:%M:%SZ')) AS last_failed_at FROM log WHERE ok AND seq % 4 = 0 GROUP BY ALL"""
+  max(strftime(make_timestamp((ep + 60) * 1000000), '%Y-%m-%dT%H:%M:%SZ')) AS last_failed_at FROM log WHERE ok GROUP BY ALL"""
 ORACLE["replay_dlq"] = f"""WITH {LOG} SELECT 'webhooks.core' AS topic, 'e-' || seq AS key, md5({_WIRE}) AS value_md5
-  FROM log WHERE ok AND seq % 4 = 0 AND seq % 3 = 1"""
+  FROM log WHERE ok AND seq % 3 = 1"""
 ORACLE["replay_topic"] = f"""WITH {LOG} SELECT 'webhooks.retry' AS topic, 'e-' || seq AS key FROM log
   WHERE source = 'github' AND ep BETWEEN epoch(TIMESTAMP '2024-01-10') AND epoch(TIMESTAMP '2024-01-20')"""
 ORACLE["relay_fan_in"] = f"""WITH {LOG} SELECT 'e-' || seq AS key, CASE WHEN ok THEN 'webhooks.core' ELSE topic END AS topic,
@@ -379,8 +379,8 @@ ORACLE["trace_event"] = f"""WITH {LOG}, r AS (SELECT 'e-' || seq AS id, seq, ep
 # --- delivery ----------------------------------------------------------------------
 
 # One row per order and line; the given table repeats some line numbers.
-_ITEMS = """items AS (SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey, max(l_suppkey) AS l_suppkey
-  FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
+_ITEMS = """items AS (SELECT l_orderkey, l_partkey, l_suppkey,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)::INTEGER AS l_linenumber FROM lineitem)"""
 D_STEPS = f"""{_ITEMS}, dsteps AS (SELECT CAST(l_orderkey AS VARCHAR) AS id, CAST(l_linenumber AS INTEGER) AS step, 'r' || (l_partkey % 5) AS route_id,
   'a' || (l_suppkey % 7) AS adapter_id, l_linenumber % 3 <> 0 AS required, l_partkey % 11 = 0 AS failed,
   CASE WHEN l_partkey % 11 = 0 THEN 'destination returned ' || CASE WHEN l_partkey % 2 = 0 THEN '503' ELSE '404' END END AS error FROM items),
@@ -403,12 +403,6 @@ ORACLE["attempt_outcome"] = f"""WITH {_ITEMS}, {TRIES}, last AS (SELECT *, row_n
       ELSE 'permanent' END AS outcome FROM last WHERE rn = 1)
   SELECT id, attempts, http_status, outcome, CASE outcome WHEN 'exhausted' THEN 'forward failed after ' || attempts || ' attempts: ' || detail
     WHEN 'permanent' THEN 'forward failed permanently: ' || detail END AS error FROM c"""
-ORACLE["deliver_http"] = """WITH a AS (SELECT o_orderkey, CAST(o_orderkey % 5 AS INTEGER) AS r, unnest(range(1, 4)) AS attempt FROM orders)
-  SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(attempt AS INTEGER) AS attempt,
-    CASE r WHEN 0 THEN 200 WHEN 1 THEN 503 WHEN 2 THEN 429 WHEN 4 THEN 404 END AS http_status,
-    CASE WHEN r = 3 THEN 'timeout' END AS error,
-    CASE WHEN r IN (1, 2, 3) AND attempt < 3 THEN CAST(attempt AS DOUBLE) END AS backoff
-  FROM a WHERE attempt = 1 OR r IN (1, 2, 3)"""
 ORACLE["reconcile"] = f"""WITH {D_STEPS}, core AS (SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_custkey % 10 <> 0)
   SELECT CAST(o_orderkey AS VARCHAR) AS id, 'core' AS missing FROM orders WHERE o_custkey % 10 = 0
   UNION ALL SELECT id, 'delivery' FROM core WHERE id NOT IN (SELECT id FROM settled WHERE failed_step IS NULL OR failed_step <> 2)"""
@@ -464,7 +458,7 @@ ORACLE["alert_throttle"] = f"""WITH RECURSIVE {BEATS}, one AS (SELECT event, ep
   SELECT event, epoch, alerts, (event, epoch) IN (SELECT (k, t) FROM sent) AS sent FROM one"""
 ORACLE["heartbeat_gaps"] = f"""WITH {BEATS}, g AS (SELECT host, ep AS epoch, ep - lag(ep) OVER (PARTITION BY host ORDER BY ep) AS gap_seconds FROM beats)
   SELECT *, (gap_seconds // 3600) || 'h ' || ((gap_seconds % 3600) // 60) || 'm' AS gap_text FROM g WHERE gap_seconds IS NOT NULL"""
-ORACLE["latest_status"] = f"""WITH {BEATS}, l AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ep DESC) AS rn FROM beats)
+ORACLE["latest_status"] = f"""WITH {BEATS}, l AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ep DESC, seq DESC) AS rn FROM beats)
   SELECT host, "timestamp" AS last_heartbeat, ep % 100000 AS uptime_seconds, (user_id * 1000) // 1024 AS available_mb, 4096::BIGINT AS total_mb,
     '0.1 0.2 0.3' AS load, 'ok:' || CASE WHEN seq % 29 = 0 THEN 'closed' ELSE 'open' END || ':active' AS relay,
     '1=ok:' || CASE WHEN (seq + 1) % 13 = 0 THEN 'closed' ELSE 'open' END || ':active, 2=ok:' ||
@@ -472,3 +466,20 @@ ORACLE["latest_status"] = f"""WITH {BEATS}, l AS (SELECT *, row_number() OVER (P
 ORACLE["probe_mismatch"] = """SELECT event_id, CASE WHEN event_type = 'view' THEN '404' ELSE '401' END AS expected,
   CASE WHEN user_id % 7 = 0 THEN '000' WHEN user_id % 2 = 0 THEN '404' ELSE '401' END AS observed FROM events
   WHERE CASE WHEN event_type = 'view' THEN '404' ELSE '401' END <> CASE WHEN user_id % 7 = 0 THEN '000' WHEN user_id % 2 = 0 THEN '404' ELSE '401' END"""
+
+# --- sources and sinks -----------------------------------------------------------------------
+
+ORACLE["stream_cooldown"] = ORACLE["cooldown"]
+ORACLE["stream_rate_limit_ip"] = ORACLE["rate_limit_ip"]
+ORACLE["requests_round_trip"] = ORACLE["rate_limit_source"]
+ORACLE["topic_round_trip"] = ORACLE["decode_envelope"]
+ORACLE["output_topic"] = f"WITH {LOG} SELECT 'webhooks.out' AS topic, 'e-' || seq AS key, md5({_WIRE}) AS value_md5 FROM log WHERE ok"
+ORACLE["dlq_round_trip"] = ORACLE["dlq_summary"]
+ORACLE["quarantined"] = f"WITH {LOG} SELECT seq, {_DECODE_ERROR} AS decode_error FROM log WHERE NOT ok"
+ORACLE["heartbeats_round_trip"] = ORACLE["recovered"]
+ORACLE["logs_round_trip"] = """SELECT event_type AS name, 'journal/' || event_type || '.log' AS file, true AS success,
+  least(count(*), 300) AS lines, count(*) AS read, count(*) FILTER (event_id % 9 <> 0) AS dated FROM events GROUP BY event_type"""
+ORACLE["fanout_accounting"] = f"""WITH {LOG}, {STEPS}
+  SELECT topic, CASE WHEN NOT ok THEN 'undecodable' WHEN seq NOT IN (SELECT seq FROM steps) THEN 'error'
+    WHEN seq % 6 = 0 AND seq IN (SELECT seq FROM steps WHERE required) THEN 'dlq' ELSE 'commit' END AS outcome, count(*) AS records
+  FROM log GROUP BY ALL"""

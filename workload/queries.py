@@ -8,15 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventlane import model
 from eventlane.functions import injection, net, payload, signing, text
 from eventlane.operators import delivery, envelopes, folds, gates, health, plugins, relay, reports, routing
-from eventlane.plans import serve
+from eventlane.plans import fanout, serve
 from eventlane.session import checkpoint_dir, staged
-from eventlane.sources import parsers, specs
+from eventlane.sources import parsers, readers, specs, writers
 from eventlane.sources.specs import BUILT_IN
 from eventlane.streaming import keyed
 from workload import fixtures
-from workload.senders import by_key_sender, no_wait
+from workload.senders import checking
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -307,7 +308,7 @@ def safe_keys(spark, sf_dir):
 
 @query
 def dedup_ttl(spark, sf_dir):
-    rows = keyed_requests(spark, sf_dir).filter(F.col("dedup_key").isNotNull()).select("seq", "received_epoch", "dedup_key")
+    rows = keyed_requests(spark, sf_dir).select("seq", "received_epoch", "dedup_key")
     return folds.dedup_ttl(staged(rows, "keys")).select("seq", "decision")
 
 
@@ -415,22 +416,6 @@ def attempt_outcome(spark, sf_dir):
     )
 
 
-@query
-def deliver_http(spark, sf_dir):
-    """Delivery attempts of every order against a stand-in receiver."""
-    orders = fixtures.table(spark, sf_dir, "orders")
-    rows = orders.select(
-        F.col("o_orderkey").cast("string").alias("id"), F.lit(0).alias("step"), F.lit("r").alias("route_id"),
-        F.lit("agent").alias("adapter_id"), F.lit(True).alias("required"), F.col("o_orderpriority").alias("body"),
-    )
-    sent = delivery.deliver(rows, by_key_sender, delivery.RetryPolicy(3, 1, 30), sleep=no_wait)
-    return sent.select("id", "attempt", "http_status", "error", "backoff")
-
-
-def envelope_column() -> Column:
-    return F.col("envelope")
-
-
 @query
 def shape_http(spark, sf_dir):
     log = parsed_log(spark, sf_dir)
@@ -464,6 +449,10 @@ def built_envelopes(spark, sf_dir):
 # --- records in and out ---------------------------------------------------------------
 
 
+def envelope_column() -> Column:
+    return F.col("envelope")
+
+
 @query
 def decode_envelope(spark, sf_dir):
     decoded = envelopes.decode_envelope(fixtures.envelopes_json(spark, sf_dir))
@@ -494,9 +483,10 @@ def ws_frames(spark, sf_dir):
 @query
 def mcp_calls(spark, sf_dir):
     """Tool calls with the adapter's limit on the serialized payload."""
-    parsed = parsers.parse_mcp_call(fixtures.envelopes_json(spark, sf_dir)).filter(F.col("parse_error").isNull())
-    gated = gates.gate_payload_size(parsed, 110, F.to_json("payload"))
-    return gates.with_status(gated).select("seq", "source", "status", "http_code")
+    parsed = parsers.parse_mcp_call(fixtures.envelopes_json(spark, sf_dir))
+    gated = gates.with_status(gates.gate_payload_size(parsed, 110, F.to_json("payload")))
+    read = F.col("parse_error").isNull()
+    return gated.select("seq", "source", F.when(read, F.col("status")).alias("status"), F.when(read, F.col("http_code")).alias("http_code"), "parse_error")
 
 
 @query
@@ -519,7 +509,7 @@ def prevalidated(spark, sf_dir):
 
 
 def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = parsed_log(spark, sf_dir).filter(F.col("seq") % 4 == 0)
+    log = parsed_log(spark, sf_dir)
     failed = envelopes.rfc3339(F.unix_seconds("timestamp") + 60)
     error = F.concat(F.lit("forward failed: "), (F.col("seq") % 3).cast("string"))
     record = envelopes.encode_dlq(failed, error, envelope_column())
@@ -666,7 +656,9 @@ def log_manifest(spark, sf_dir):
 
 
 def health_config() -> health.HealthConfig:
-    return health.HealthConfig(health_url="http://relay/health", health_restart_service="relay.service")
+    return health.HealthConfig(
+        "firecracker@relay.service", "firecracker@{id}.service", "172.30.0.20", ("firecracker-network.service", "firecracker@relay.service"),
+        health_url="http://relay/health", health_restart_service="relay.service")
 
 
 @query
@@ -714,6 +706,11 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def finish(stream: DataFrame) -> DataFrame:
     """Run a stream over all available input and return what it wrote."""
+    return stream.sparkSession.read.schema(stream.schema).parquet(stored(stream))
+
+
+def stored(stream: DataFrame) -> str:
+    """Run a stream over all available input and return where it wrote."""
     spark = stream.sparkSession
     base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     started = (
@@ -721,7 +718,9 @@ def finish(stream: DataFrame) -> DataFrame:
         .trigger(availableNow=True).start(f"{base}/out")
     )
     started.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    if lost := keyed.late_rows(started):
+        raise RuntimeError(f"{lost} rows came behind the watermark")
+    return f"{base}/out"
 
 
 @query
@@ -737,10 +736,121 @@ def stream_dedup(spark, sf_dir):
     req = fixtures.requests_from(event_stream(spark, sf_dir)).withColumn("source", text.normalize_source("source"))
     req = gates.with_secrets(gates.with_payload(req), signing.secrets_table(spark, fixtures.SECRETS))
     keyed_rows = gates.with_keys(req, tuple(BUILT_IN.values()))
-    return finish(keyed.dedup_ttl_stream(keyed_rows)).select("seq", F.when(F.col("decision") == "accept", "accept").otherwise("duplicate").alias("decision"))
+    return finish(keyed.dedup_ttl_stream(keyed_rows)).select("seq", "decision")
 
 
 @query
 def stream_rate_limit(spark, sf_dir):
     req = fixtures.requests_from(event_stream(spark, sf_dir)).withColumn("source", text.normalize_source("source"))
     return finish(keyed.rate_limit_source_stream(req, 3, 3600)).select("seq", (F.col("decision") == "accept").alias("within_limit"))
+
+
+@query
+def stream_cooldown(spark, sf_dir):
+    """Dedup as one stream, cooldown of its survivors as the next."""
+    req = fixtures.requests_from(event_stream(spark, sf_dir)).withColumn("source", text.normalize_source("source"))
+    req = gates.with_secrets(gates.with_payload(req), signing.secrets_table(spark, fixtures.SECRETS))
+    keyed_rows = gates.with_keys(req, tuple(BUILT_IN.values()))
+    path = stored(keyed.dedup_ttl_stream(keyed_rows, 3 * 86_400, carry=("cooldown_key", "received_epoch")))
+    first = spark.read.parquet(path)
+    survivors = spark.readStream.schema(first.schema).parquet(path).filter(F.col("decision") == "accept")
+    second = finish(keyed.cooldown_stream(survivors.filter(F.coalesce("fold_key", F.lit("")) != ""), 36_000, at="at"))
+    unkeyed = first.filter((F.col("decision") != "accept") | (F.coalesce("fold_key", F.lit("")) == ""))
+    return unkeyed.select("seq", "decision").unionByName(second.select("seq", "decision"))
+
+
+@query
+def stream_rate_limit_ip(spark, sf_dir):
+    req = fixtures.requests_from(event_stream(spark, sf_dir)).select(
+        "seq", "received_at", F.col("peer_ip").alias("client_ip"), F.col("received_epoch").alias("received_ms")
+    )
+    return finish(keyed.rate_limit_ip_stream(req, IP_LIMIT)).select("seq", (F.col("decision") == "accept").alias("within_ip_limit"))
+
+
+# --- sources and sinks: written to the shared folder, read back, judged by the same SQL ---
+
+
+def fresh_path(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark)}/landed-{uuid.uuid4().hex}"
+
+
+TOPICS = ("webhooks.github", "webhooks.linear", "webhooks.example")
+
+
+@query
+def requests_round_trip(spark, sf_dir):
+    path = fresh_path(spark)
+    landed = fixtures.requests(spark, sf_dir)
+    writers.write_table(landed.select(*[F.col(f.name).cast(f.dataType) if f.name in landed.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in model.RAW_REQUEST]), path)
+    rows = readers.read_requests(spark, path).select("seq", F.unix_seconds("received_at").alias("received_epoch"), text.normalize_source("source").alias("source"))
+    return folds.rate_limit_source(rows, 3, 3600).select("seq", "within_limit")
+
+
+@query
+def topic_round_trip(spark, sf_dir):
+    path = fresh_path(spark)
+    writers.write_topic(fixtures.envelopes_json(spark, sf_dir).drop("seq"), table_path=path)
+    decoded = envelopes.decode_envelope(readers.read_topics(spark, TOPICS, table_path=path))
+    seq = F.substring(F.col("key").cast("string"), 3, 20).cast("bigint").alias("seq")
+    return decoded.select(
+        seq, "decode_error", "envelope.id", "envelope.source", "envelope.event_type", "envelope.received_at",
+        "envelope.meta.trace_id", F.array_join("envelope.meta.flags", ",").alias("flags"),
+    )
+
+
+@query
+def output_topic(spark, sf_dir):
+    path = fresh_path(spark)
+    writers.write_output_topic(parsed_log(spark, sf_dir), "webhooks.out", table_path=path)
+    out = spark.read.parquet(path)
+    return out.select("topic", F.col("key").cast("string").alias("key"), F.md5(F.col("value").cast("binary")).alias("value_md5"))
+
+
+@query
+def dlq_round_trip(spark, sf_dir):
+    path = fresh_path(spark)
+    dead = envelopes.decode_dlq(dead_letters(spark, sf_dir)).select("failed_at", "error", "envelope")
+    writers.write_dlq(dead, "webhooks.dlq", table_path=path)
+    back = spark.read.parquet(path).withColumn("value", F.col("value").cast("binary"))
+    return reports.dlq_summary(envelopes.decode_dlq(back))
+
+
+@query
+def quarantined(spark, sf_dir):
+    path = fresh_path(spark)
+    writers.quarantine(envelopes.decode_envelope(fixtures.envelopes_json(spark, sf_dir)).select("seq", "value", "decode_error"), path)
+    return spark.read.parquet(path).select("seq", "decode_error")
+
+
+@query
+def heartbeats_round_trip(spark, sf_dir):
+    path = fresh_path(spark)
+    fixtures.heartbeats(spark, sf_dir).write.json(path)
+    return health.recovered_count(health.health_rules(readers.read_heartbeats(spark, path), health_config()))
+
+
+@query
+def logs_round_trip(spark, sf_dir):
+    """Log files of each source: their last 300 lines, and what was found."""
+    path = fresh_path(spark)
+    lines = fixtures.log_lines(spark, sf_dir)
+    stamped = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("Z "), F.col("line"))
+    lines.select(F.when(F.col("line_no") % 9 == 0, F.col("line")).otherwise(stamped).alias("value"), F.col("source").alias("unit")).write.partitionBy("unit").text(path)
+    found = readers.read_logs(spark, path).withColumn("source", F.regexp_extract("source", "unit=([^/]+)/", 1))
+    counts = found.groupBy("source").agg(F.count("*").alias("read"), F.count("ts").alias("dated"))
+    kept = reports.tail_logs(found, 300)
+    collectors = counts.select(F.col("source").alias("name"), F.concat(F.lit("journal/"), "source", F.lit(".log")).alias("file"), F.lit(None).cast("string").alias("error"))
+    return reports.log_manifest(kept, collectors).join(counts.withColumnRenamed("source", "name"), "name").select("name", "file", "success", "lines", "read", "dated")
+
+
+@query
+def fanout_accounting(spark, sf_dir):
+    """Every record of the log through the fan-out, by what became of it."""
+    path = fresh_path(spark)
+    config = fanout.FanoutConfig(SMASH_ROUTES, tuple(fanout.Adapter(a, checking, policy=delivery.SINGLE) for a in ("audit", "agent", "bus", "tool")))
+    account = fanout.process_batch(
+        fixtures.envelopes_json(spark, sf_dir), config, f"{path}/attempts", 0,
+        lambda df: writers.write_dlq(df, "webhooks.dlq", table_path=f"{path}/dead"),
+        lambda df: writers.quarantine(df, f"{path}/undecodable"), lambda df: writers.write_table(df.select("id", "topic", "reason"), f"{path}/unreached"),
+    )
+    return account.groupBy("topic", "outcome").agg(F.count("*").alias("records"))
