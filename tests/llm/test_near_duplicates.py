@@ -1,7 +1,9 @@
 """SimHash, decontamination and embeddings against brute force."""
 
 import re
+from itertools import combinations
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -136,6 +138,55 @@ def test_planted_passages(spark):
     assert decontaminate.overlaps(df, bench.limit(0)).collect() == [] and decontaminate.overlaps(df.limit(0), bench).collect() == []
 
 
+def edited_passages():
+    """Items of 8 to 15 words, and documents with every choice of as many changed words as 0.8 of a window allows."""
+    items, docs = [], []
+    for n in (8, 9, 10, 11, 12, 13, 14, 15):
+        item = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        for out in combinations(range(n), n - -(-4 * min(n, 13) // 5) - max(0, n - 13)):
+            for ahead, behind in (("a b ", " c d"), ("", "")):
+                docs.append((len(docs), ahead + " ".join(f"x{k}" if k in out else w for k, w in enumerate(item)) + behind))
+    return items, docs
+
+
+def compared_windows(items, docs):
+    """The overlaps by comparing every window with every place."""
+    found = {}
+    for i, text in items:
+        t = text.split()
+        width = min(13, len(t))
+        for d, body in docs:
+            v = body.split()
+            for pos in range(len(v)):
+                same = max(sum(a == b for a, b in zip(t[p : p + width], v[pos : pos + width])) for p in range(len(t) - width + 1))
+                if same >= 0.8 * width:
+                    n, best, first = found.get((d, i), (0, 0, pos))
+                    found[d, i] = (n + 1, max(best, same / width), first)
+    return {(*k, *v) for k, v in found.items()}
+
+
+def test_decontamination_finds_every_edit(spark):
+    items, docs = edited_passages()
+    expected = compared_windows(items, docs)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), bench)
+    assert {tuple(r) for r in found.select("doc_id", "item_id", "n_windows", "similarity", "first_word").collect()} == expected
+    con = duckdb.connect()
+    for name, id_col, rows in (("documents", "doc_id", docs), ("benchmark", "item_id", items)):
+        con.execute(f"CREATE TABLE {name} ({id_col} BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    assert set(con.sql(ORACLE["op8_decontamination"]).fetchall()) == expected
+
+
+@pytest.mark.parametrize("similarity", [1.0, 0.9, 0.8, 0.7, 0.5])
+def test_masks_leave_one_untouched(similarity):
+    for width in range(8, 14):
+        changes = max(c for c in range(width + 1) if width - c >= similarity * width)
+        own = decontaminate.masks_of(width, similarity)
+        assert all(any(all(m[i] == "0" for i in out) for m in own) for out in combinations(range(width), changes))
+
+
 def test_decontamination_without_broadcast(spark, monkeypatch):
     before = {(r.doc_id, r.item_id, r.n_windows) for r in queries.op8_decontamination(spark, SF_DIR).collect()}
     monkeypatch.setattr(decontaminate, "MOST_BROADCAST", 0)
