@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,9 +17,9 @@ from pyspark.sql import functions as F
 
 from eventlane.llm.common import Shared, text_or_empty
 
-# Sentences of public licence texts and notices, normalised by
-# ``normal``. A sentence ends at .!?;: before white space, and lists are cut at
-# their items.
+# Sentences of public licence texts and notices. ``knowledge`` cuts
+# and normalises them as it does a document; what is cut into several sentences
+# stands here as published.
 SENTENCES = {
     "mit.title": ("mit license", "the mit license", "the mit license mit"),
     "mit.grant": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",),
@@ -36,29 +37,47 @@ SENTENCES = {
     "apache2.basis": ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",),
     "mit.notice": ("released under the mit license", "licensed under the mit license", "this project is licensed under the mit license"),
     "bsd.notice": ("released under the bsd license", "licensed under the bsd license"),
-    "gpl.free": ("this program is free software",),
-    "gpl2.grant": ("you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",),
-    "gpl3.grant": ("you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",),
-    "gpl.warranty": ("this program is distributed in the hope that it will be useful but without any warranty",),
+    "isc.warranty": ("the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",),
+    "gpl.free": ("this program is free software", "this library is free software"),
+    "gpl.warranty": ("this program is distributed in the hope that it will be useful but without any warranty", "this library is distributed in the hope that it will be useful but without any warranty"),
+    "gpl.implied": ("without even the implied warranty of merchantability or fitness for a particular purpose",),
     "unlicense.grant": ("this is free and unencumbered software released into the public domain",),
-    "mpl2.notice": ("this source code form is subject to the terms of the mozilla public license v 2 0",),
+    "mpl2.notice": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "mpl2.copy": tuple(f"if a copy of the mpl was not distributed with this file you can obtain one at {http} mozilla org mpl 2 0" for http in ("http", "https")),
+    "epl1.notice": ("this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at http www eclipse org legal epl v10 html",),
+    "epl2.notice": tuple(f"this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at {http} www eclipse org legal epl 2 0" for http in ("http", "https")),
+    "zlib.warranty": ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",),
+    "zlib.grant": ("permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",),
+    "zlib.origin": ("The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.",),
+    "zlib.altered": ("altered source versions must be plainly marked as such and must not be misrepresented as being the original software",),
+    "zlib.notice": ("this notice may not be removed or altered from any source distribution",),
+    "boost.notice": ("distributed under the boost software license version 1 0",),
+    "boost.copy": tuple(f"see accompanying file license 1 0 txt or copy at {http} www boost org license 1 0 txt" for http in ("http", "https")),
+    "boost.grant": ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",),
 }
 # The sentence identifiers of each licence in their order; a "?"
 # marks one that may be missing. Longer rules win over shorter ones.
 RULES = {
     "MIT": (("mit.title?", "mit.grant", "mit.condition", "mit.warranty?", "mit.liability?"), ("mit.notice",)),
-    "ISC": (("isc.grant", "mit.warranty?"),),
+    "ISC": (("isc.grant", "mit.warranty?", "isc.warranty?"),),
     "BSD-2-Clause": (("bsd.grant", "bsd.source", "bsd.binary"),),
     "BSD-3-Clause": (("bsd.grant", "bsd.source", "bsd.binary", "bsd.endorse"),),
     "BSD": (("bsd.notice",),),
     "Apache-2.0": (("apache2.notice", "apache2.use?", "apache2.copy?", "apache2.basis?"),),
-    "GPL-2.0-or-later": (("gpl.free?", "gpl2.grant", "gpl.warranty?"),),
-    "GPL-3.0-or-later": (("gpl.free?", "gpl3.grant", "gpl.warranty?"),),
     "Unlicense": (("unlicense.grant",),),
-    "MPL-2.0": (("mpl2.notice",),),
+    "MPL-2.0": (("mpl2.notice", "mpl2.copy?"),),
+    "EPL-1.0": (("epl1.notice",),),
+    "EPL-2.0": (("epl2.notice",),),
+    "Zlib": (("zlib.warranty?", "zlib.grant", "zlib.origin?", "zlib.altered?", "zlib.notice?"),),
+    "BSL-1.0": (("boost.notice", "boost.copy?"), ("boost.grant",)),
 }
 # Names and versions from which notices are built.
 _GNU = {"gnu general public license": ("GPL", ("2", "3")), "gnu lesser general public license": ("LGPL", ("2.1", "3")), "gnu affero general public license": ("AGPL", ("3",))}
+# Names and versions in the grants of file headers.
+_GRANTS = (
+    ("GNU General Public License", "GPL", ("2", "3")), ("GNU Library General Public License", "LGPL", ("2",)),
+    ("GNU Lesser General Public License", "LGPL", ("2.1", "3")), ("GNU Affero General Public License", "AGPL", ("3",)),
+)
 _CC = ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")
 _CC_VERSIONS = ("2.0", "2.5", "3.0", "4.0")
 _LEADS = ("", "this work is ", "this file is ", "this project is ", "this program is ", "this article is ")
@@ -67,7 +86,7 @@ _VERBS = ("licensed under ", "licensed under the ", "released under ", "released
 _EDGE = re.compile(r"[.!?;:]+(?=\s)|\n\s*\n|\n\s*(?=[-*•\d])")
 _WORD = re.compile(r"[a-z0-9]+")
 _HOLDER = re.compile(r"neither the name of .{1,80} nor the names of its contributors")
-# Words one of which each known sentence has; a text with none of them is done.
+# Words that most known sentences have; ``Knowledge.triggers`` adds what its rules need besides.
 TRIGGERS = ("licen", "permission", "redistribut", "software", "warrant", "spdx", "released", "distributed")
 
 
@@ -84,18 +103,64 @@ class Knowledge:
     sentences: dict[str, str]
     rules: tuple[tuple[str, tuple[str, ...]], ...]
 
+    @cached_property
+    def triggers(self) -> tuple[str, ...]:
+        """Words such that a text with none of them holds no rule."""
+        texts: dict[str, list[str]] = {}
+        for sentence, name in self.sentences.items():
+            texts.setdefault(name, []).append(sentence)
+        found = list(TRIGGERS)
+        for _, rule in self.rules:
+            # Any needed sentence will do; if all may be missing, each counts.
+            need = [item for item in rule if not item.endswith("?")]
+            lacking = [[s for s in texts.get(item.rstrip("?"), ()) if not any(t in s for t in found)] for item in need or rule]
+            if need and all(lacking):
+                lacking = lacking[:1]
+            elif need:
+                continue
+            # The holder's name is not in the text itself.
+            found += {max(s.replace("copyright holder", "").split(), key=len) for part in lacking for s in part}
+        return tuple(found)
+
 
 def knowledge() -> Knowledge:
     """The fixed sentences and rules, and the notices built from names and versions."""
-    sentences = {text: name for name, texts in SENTENCES.items() for text in texts}
-    rules = [(licence, rule) for licence, own in RULES.items() for rule in own]
+    known: dict[str, str] = {}
+
+    def named(name: str, text: str) -> tuple[str, ...]:
+        """The identifiers of the sentences into which a text is cut."""
+        parts = [part for start, end in sentences(text) if (part := normal(text[start:end]))]
+        return tuple(known.setdefault(part, name if len(parts) == 1 else f"{name}.{i}") for i, part in enumerate(parts, 1))
+
+    cut = {}
+    for name, texts in SENTENCES.items():
+        ways = {named(name, text) for text in texts}
+        if len(ways) != 1:
+            raise ValueError(f"the texts of {name} are cut in different ways")
+        cut[name] = ways.pop()
+
+    def expanded(rule: tuple[str, ...]) -> tuple[str, ...]:
+        return tuple(part + "?" * item.endswith("?") for item in rule for part in cut[item.rstrip("?")])
+
+    rules = [(licence, expanded(rule)) for licence, own in RULES.items() for rule in own]
+    for name, short, versions in _GRANTS:
+        for v in versions:
+            licence = f"{short}-{v if '.' in v else v + '.0'}"
+            # The headers of version 2 have a semicolon where those of version 3 have a comma; both occur with each.
+            grant = f"you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation"
+            later, only = f"either version {v} of the License, or (at your option) any later version.", f"version {v} of the License."
+            for kind, end in (("or-later", later), ("only", only)):
+                for mark in ";,":
+                    own = named(f"{short}{v}.{kind}", f"{grant}{mark} {end}")
+                    details = named(f"{short}.details", f"See the {name} for more details.")
+                    rules.append((f"{licence}-{kind}", (*expanded(("gpl.free?",)), *own, *expanded(("gpl.warranty?", "gpl.implied?")), *(d + "?" for d in details))))
 
     def notice(licence: str, names: list[str]) -> None:
         rules.append((licence, (f"notice.{licence}",)))
         for name in names:
             for lead in _LEADS:
                 for verb in _VERBS:
-                    sentences.setdefault(normal(lead + verb + name), f"notice.{licence}")
+                    known.setdefault(normal(lead + verb + name), f"notice.{licence}")
 
     for name, (short, versions) in _GNU.items():
         for v in versions:
@@ -106,12 +171,9 @@ def knowledge() -> Knowledge:
             notice(f"CC-{kind}-{v}", [f"CC {kind} {v}", f"creative commons {kind} {v}"])
     notice("CC0-1.0", ["CC0 1.0", "CC0"])
     for licence in sorted({licence for licence, _ in rules}):
-        sentences.setdefault(normal(f"SPDX-License-Identifier {licence}"), f"spdx.{licence}")
+        known.setdefault(normal(f"SPDX-License-Identifier {licence}"), f"spdx.{licence}")
         rules.append((licence, (f"spdx.{licence}",)))
-    missing = [s for s in sentences if not any(t in s for t in TRIGGERS)]
-    if missing:
-        raise ValueError(f"sentences without a trigger word: {missing[:3]}")
-    return Knowledge(sentences, tuple(sorted(rules, key=lambda r: (-len(r[1]), r[0], r[1]))))
+    return Knowledge(known, tuple(sorted(rules, key=lambda r: (-len(r[1]), r[0], r[1]))))
 
 
 def sentences(text: str) -> Iterator[tuple[int, int]]:
@@ -131,7 +193,7 @@ def known_sentences(text: str, own: Knowledge) -> list[tuple[int, int, str]]:
     A sentence may run over lines; one that is not known is looked up line by line.
     """
     lower = text.lower()
-    if not any(t in lower for t in TRIGGERS):
+    if not any(t in lower for t in own.triggers):
         return []
     if "spdx-license-identifier" in lower:
         # The tag's colon is no sentence end.

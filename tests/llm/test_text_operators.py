@@ -190,6 +190,109 @@ def test_licence_query_against_plain_lines(spark):
     assert found == plain and plain
 
 
+def gnu_header(name, version, what="program", first=";", second=";", end="either version {} of the License, or\n(at your option) any later version."):
+    return f"""    This {what} is free software{first} you can redistribute it and/or modify
+    it under the terms of the {name} as published by
+    the Free Software Foundation{second} {end.format(version)}
+
+    This {what} is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    {name} for more details.
+"""
+
+
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+HEADERS = [
+    ("GPL-2.0-or-later", gnu_header("GNU General Public License", "2")),
+    ("GPL-2.0-only", gnu_header("GNU General Public License", "2", end="version {} of the License.")),
+    ("GPL-3.0-or-later", gnu_header("GNU General Public License", "3", first=":", second=",")),
+    ("LGPL-2.0-or-later", gnu_header("GNU Library General Public License", "2", "library")),
+    ("LGPL-2.1-or-later", gnu_header("GNU Lesser General Public License", "2.1", "library")),
+    ("LGPL-3.0-or-later", gnu_header("GNU Lesser General Public License", "3", first=":", second=",")),
+    ("AGPL-3.0-or-later", gnu_header("GNU Affero General Public License", "3", first=":", second=",")),
+    ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""),
+    ("EPL-1.0", """This program and the accompanying materials are made available under the terms of
+the Eclipse Public License v1.0 which accompanies this distribution, and is available at
+http://www.eclipse.org/legal/epl-v10.html"""),
+    ("EPL-2.0", """This program and the accompanying materials are made available under the
+terms of the Eclipse Public License 2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0/"""),
+    ("Zlib", """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software. If you use this software
+   in a product, an acknowledgment in the product documentation would be
+   appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be
+   misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""),
+    ("BSL-1.0", """Distributed under the Boost Software License, Version 1.0.
+   (See accompanying file LICENSE_1_0.txt or copy at
+         https://www.boost.org/LICENSE_1_0.txt)"""),
+    ("BSL-1.0", """Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute,
+execute, and transmit the Software, and to prepare derivative works of the
+Software, and to permit third-parties to whom the Software is furnished to
+do so, all subject to the following:"""),
+    ("MIT", MIT), ("BSD-2-Clause", BSD),
+    ("BSD-3-Clause", BSD + """3. Neither the name of Some Body nor the names of its contributors may be used to
+   endorse or promote products derived from this software without specific prior
+   written permission."""),
+    ("BSD", "Released under the BSD License."),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS."""),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+]
+
+
+@pytest.mark.parametrize(("licence", "header"), HEADERS)
+def test_published_headers(licence, header):
+    found = licenses.recognised(f"Some words.\n\n{header}\n\nMore words.", licenses.knowledge())
+    assert [f[0] for f in found] == [licence]
+
+
+def test_every_listed_licence_has_a_header():
+    assert set(licenses.RULES) <= {licence for licence, _ in HEADERS}
+
+
+def test_triggers_of_own_knowledge():
+    own = licenses.Knowledge({"use it as you like": "a", "all yours": "b", "no strings": "c"}, (("Own", ("a", "b?")), ("Free", ("c?",))))
+    assert [r[0] for r in licenses.recognised("Take it. Use it as you like. All yours.", own)] == ["Own"]
+    assert [r[0] for r in licenses.recognised("No strings!", own)] == ["Free"]
+
+
 def test_rules_name_known_sentences():
     own = licenses.knowledge()
     names = set(own.sentences.values())
