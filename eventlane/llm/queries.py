@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlane.llm import archive, bpe, decontaminate, embeddings, html_text, langid, licenses, quality, simhash, token_counts
+from eventlane.llm import archive, bpe, decontaminate, embeddings, hmm, html_text, langid, licenses, negatives, quality, simhash, token_counts, turns
 from eventlane.llm.common import table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,29 @@ def op10_language(spark, sf_dir):
     model = langid.train(docs.where(teaches()))
     named = langid.identify(docs.withColumn("held_out", ~teaches()), model)
     return named.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+@query
+def op11_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op12_conversations(spark, sf_dir):
+    return turns.repair(turns.damaged(table(spark, sf_dir, "conversations")))
+
+
+def lm_teaches(id_col: str = "doc_id"):
+    """Rows that the language model may learn from; the others are held out."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 1, F.lit(True))
+
+
+@query
+def op13_lm_scores(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    vocab = hmm.vocabulary(docs.where(lm_teaches()))
+    encoded = hmm.encode(docs, vocab, lm_teaches())
+    scored = hmm.score(encoded, vocab, hmm.train(encoded, vocab))
+    return scored.select("doc_id", (~lm_teaches()).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
