@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlane.functions.net import resolve_client_ip
@@ -28,6 +28,7 @@ from eventlane.operators.routing import ServeRoute, route_serve
 from eventlane.session import staged
 from eventlane.sources.specs import BUILT_IN, SourceSpec, source_topic
 from eventlane.sources.writers import to_records
+from eventlane.streaming import keyed
 
 
 @dataclass(frozen=True)
@@ -146,6 +147,62 @@ def decide(requests: DataFrame, config: ServeConfig) -> DataFrame:
     )
 
 
+def decide_stream(requests: DataFrame, config: ServeConfig, at: str = "received_at", delay: str = "10 minutes", order: str = "arrival") -> DataFrame:
+    """``decide`` for a stream: one query in which the keyed operators follow each other, no table in between.
+
+    Every request passes through each operator, so that each stands once in the
+    plan; it meets a limit or a fold only where ``decide`` has it meet one, and
+    carries its narrow row along as one string. In event order the first keyed
+    operator waits for the watermark, and the rest take its order over. A row
+    that comes after the state that would judge it is gone is ignored as ``late``.
+    """
+    df = examine(requests.withWatermark(at, delay), config)
+    columns = [c for c in NARROW if c != "seq"]
+    if config.ip_limit_per_minute is not None:
+        client = resolve_client_ip("peer_ip", "headers", config.trust_proxy_headers, config.trusted_cidrs)
+        df = df.withColumn("client_ip", client).withColumn("received_ms", F.unix_millis("received_at"))
+        columns += ["client_ip", "received_ms"]
+    # ``blocked`` stops a request for good, ``ignored`` is what a fold said.
+    fields = df.select(*columns).schema.add("blocked", df.schema["early"].dataType).add("ignored", "string")
+    df = df.withColumns({"blocked": F.col("early"), "ignored": F.lit(None).cast("string")}).select("seq", F.unix_micros(at).alias("at_us"), *fields.names)
+    waits = order == "event"
+
+    def through(rows: DataFrame, rule: keyed.Rule, key: Column, time: str, refused: str) -> DataFrame:
+        """The rows behind one operator, with its ``decision``."""
+        nonlocal waits
+        carried = F.to_json(F.struct(*fields.names), {"ignoreNullFields": "false"})
+        found = keyed.judged(rows, rule, key, F.col(time), F.timestamp_micros("at_us"), refused, carried, delay, "event" if waits else "arrival")
+        waits = False
+        return found.select("seq", "at_us", "decision", F.from_json("carried", fields).alias("row")).select("seq", "at_us", "decision", "row.*")
+
+    refused = F.col("decision") == "limited"
+    late = F.when(F.col("decision") == keyed.LATE, F.lit(keyed.LATE))
+    if config.ip_limit_per_minute is not None:
+        df = through(df, keyed.TokenRule(config.ip_limit_per_minute), F.col("client_ip"), "received_ms", "limited")
+        df = df.withColumns({"blocked": F.coalesce(gates.failed_when(refused, 429, "client rate limit exceeded"), F.col("early")), "ignored": late})
+    open_ = F.col("blocked").isNull() & F.col("ignored").isNull()
+    limited = F.lit(config.source_limit == 0)
+    if config.source_limit:
+        key = F.when(open_, keyed.bucket_key(F.col("source"), F.col("received_epoch"), config.source_bucket_seconds))
+        df = through(df, keyed.CountRule(config.source_limit, config.source_bucket_seconds), key, "received_epoch", "limited")
+        df, limited = df.withColumn("ignored", F.coalesce("ignored", late)), refused
+    over = gates.failed_when(limited, 429, "source rate limit exceeded")
+    df = df.withColumn("blocked", F.coalesce(F.col("blocked"), over, F.col("middle")))
+    # Without a dedup key a request that nothing stopped counts as a duplicate.
+    df = through(df, keyed.TtlRule(config.dedup_ttl_seconds), F.when(open_, F.col("dedup_key")), "received_epoch", folds.DUPLICATE)
+    blank = F.when(open_ & (F.coalesce("dedup_key", F.lit("")) == ""), folds.DUPLICATE)
+    df = df.withColumn("ignored", F.coalesce("ignored", blank, F.when(F.col("decision") != folds.ACCEPT, F.col("decision"))))
+    df = through(df, keyed.TtlRule(config.cooldown_seconds), F.when(open_, F.col("cooldown_key")), "received_epoch", folds.COOLDOWN)
+    ignored = F.coalesce("ignored", F.when(F.col("decision") != folds.ACCEPT, F.col("decision")))
+    final = F.coalesce(F.col("blocked"), F.when(ignored.isNull(), F.col("late")))
+    return df.select(
+        "seq", "received_epoch", "source", "event_type", "dedup_key", "cooldown_key", "route_key", "topic",
+        F.when(ignored.isNotNull(), "ignored").when(final.isNotNull(), "rejected").otherwise("accepted").alias("status"),
+        F.coalesce(final["http_code"], F.lit(200)).alias("http_code"),
+        F.coalesce(ignored, final["reason"]).alias("reason"),
+    )
+
+
 def rate_limited(narrow: DataFrame, config: ServeConfig) -> DataFrame:
     if config.source_limit == 0:
         return narrow.withColumn("within_limit", F.lit(False))

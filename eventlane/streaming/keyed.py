@@ -1,22 +1,38 @@
 """Streaming twins of the keyed folds.
 
-State is one number per key, held in the state store and dropped by an
-event-time timer once it can no longer matter. The rules are the ones of
-``operators.folds``; order within a micro-batch is (time, seq). A row earlier
-than its key's state is judged against that state. The watermark must lag more
-than the worst disorder between partitions: Spark drops rows behind it, so run
-the streams under ``LateRowAlarm``, which stops a query at the first such row. ``prepare`` selects the
-RocksDB state store, which these operators need.
+Keys are dealt into a fixed number of buckets, and a bucket is the unit of
+state: one number per key in a map of the state store. A micro-batch costs one
+Python call a bucket, not one a key or row, and reads and writes the state of
+the keys it brings. The rules are the ones of ``operators.folds``.
+
+No row is lost. The watermark only moves time: the operators see it, but the
+column that carries it is turned into a plain number before, so Spark has
+nothing to drop rows by. Each row gets a decision, in one of two orders:
+
+* ``arrival``: at once, by (time, seq) within its micro-batch, against what is
+  stored. A row earlier than its key's state is judged against that state.
+* ``event``: rows wait until the watermark has passed them, and are then
+  judged in order of time. That is the batch fold's answer for all rows that
+  come within ``delay``. Rows behind the watermark are judged at once.
+
+State is kept until the watermark is ``delay`` beyond the time at which it
+stopped to matter. A row from before state that is gone, or in event order one
+from before what its key last accepted, has the decision ``late``.
+
+Operators can follow each other in one query: none of their outputs carries a
+watermark column, and Spark passes the watermark itself on. ``prepare`` selects
+the RocksDB state store, which these operators need.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from eventlane.functions.text import safe_key
 from eventlane.operators.folds import (
@@ -28,50 +44,28 @@ from eventlane.operators.folds import (
     refill_period_ms,
 )
 
-DECISION = "seq bigint, fold_key string, at timestamp, accepted boolean"
+LATE = "late"
+BUCKETS = 256
+_MOST = 1 << 24
 
 
-class KeyedRule(StatefulProcessor):
-    """One stored number per key; ``judge`` applies the rule to a sorted batch."""
+class Rule:
+    """How the rows of a key are judged in order, with one number as state."""
 
-    # Columns that rows keep on their way through.
-    carry: tuple[str, ...] = ()
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("value", T.StructType([T.StructField("value", T.LongType())]))
-
-    def judge(self, times: list[int], stored: int | None) -> tuple[list[bool], int, int | None]:
-        """(accepted per row, value to store, time in ms until which it matters or None for ever)."""
+    def judge(self, times: list[int], stored: int | None) -> tuple[list[bool], int]:
+        """(accepted per row, value to store) for sorted times."""
         raise NotImplementedError
 
-    def spent(self, stored: int, now_ms: int) -> bool:
-        """Whether the stored value no longer matters at ``now_ms``."""
+    def ends(self, stored: int) -> int | None:
+        """The event time in ms from which the stored value no longer matters; None for never."""
         raise NotImplementedError
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        batch = sorted(rows, key=lambda r: (r["fold_time"], r["seq"]))
-        held = self.state.get()
-        stored = None if held is None else held[0]
-        accepted, value, until_ms = self.judge([r["fold_time"] for r in batch], stored)
-        if value != stored:
-            self.state.update((value,))
-            if until_ms is not None:
-                self.handle.registerTimer(until_ms)
-        for r, ok in zip(batch, accepted, strict=True):
-            yield Row(seq=r["seq"], fold_key=key[0], at=r["at"], accepted=ok, **{c: r[c] for c in self.carry})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        held = self.state.get()
-        if held is not None and self.spent(held[0], expiredTimerInfo.getExpiryTimeInMs()):
-            self.state.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
+    def unknown(self, time: int, stored: int | None, floor_ms: int, exact: bool) -> bool:
+        """Whether a row cannot be judged any more: state that ended before ``floor_ms`` is gone."""
+        return False
 
 
-class TtlRule(KeyedRule):
+class TtlRule(Rule):
     def __init__(self, ttl: int) -> None:
         self.ttl = ttl
 
@@ -80,29 +74,42 @@ class TtlRule(KeyedRule):
         kept, expiry = accepted_positions(times, 0, len(times), stored, self.ttl)
         for i in kept:
             accepted[i] = True
-        return accepted, expiry, expiry * 1000
+        return accepted, expiry
+
+    def ends(self, stored):
+        return stored * 1000
 
-    def spent(self, stored, now_ms):
-        return stored * 1000 <= now_ms
+    def unknown(self, time, stored, floor_ms, exact):
+        if stored is None:
+            return time * 1000 < floor_ms
+        return exact and time < stored - self.ttl
 
 
-class CountRule(KeyedRule):
-    """The key names one bucket, so its state goes when the bucket has ended."""
+class CountRule(Rule):
+    """The key names one bucket of time, so its state goes when that has ended."""
 
     def __init__(self, limit: int, bucket_seconds: int) -> None:
+        if not 0 <= limit < _MOST:
+            raise ValueError(f"a stream counts up to {_MOST - 1} a bucket")
         self.limit, self.bucket_seconds = limit, bucket_seconds
 
     def judge(self, times, stored):
-        used = stored or 0
+        # The stored number holds the bucket's end beside the count.
+        end, used = (self.end(times[0]), 0) if stored is None else divmod(stored, _MOST)
         accepted = [used + i < self.limit for i in range(len(times))]
-        bucket_end = (times[0] // self.bucket_seconds + 1) * self.bucket_seconds
-        return accepted, used + len(times), bucket_end * 1000
+        return accepted, end * _MOST + min(used + len(times), self.limit)
 
-    def spent(self, stored, now_ms):
-        return True
+    def end(self, time: int) -> int:
+        return time // self.bucket_seconds + 1
 
+    def ends(self, stored):
+        return stored // _MOST * self.bucket_seconds * 1000
 
-class TokenRule(KeyedRule):
+    def unknown(self, time, stored, floor_ms, exact):
+        return stored is None and self.end(time) * self.bucket_seconds * 1000 < floor_ms
+
+
+class TokenRule(Rule):
     """An idle bucket holds one request more than a fresh one, so its state, one
     number an address, is kept for good, as the batch rule keeps it."""
 
@@ -114,66 +121,236 @@ class TokenRule(KeyedRule):
         for now in times:
             hits, full_at = bucket_admissions([now], [1], 0, 1, full_at, self.period, self.limit)
             accepted.append(bool(hits))
-        return accepted, full_at, None
+        return accepted, full_at
 
-    def spent(self, stored, now_ms):
-        return False
+    def ends(self, stored):
+        return None
 
 
-def _run(df: DataFrame, rule: KeyedRule, delay: str, key: Column, time: Column, at: str, refused: str, carry: tuple[str, ...] = ()) -> DataFrame:
+HELD = ("fold_key", "fold_time", "at_us", "seq", "carried")
+ROW = "fold_key string, fold_time bigint, at_us bigint, seq bigint, carried string"
+
+
+class Judge(StatefulProcessor):
+    """Applies a rule to the rows of one bucket of keys; rows without a key pass."""
+
+    def __init__(self, rule: Rule, refused: str, delay_ms: int, exact: bool) -> None:
+        self.rule, self.refused, self.delay_ms, self.exact = rule, refused, delay_ms, exact
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.values = handle.getMapState("values", "fold_key string", "value bigint")
+        self.timer = handle.getValueState("timer", "at bigint")
+        # The watermark up to which ended state has been removed.
+        self.swept = handle.getValueState("swept", "at bigint")
+        self.waiting = handle.getListState("waiting", ROW) if self.exact else None
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat([r.drop(columns="bucket") for r in rows], ignore_index=True)
+        now = timerValues.getCurrentWatermarkInMs()
+        keyed = batch["fold_key"].notna().to_numpy()
+        if not keyed.all():
+            yield self._out(batch[~keyed], np.full((~keyed).sum(), ACCEPT, object))
+            batch = batch[keyed]
+        if self.exact and len(batch):
+            due = (batch["at_us"] // 1000 < now).to_numpy()
+            self._hold(batch[~due])
+            batch = pd.concat([self._ready(now), batch[due]], ignore_index=True)
+        if len(batch):
+            yield self._judged(batch, now)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        self.timer.clear()
+        if self.exact and len(ready := self._ready(now)):
+            yield self._judged(ready, now)
+        self._sweep(now)
+
+    def close(self) -> None:
+        pass
+
+    def _hold(self, rows: pd.DataFrame) -> None:
+        """Keep rows that the watermark has not passed."""
+        if len(rows):
+            self.waiting.appendList(list(zip(*[rows[c].tolist() for c in HELD], strict=True)))
+            self._wake(int(rows["at_us"].min()) // 1000 + 1)
+
+    def _ready(self, now: int) -> pd.DataFrame:
+        """Take out the kept rows that the watermark has passed."""
+        held = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=list(HELD))
+        due = (held["at_us"].astype("int64") // 1000 < now).to_numpy()
+        if due.any():
+            self.waiting.clear()
+            self._hold(held[~due])
+        return held[due]
+
+    def _judged(self, batch: pd.DataFrame, now: int) -> pd.DataFrame:
+        """Decisions on rows in order of key, time and seq, and the state after them."""
+        batch = batch.sort_values(["fold_key", "fold_time", "seq"], kind="stable", ignore_index=True)
+        names, times = batch["fold_key"].to_numpy(), batch["fold_time"].tolist()
+        swept = self.swept.get()[0] if self.swept.exists() else None
+        floor = -(1 << 62) if swept is None else swept - self.delay_ms
+        decision = np.full(len(batch), self.refused, object)
+        starts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist()]
+        wake = None
+        for start, end in zip(starts, [*starts[1:], len(names)], strict=True):
+            name, own = (names[start],), range(start, end)
+            held = self.values.getValue(name)
+            stored = None if held is None else held[0]
+            lost = [i for i in own if self.rule.unknown(times[i], stored, floor, self.exact)]
+            if lost:
+                decision[lost] = LATE
+                own = [i for i in own if i not in set(lost)]
+                if not own:
+                    continue
+            accepted, value = self.rule.judge([times[i] for i in own], stored)
+            decision[[i for i, ok in zip(own, accepted, strict=True) if ok]] = ACCEPT
+            if value != stored:
+                self.values.updateValue(name, (value,))
+                ends = self.rule.ends(value)
+                if ends is not None:
+                    wake = ends if wake is None else min(wake, ends)
+        if wake is not None:
+            self._wake(max(wake, now) + self.delay_ms)
+        return self._out(batch, decision)
+
+    def _wake(self, at_ms: int) -> None:
+        """One timer a bucket is enough: the earliest."""
+        held = self.timer.get() if self.timer.exists() else None
+        if held is None or at_ms < held[0]:
+            if held is not None:
+                self.handle.deleteTimer(held[0])
+            self.handle.registerTimer(at_ms)
+            self.timer.update((at_ms,))
+
+    def _sweep(self, now: int) -> None:
+        """Remove what ended ``delay`` ago, and wake again for the rest."""
+        gone, later = [], None
+        for name, (value,) in self.values.iterator():
+            ends = self.rule.ends(value)
+            if ends is None:
+                continue
+            if ends + self.delay_ms <= now:
+                gone.append(name)
+            else:
+                later = ends if later is None else min(later, ends)
+        for name in gone:
+            self.values.removeKey(name)
+        if gone:
+            self.swept.update((now,))
+        if later is not None:
+            self._wake(max(later, now) + self.delay_ms)
+
+    @staticmethod
+    def _out(batch: pd.DataFrame, decision: np.ndarray) -> pd.DataFrame:
+        return batch[["seq", "fold_key", "at_us", "carried"]].assign(decision=decision)
+
+
+def judged(
+    df: DataFrame, rule: Rule, key: Column, time: Column, at: Column, refused: str,
+    carry: Column | None = None, delay: str = "10 minutes", order: str = "arrival", buckets: int = BUCKETS,
+) -> DataFrame:
+    """(seq, fold_key, at_us, carried, decision) of a stream under a rule; blank keys are accepted.
+
+    ``df`` has ``seq`` and, somewhere before, a watermark; ``carry`` is one
+    string column that rows take along. A bucket of keys is one Python call a
+    micro-batch, whose rows must fit in its memory: bound a trigger's rows.
+    At most ``buckets`` tasks share the work, and a checkpoint is bound to the number.
+    """
+    if order not in ("arrival", "event"):
+        raise ValueError("order is arrival or event")
+    named = F.when(F.coalesce(key, F.lit("")) != "", key)
+    spread = F.pmod(F.xxhash64(F.coalesce(named, F.col("seq").cast("string"))), F.lit(buckets)).cast("int")
+    rows = df.select(
+        spread.alias("bucket"), named.alias("fold_key"), time.cast("bigint").alias("fold_time"), F.unix_micros(at).alias("at_us"),
+        F.col("seq").cast("bigint").alias("seq"), (F.lit(None) if carry is None else carry).cast("string").alias("carried"),
+    )
+    work = Judge(rule, refused, int(pd.Timedelta(delay).total_seconds() * 1000), order == "event")
+    schema = "seq bigint, fold_key string, at_us bigint, carried string, decision string"
+    return rows.groupBy("bucket").transformWithStateInPandas(work, schema, "Append", "EventTime")
+
+
+def _run(
+    df: DataFrame, rule: Rule, delay: str, key: Column, time: Column, at: str, refused: str, carry: tuple[str, ...] = (), order: str = "arrival"
+) -> DataFrame:
     """Decisions of all rows; those with a blank key never meet the state and are accepted."""
-    rows = df.select("seq", key.alias("fold_key"), time.cast("bigint").alias("fold_time"), F.col(at).alias("at"), *carry)
-    rows = rows.withWatermark("at", delay)
-    blank = F.coalesce(F.col("fold_key"), F.lit("")) == ""
-    rule.carry = carry
-    schema = DECISION + "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema[4:])
-    judged = rows.filter(~blank).groupBy("fold_key").transformWithState(rule, schema, "Append", "EventTime")
-    free = rows.filter(blank).select("seq", "fold_key", "at", F.lit(True).alias("accepted"), *carry)
-    decision = F.when(F.col("accepted"), F.lit(ACCEPT)).otherwise(F.lit(refused)).alias("decision")
-    return judged.unionByName(free).select("seq", "fold_key", "at", decision, *carry)
+    taken = F.to_json(F.struct(*carry), {"ignoreNullFields": "false"}) if carry else None
+    found = judged(df.withWatermark(at, delay), rule, key, time, F.col(at), refused, taken, delay, order)
+    kept = []
+    if carry:
+        found = found.withColumn("row", F.from_json("carried", df.select(*carry).schema))
+        kept = [F.col("row")[c].alias(c) for c in carry]
+    return found.select("seq", "fold_key", F.timestamp_micros("at_us").alias("at"), "decision", *kept)
 
 
 def dedup_ttl_stream(
     df: DataFrame, ttl_seconds: int = 604_800, key: str = "dedup_key", epoch: str = "received_epoch",
-    at: str = "received_at", delay: str = "10 minutes", carry: tuple[str, ...] = (),
+    at: str = "received_at", delay: str = "10 minutes", carry: tuple[str, ...] = (), order: str = "arrival",
 ) -> DataFrame:
-    """(seq, fold_key, at, decision) of a stream under the time-to-live rule, and the columns to ``carry``.
-
-    Carry the cooldown key and the epoch to chain ``cooldown_stream`` behind it.
-    """
-    return _run(df, TtlRule(ttl_seconds), delay, F.col(key), F.col(epoch), at, DUPLICATE, carry)
+    """(seq, fold_key, at, decision) of a stream under the time-to-live rule, and the columns to ``carry``."""
+    return _run(df, TtlRule(ttl_seconds), delay, F.col(key), F.col(epoch), at, DUPLICATE, carry, order)
 
 
 def cooldown_stream(
     df: DataFrame, cooldown_seconds: int = 30, key: str = "cooldown_key", epoch: str = "received_epoch",
-    at: str = "received_at", delay: str = "10 minutes", carry: tuple[str, ...] = (),
+    at: str = "received_at", delay: str = "10 minutes", carry: tuple[str, ...] = (), order: str = "arrival",
 ) -> DataFrame:
     """Same for dedup survivors under their cooldown key."""
-    return _run(df, TtlRule(cooldown_seconds), delay, F.col(key), F.col(epoch), at, COOLDOWN, carry)
+    return _run(df, TtlRule(cooldown_seconds), delay, F.col(key), F.col(epoch), at, COOLDOWN, carry, order)
+
+
+def idempotency_stream(
+    df: DataFrame, dedup_ttl_seconds: int = 604_800, cooldown_seconds: int = 30, dedup_key: str = "dedup_key",
+    cooldown_key: str = "cooldown_key", epoch: str = "received_epoch", at: str = "received_at", delay: str = "10 minutes",
+    order: str = "arrival",
+) -> DataFrame:
+    """(seq, decision): dedup, then cooldown of its survivors, as two operators of one query.
+
+    In event order the second operator waits for the watermark as the first
+    does: a row that the first passes on is by then behind it, and judged at
+    once, in the order in which the first settled it.
+    """
+    taken = F.to_json(F.struct(F.col(cooldown_key).alias("ck"), F.col(epoch).alias("t")))
+    first = judged(
+        df.withWatermark(at, delay), TtlRule(dedup_ttl_seconds), F.col(dedup_key), F.col(epoch), F.col(at), DUPLICATE, taken, delay, order
+    ).withColumn("row", F.from_json("carried", "ck string, t bigint"))
+    # All rows go on, so that the first operator stands once in the plan.
+    passed = (F.col("decision") == ACCEPT) & F.col("fold_key").isNotNull()
+    second = judged(
+        first.withColumn("before", F.col("decision")), TtlRule(cooldown_seconds), F.when(passed, F.col("row.ck")), F.col("row.t"),
+        F.timestamp_micros("at_us"), COOLDOWN, F.col("before"), delay,
+    )
+    return second.select("seq", F.when(F.col("carried") == ACCEPT, F.col("decision")).otherwise(F.col("carried")).alias("decision"))
 
 
 def alert_throttle_stream(
-    df: DataFrame, cooldown_seconds: int = 300, key: str = "event", epoch: str = "epoch", at: str = "at", delay: str = "10 minutes"
+    df: DataFrame, cooldown_seconds: int = 300, key: str = "event", epoch: str = "epoch", at: str = "at", delay: str = "10 minutes",
+    order: str = "arrival",
 ) -> DataFrame:
-    return _run(df, TtlRule(cooldown_seconds), delay, safe_key(key), F.col(epoch), at, "suppressed")
+    return _run(df, TtlRule(cooldown_seconds), delay, safe_key(key), F.col(epoch), at, "suppressed", order=order)
+
+
+def bucket_key(source: Column, epoch: Column, bucket_seconds: int) -> Column:
+    """A source and its bucket of time as one key, so that few sources still spread."""
+    bucket = F.call_function("div", epoch, F.lit(bucket_seconds)).cast("string")
+    return F.when(source.isNotNull(), F.concat_ws("@", source, bucket))
 
 
 def rate_limit_source_stream(
     df: DataFrame, limit: int = 500, bucket_seconds: int = 60, source: str = "source",
-    epoch: str = "received_epoch", at: str = "received_at", delay: str = "10 minutes",
+    epoch: str = "received_epoch", at: str = "received_at", delay: str = "10 minutes", order: str = "arrival",
 ) -> DataFrame:
-    """First ``limit`` rows per source and bucket; the key holds the bucket, so few sources still spread."""
-    bucket = F.call_function("div", F.col(epoch), F.lit(bucket_seconds)).cast("string")
-    key = F.concat_ws("@", F.col(source), bucket)
-    return _run(df, CountRule(limit, bucket_seconds), delay, key, F.col(epoch), at, "limited")
+    """First ``limit`` rows per source and bucket."""
+    key = F.concat_ws("@", F.col(source), F.call_function("div", F.col(epoch), F.lit(bucket_seconds)).cast("string"))
+    return _run(df, CountRule(limit, bucket_seconds), delay, key, F.col(epoch), at, "limited", order=order)
 
 
 def rate_limit_ip_stream(
     df: DataFrame, limit_per_minute: int = 100, ip: str = "client_ip", millis: str = "received_ms",
-    at: str = "received_at", delay: str = "10 minutes",
+    at: str = "received_at", delay: str = "10 minutes", order: str = "arrival",
 ) -> DataFrame:
     """Token bucket per address; rows without an address are accepted."""
-    return _run(df, TokenRule(limit_per_minute), delay, F.col(ip), F.col(millis), at, "limited")
+    return _run(df, TokenRule(limit_per_minute), delay, F.col(ip), F.col(millis), at, "limited", order=order)
 
 
 def late_rows(query: StreamingQuery) -> int:
@@ -181,34 +358,6 @@ def late_rows(query: StreamingQuery) -> int:
     return sum(s.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for s in p["stateOperators"])
 
 
-class LateRowAlarm(StreamingQueryListener):
-    """Stops a query that drops a row behind the watermark, before it drops more.
-
-    Add it to ``spark.streams``. Restart the query with a longer ``delay``, and
-    send the range of the alarmed batch through the batch fold.
-    """
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.alarms = spark, []
-
-    def onQueryStarted(self, event) -> None:
-        pass
-
-    def onQueryProgress(self, event) -> None:
-        lost = sum(s.numRowsDroppedByWatermark for s in event.progress.stateOperators)
-        if lost:
-            self.alarms.append((str(event.progress.id), event.progress.batchId, lost))
-            query = self.spark.streams.get(str(event.progress.id))
-            if query is not None:
-                query.stop()
-
-    def onQueryIdle(self, event) -> None:
-        pass
-
-    def onQueryTerminated(self, event) -> None:
-        pass
-
-
 def dedup_approximate(df: DataFrame, key: str = "dedup_key", at: str = "received_at", delay: str = "7 days") -> DataFrame:
     """Built-in alternative whose retention follows the watermark, not first-seen + ttl."""
     return df.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])

@@ -470,6 +470,7 @@ ORACLE["probe_mismatch"] = """SELECT event_id, CASE WHEN event_type = 'view' THE
 # --- sources and sinks -----------------------------------------------------------------------
 
 ORACLE["stream_cooldown"] = ORACLE["cooldown"]
+ORACLE["stream_decisions"] = ORACLE["gate_status"]
 ORACLE["stream_rate_limit_ip"] = ORACLE["rate_limit_ip"]
 ORACLE["requests_round_trip"] = ORACLE["rate_limit_source"]
 ORACLE["topic_round_trip"] = ORACLE["decode_envelope"]

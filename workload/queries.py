@@ -747,16 +747,18 @@ def stream_rate_limit(spark, sf_dir):
 
 @query
 def stream_cooldown(spark, sf_dir):
-    """Dedup as one stream, cooldown of its survivors as the next."""
+    """Dedup, and cooldown of its survivors, as two operators of one stream."""
     req = fixtures.requests_from(event_stream(spark, sf_dir)).withColumn("source", text.normalize_source("source"))
     req = gates.with_secrets(gates.with_payload(req), signing.secrets_table(spark, fixtures.SECRETS))
     keyed_rows = gates.with_keys(req, tuple(BUILT_IN.values()))
-    path = stored(keyed.dedup_ttl_stream(keyed_rows, 3 * 86_400, carry=("cooldown_key", "received_epoch")))
-    first = spark.read.parquet(path)
-    survivors = spark.readStream.schema(first.schema).parquet(path).filter(F.col("decision") == "accept")
-    second = finish(keyed.cooldown_stream(survivors.filter(F.coalesce("fold_key", F.lit("")) != ""), 36_000, at="at"))
-    unkeyed = first.filter((F.col("decision") != "accept") | (F.coalesce("fold_key", F.lit("")) == ""))
-    return unkeyed.select("seq", "decision").unionByName(second.select("seq", "decision"))
+    return finish(keyed.idempotency_stream(keyed_rows, 3 * 86_400, 36_000))
+
+
+@query
+def stream_decisions(spark, sf_dir):
+    """The whole serve path as one stream: limits, dedup and cooldown follow each other."""
+    decided = serve.decide_stream(fixtures.requests_from(event_stream(spark, sf_dir)), serve_config())
+    return finish(decided.select("seq", "status", "http_code", "reason"))
 
 
 @query
