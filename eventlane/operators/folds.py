@@ -11,6 +11,12 @@ It is kept narrow and proof against hot keys:
    next by binary search. No group is ever held in memory.
 3. Only accepted (key, instant, seq) triples come out. Joining them back on
    all three columns spreads a hot key over all partitions.
+
+A key of very many instants is cut into slices of time, which all tasks share:
+each slice is folded as if nothing came before, and tells for every state that
+it could be entered with in which state it would be left. A pass over these
+tables, a fraction of the instants, gives the true states at the cuts, and only
+slices that are entered within a time-to-live are folded again.
 """
 
 from __future__ import annotations
@@ -18,6 +24,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -27,6 +34,8 @@ from eventlane.functions.text import safe_key
 from eventlane.session import staged
 
 ACCEPT, DUPLICATE, COOLDOWN = "accept", "duplicate", "cooldown"
+# Instants from which on a key is cut into slices, times-to-live a slice is long, and its most seconds.
+HOT_INSTANTS, SLICE_TTLS, SLICE_SECONDS = 1_000_000, 4, 4_000_000
 
 
 def key_runs(keys: pa.Array) -> list[tuple[int, int]]:
@@ -91,8 +100,114 @@ def ttl_accepted(rows: DataFrame, ttl_seconds: int, carry: str | None = None) ->
             .agg(first)
             .select("fold_key", "fold_time", F.col("first.seq").alias("seq"), F.col(f"first.{carry}").alias(carry))
         )
+    firsts = staged(firsts, "instants")
+    hot = firsts.groupBy("fold_key").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_INSTANTS).select("fold_key")
+    if not hot.limit(1).count():
+        return _folded(firsts, ttl_seconds)
+    hot = staged(hot, "hot")
+    cool = firsts.join(hot, "fold_key", "left_anti")
+    return _folded(cool, ttl_seconds).unionByName(_sliced(firsts.join(hot, "fold_key", "left_semi"), ttl_seconds))
+
+
+def _folded(firsts: DataFrame, ttl: int) -> DataFrame:
+    """Accepted rows, each key in one task, which streams over it."""
     ordered = firsts.repartition("fold_key").sortWithinPartitions("fold_key", "fold_time")
-    return ordered.mapInArrow(_ttl_fold(ttl_seconds), ordered.schema)
+    return ordered.mapInArrow(_ttl_fold(ttl), ordered.schema)
+
+
+def slice_table(times: np.ndarray, start: int, ttl: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a slice makes of the state it is entered with: (instants, state at the end).
+
+    A state is the expiry of the last accepted instant. Entered with one, the
+    slice is left with that of the first instant not before it; past the last
+    instant, with the one it was entered with. States reach at most one
+    time-to-live into the slice, so later instants need no row, nor do
+    neighbours that lead to the same end.
+    """
+    n = len(times)
+    own = np.arange(n)
+    step = np.searchsorted(times, times + ttl)
+    last = np.where(step < n, np.minimum(step, n - 1), own)
+    while not np.array_equal(further := last[last], last):
+        last = further
+    ends = times[last] + ttl
+    some = min(n, int(np.searchsorted(times, start + ttl)) + 1)
+    keep = np.append(ends[1:some] != ends[: some - 1], True)
+    return times[:some][keep], ends[:some][keep]
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each (fold_key, slice), which arrive in order."""
+    held: list[pa.RecordBatch] = []
+    mark = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, slices = batch["fold_key"], batch["slice"]
+        n = batch.num_rows
+        differs = pc.or_(pc.not_equal(keys.slice(1), keys.slice(0, n - 1)), pc.not_equal(slices.slice(1), slices.slice(0, n - 1)))
+        starts = [0, *(differs.to_numpy(zero_copy_only=False).nonzero()[0] + 1).tolist()]
+        for start, end in zip(starts, [*starts[1:], n], strict=True):
+            own = (keys[start].as_py(), slices[start].as_py())
+            if own != mark:
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, mark = [], own
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _sliced(firsts: DataFrame, ttl: int) -> DataFrame:
+    """Accepted rows of keys whose slices all tasks share."""
+    span, columns = min(SLICE_TTLS * ttl, SLICE_SECONDS), firsts.columns
+    rows = firsts.withColumn("slice", F.floor(F.col("fold_time") / span))
+
+    def spread(df: DataFrame) -> DataFrame:
+        return df.repartition("fold_key", "slice").sortWithinPartitions("fold_key", "slice", "fold_time")
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows accepted if nothing came before, and those of the tables (with an end)."""
+        for table in _slices(batches):
+            times = table["fold_time"].to_numpy()
+            picked, _ = accepted_positions(times, 0, len(times), None, ttl)
+            at, ends = slice_table(times, table["slice"][0].as_py() * span, ttl)
+            known = table.take(pa.array(np.concatenate([picked, np.searchsorted(times, at)]).astype(np.int64)))
+            ends = np.concatenate([np.zeros(len(picked), np.int64), ends])
+            known = known.append_column("ends", pa.array(ends, mask=np.arange(len(ends)) < len(picked)))
+            known = known.append_column("begins", pa.array(np.full(len(ends), times[0])))
+            yield from known.combine_chunks().to_batches()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The state at the start of each slice that is entered within a time-to-live."""
+        key, state = None, None
+        for table in _slices(batches):
+            if (own := table["fold_key"][0].as_py()) != key:
+                key, state = own, None
+            at, ends, begins = table["fold_time"].to_numpy(), table["ends"].to_numpy(), table["begins"][0].as_py()
+            if state is not None and state > begins:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([key]), table["slice"].slice(0, 1).combine_chunks(), pa.array([state], pa.int64())], names=["fold_key", "slice", "entry"]
+                )
+                place = int(np.searchsorted(at, state))
+                state = int(ends[place]) if place < len(at) else state
+            else:
+                state = int(ends[0])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _slices(batches):
+            times = table["fold_time"].to_numpy()
+            picked, _ = accepted_positions(times, 0, len(times), table["entry"][0].as_py(), ttl)
+            yield from table.take(pa.array(picked, pa.int64())).select(columns).combine_chunks().to_batches()
+
+    schema = rows.schema.simpleString()[7:-1]
+    known = staged(spread(rows).mapInArrow(alone, f"{schema},ends:bigint,begins:bigint"), "slices")
+    tables = known.where("ends is not null").select("fold_key", "slice", "fold_time", "ends", "begins")
+    ordered = tables.repartition("fold_key").sortWithinPartitions("fold_key", "slice", "fold_time")
+    entered = staged(ordered.mapInArrow(scan, "fold_key string, slice bigint, entry bigint"), "entries")
+    kept = known.where("ends is null").join(entered, ["fold_key", "slice"], "left_anti").select(*columns)
+    redone = spread(rows.join(entered, ["fold_key", "slice"]).select(*rows.columns, "entry"))
+    return kept.unionByName(redone.mapInArrow(again, firsts.schema))
 
 
 def _keyed(key: Column) -> Column:

@@ -134,6 +134,31 @@ def test_large_limits(spark):
     assert sorted(map(tuple, got)) == [("a", 2000, 19_990), ("b", 5000, 5555)]
 
 
+@pytest.mark.parametrize("ttl", [1, 7, 40, 5000])
+def test_sliced_keys_equal_whole_keys(spark, monkeypatch, ttl):
+    """Dense runs, gaps and single instants, cut into slices; every key takes that way."""
+    draw = random.Random(ttl)
+    rows = []
+    for key in ("dense", "gaps", "one", "mixed"):
+        t = 1_000_000
+        for _ in range({"one": 1}.get(key, 1500)):
+            t += draw.choice({"dense": [0, 1, 1, 2], "gaps": [1, 90], "one": [0], "mixed": [0, 1, 3, ttl, 9 * ttl]}[key])
+            rows.append((key, t, len(rows), f"c{len(rows)}"))
+    df = spark.createDataFrame(rows, "fold_key string, fold_time bigint, seq bigint, ck string")
+    whole = sorted(map(tuple, folds.ttl_accepted(df, ttl, carry="ck").collect()))
+    monkeypatch.setattr(folds, "HOT_INSTANTS", 1)
+    assert sorted(map(tuple, folds.ttl_accepted(df, ttl, carry="ck").collect())) == whole
+    monkeypatch.setattr(folds, "SLICE_SECONDS", 3)
+    monkeypatch.setattr(folds, "HOT_INSTANTS", 2)
+    assert sorted(map(tuple, folds.ttl_accepted(df, ttl, carry="ck").collect())) == whole
+    want, expiry = [], {}
+    for key, t, seq, ck in rows:
+        if t >= expiry.get(key, 0):
+            want.append((key, t, seq, ck))
+            expiry[key] = t + ttl
+    assert whole == sorted(want)
+
+
 # Streams start with a watermark of 1970, so their rows must be later.
 BASE = 1_700_000_000
 
