@@ -27,15 +27,18 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"'
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _NAME = re.compile(r"[a-z]+")
 # Fixed values of the markup language.
-_SKIPPED = frozenset("script style template noscript svg head title textarea select button iframe object canvas math audio video".split())
+_SKIPPED = frozenset("script style template noscript svg head title textarea select button iframe object canvas audio video annotation".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr br".split()
+    "strike strong sub sup time tt u var wbr br "
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mspace mpadded mphantom semantics".split()
 )
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol dl table div section article main body html blockquote nav aside header footer form".split())
 _BUCKETS = 1 << 14
+# Their text is raw: without an end tag they take the rest of the page, as in browsers.
+_RAW = frozenset("script style textarea title template iframe".split())
 _LENGTHS = (10, 30, 80, 200, 600)
 _RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in ("script", "style", "textarea", "title", "template", "noscript", "iframe", "svg")}
 
@@ -64,6 +67,8 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     held: list[str] = []
     in_links = links = 0
+    # Elements that have no end tag from here on.
+    endless: set[str] = set()
 
     def close() -> None:
         nonlocal in_links
@@ -90,12 +95,16 @@ def blocks(page: str) -> list[Block]:
         if name in _SKIPPED and not ends:
             if name not in _INLINE and name != "button":
                 close()
-            closing = (_RAW_END.get(name) or re.compile(rf"</{name}\b[^>]*>", re.I)).search(page, at)
-            # Markup that never ends swallows the rest, except a head: browsers end it where text begins.
+            # Foreign markup may close itself in its start tag.
+            if name == "svg" and match[0].endswith("/>"):
+                continue
+            closing = None if name in endless else (_RAW_END.get(name) or re.compile(rf"</{name}\b[^>]*>", re.I)).search(page, at)
             if closing is not None:
                 at = closing.end()
-            elif name not in ("head", "button", "select", "object", "noscript"):
+            elif name in _RAW:
                 at = len(page)
+            else:
+                endless.add(name)
             continue
         if name in ("br", "wbr"):
             held.append(" ")
