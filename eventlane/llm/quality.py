@@ -141,12 +141,15 @@ def train(docs: DataFrame, ratings: DataFrame, text: str = "text", grade: str =
     """Fit on a bounded sample of rated rows: about ``most_rows``, drawn by a hash of their id.
 
     ``ratings`` has ``id_col`` and an integer ``grade``; rows with a null id,
-    grade or text teach nothing. Without ratings every text gets no grade.
+    grade or text teach nothing, and repeated rows teach as often as they are
+    there. Other columns of either table, whatever their names, are not looked
+    at. Without ratings every text gets no grade.
     """
     rated = ratings.select(F.col(id_col).alias("rated_id"), F.col(grade).cast("int").alias("grade")).where("rated_id is not null and grade is not null")
     share = min(1.0, most_rows / max(1, rated.count()))
     drawn = F.broadcast(rated.where(F.pmod(F.xxhash64("rated_id"), F.lit(1 << 30)) < int(share * (1 << 30))))
-    sample = docs.where(F.col(text).isNotNull()).join(drawn, F.col(id_col) == F.col("rated_id")).select("rated_id", "grade", F.col(text).alias("text"))
+    own = docs.select(F.col(id_col).alias("known_id"), F.col(text).alias("text")).where("text is not null")
+    sample = own.join(drawn, F.col("known_id") == F.col("rated_id")).select("rated_id", "grade", "text")
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -190,5 +193,9 @@ def grade(df: DataFrame, model: Model, text: str = "text", least: float = 0.5) -
 
 
 def select(df: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``df`` whose highest grade has at least the chance ``least``, with their columns; all, if the model knows no grade."""
+    """The rows of ``df`` whose highest grade has at least the chance ``least``, with their columns; all, if the model knows no grade.
+
+    Null texts count as empty, rows with a null id are rows like others, repeated
+    rows stay or go together, and an empty table stays empty.
+    """
     return df.where(F.coalesce(graded(F.col(text), Shared(df.sparkSession, model))["tail"], F.lit(1.0)) >= least)
