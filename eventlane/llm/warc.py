@@ -88,9 +88,13 @@ class WarcWriter(DataSourceArrowWriter):
     def __init__(self, path: str, compress: bool, most: int, schema: StructType) -> None:
         self.path, self.compress, self.most = path, compress, most
         self.absent = dict.fromkeys(name.split()[0] for name in SCHEMA.split(", "))
-        # The first task may start before any other: all make the folder.
+        # A folder has its list before any task writes: what a lost or failed attempt leaves is never in it.
         system, folder = open_path(path)
         system.create_dir(folder, recursive=True)
+        if system.get_file_info(f"{folder}/{FILE_LIST}").type != fs.FileType.File:
+            before = json.dumps(listed(path)).encode()
+            with system.open_output_stream(f"{folder}/{FILE_LIST}") as out:
+                out.write(before)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, folder = open_path(self.path)
