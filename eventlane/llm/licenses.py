@@ -85,7 +85,7 @@ _VERBS = ("licensed under ", "licensed under the ", "released under ", "released
 
 _EDGE = re.compile(r"[.!?;:]+(?=\s)|\n\s*\n|\n\s*(?=[-*•\d])")
 _WORD = re.compile(r"[a-z0-9]+")
-_HOLDER = re.compile(r"neither the name of .{1,80} nor the names of its contributors")
+_NEITHER, _NOR = "neither the name of ", " nor the names of its contributors"
 # Words that most known sentences have; ``Knowledge.triggers`` adds what its rules need besides.
 TRIGGERS = ("licen", "permission", "redistribut", "software", "warrant", "spdx", "released", "distributed")
 
@@ -93,7 +93,12 @@ TRIGGERS = ("licen", "permission", "redistribut", "software", "warrant", "spdx",
 def normal(sentence: str) -> str:
     """Lower-case letters and digits with single spaces; the holder's name in a BSD clause is neutral."""
     text = " ".join(_WORD.findall(sentence.lower()))
-    return _HOLDER.sub("neither the name of the copyright holder nor the names of its contributors", text)
+    at = text.find(_NEITHER)
+    while at >= 0 and (end := text.find(_NOR, at + len(_NEITHER) + 1)) >= 0:
+        clause = f"{_NEITHER}the copyright holder{_NOR}"
+        text = text[:at] + clause + text[end + len(_NOR) :]
+        at = text.find(_NEITHER, at + len(clause))
+    return text
 
 
 @dataclass(frozen=True)
