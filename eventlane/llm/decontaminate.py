@@ -14,13 +14,16 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlane.llm.common import text_or_empty
+from eventlane.llm.common import fresh, text_or_empty
 from eventlane.session import staged
 
 WINDOW = 13
-SHORTEST = 8
+# Shorter items must be there word for word.
+LOOSE = 8
+# Items of fewer words than a shingle of five are no evidence.
+SHORTEST = 5
 # The masks of a width lie within its first so many words.
-_SPANS = (12, 10, SHORTEST)
+_SPANS = (12, 10, LOOSE)
 # A seed key is a long: this many take about 64 MB as a broadcast table.
 MOST_BROADCAST = 2_000_000
 
@@ -33,25 +36,16 @@ def masks_of(width: int, similarity: float) -> tuple[str, ...]:
     so one mask counts none of them. A word that a document lacks at its end
     is one that differs.
     """
-    changes = width - sum(same < similarity * width for same in range(width + 1))
+    changes = 0 if width < LOOSE else width - sum(same < similarity * width for same in range(width + 1))
     if not 0 <= changes < width:
         raise ValueError(f"similarity is above 0 and at most 1, not {similarity}")
     # Six words or more count at 0.8; where more may differ, a mask is a block.
-    span = width if changes > 2 else next(s for s in _SPANS if s <= width)
-    parts = changes + 1 if changes in (0, *range(3, width)) else 5 if span == 10 else 4
+    span = width if changes > 2 else next((s for s in _SPANS if s <= width), width)
+    parts = 1 if changes == 0 else changes + 1 if changes > 2 else 5 if span == 10 else 4
     block = [i * parts // span for i in range(span)]
     return tuple("".join("01"[b not in out] for b in block).ljust(WINDOW, "0") for out in combinations(range(parts), changes))
 
 
-def masks(similarity: float) -> tuple[str, ...]:
-    """The masks of all widths, each once."""
-    return tuple(dict.fromkeys(mask for width in range(SHORTEST, WINDOW + 1) for mask in masks_of(width, similarity)))
-
-
-# Those of the default threshold: 15, of six words each; windows of 12 and 13 words use six of them.
-MASKS = masks(0.8)
-
-
 def words(text: Column | str) -> Column:
     """Lower-case runs of letters and digits."""
     return F.regexp_extract_all(F.lower(text_or_empty(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
@@ -76,54 +70,72 @@ def _seeds(chosen: dict[str, Column]) -> Column:
     return F.array(*keys)
 
 
-def benchmark_windows(benchmark: DataFrame, id_col: str, text: str, similarity: float = 0.8) -> DataFrame:
-    """``key, own, width, item_id``: the distinct windows of all items under each seed of their width.
+def benchmark_windows(benchmark: DataFrame, id_col: str, text: str, shortest: int = SHORTEST) -> DataFrame:
+    """``item_id, own, width``: the distinct windows of each item.
 
-    An item of fewer than 13 words has one window of all its words. Items of
-    fewer than eight words have none: so short a text is no evidence. A window
-    that several items share is credited to the least of their ids.
+    An item of fewer than 13 words has one window of all its words, one of fewer
+    than ``shortest`` none.
     """
-    rows = windows(benchmark, id_col, text).where(f"n >= {SHORTEST}")
+    rows = windows(benchmark, id_col, text).where(F.col("n") >= shortest)
     rows = rows.where(f"pos + {WINDOW} <= n or (pos = 0 and n < {WINDOW})")
-    own = rows.select(F.array(*[f"w{i}" for i in range(WINDOW)]).alias("own"), F.least("n", F.lit(WINDOW)).alias("width"), "id", *[f"w{i}" for i in range(WINDOW)])
-    once = own.groupBy("own", "width", *[f"w{i}" for i in range(WINDOW)]).agg(F.min("id").alias("item_id"))
-    of = {mask: [w for w in range(SHORTEST, WINDOW + 1) if mask in masks_of(w, similarity)] for mask in masks(similarity)}
-    seeds = _seeds({mask: F.col("width").isin(widths) for mask, widths in of.items()})
-    return once.select("own", "width", "item_id", F.explode(seeds).alias("key")).where("key is not null")
+    own = F.array(*[f"w{i}" for i in range(WINDOW)]).alias("own")
+    return rows.select(F.col("id").alias("item_id"), own, F.least("n", F.lit(WINDOW)).alias("width")).distinct()
 
 
 def overlaps(
     docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
-    id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text",
+    id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", shortest: int = SHORTEST,
 ) -> DataFrame:
     """``doc_id, item_id, n_windows, similarity, first_word`` of documents that overlap the benchmark.
 
     A document overlaps an item where a window of the item and the words at
     some place of the document agree in at least ``similarity`` of their
-    places. ``n_windows`` counts such places, ``first_word`` is the first,
+    places; an item of fewer than eight words must be there word for word, one
+    of fewer than ``shortest`` is passed over. Items that share a window are
+    each reported. ``n_windows`` counts such places, ``first_word`` is the first,
     ``similarity`` the best. Null and empty texts overlap nothing. Rows that
     repeat a document's id count together; repeated items count once; extra
     columns are ignored; an empty table on either side gives no rows.
     """
-    seeds = staged(benchmark_windows(benchmark, item_col, item_text, similarity), "seeds")
-    # Documents need the masks of widths that occur.
-    used = dict.fromkeys(mask for r in seeds.select("width").distinct().sort("width").collect() for mask in masks_of(r.width, similarity))
+    # Each distinct window is searched once; its items join what was found.
+    members = staged(benchmark_windows(benchmark, item_col, item_text, shortest), "members")
+    distinct = staged(members.select("own", "width").distinct().withColumn("window", F.monotonically_increasing_id()), "windows")
+    widths = [r.width for r in distinct.select("width").distinct().sort("width").collect()]
+    of: dict[str, list[int]] = {}
+    for width in widths:
+        for mask in masks_of(width, similarity):
+            of.setdefault(mask, []).append(width)
+    names = [f"w{i}" for i in range(WINDOW)]
+    spread = distinct.select("*", *[F.col("own")[i].alias(n) for i, n in enumerate(names)])
+    of = of or {"1": [0]}
+    keyed = spread.select("window", "own", "width", F.explode(_seeds({mask: F.col("width").isin(some) for mask, some in of.items()})).alias("key"))
+    seeds = staged(keyed.where("key is not null"), "seeds")
     keys = seeds.select("key").distinct()
     if keys.count() <= MOST_BROADCAST:
         keys = F.broadcast(keys)
     places = windows(docs, id_col, text)
-    names = [f"w{i}" for i in range(WINDOW)]
     last = F.col("n") - F.col("pos")
-    seeded = places.select("id", "pos", *names, F.explode(_seeds({mask: last > mask.rindex("1") for mask in used or MASKS[:1]})).alias("key"))
+    seeded = places.select("id", "pos", *names, F.explode(_seeds({mask: last > mask.rindex("1") for mask in of})).alias("key"))
     hits = seeded.join(keys, "key", "left_semi").join(seeds, "key")
     same = sum((F.col(f"w{i}").eqNullSafe(F.col("own")[i]) & (F.col("width") > i)).cast("int") for i in range(WINDOW))
-    checked = hits.select("id", "item_id", "pos", "width", same.alias("same")).where(F.col("same") >= F.lit(similarity) * F.col("width"))
-    once = checked.groupBy("id", "item_id", "pos").agg(F.max(F.col("same") / F.col("width")).alias("best"))
+    checked = hits.select("id", "window", "pos", "width", same.alias("same"))
+    enough = F.when(F.col("width") < LOOSE, F.col("width")).otherwise(F.lit(similarity) * F.col("width"))
+    met = checked.where(F.col("same") >= enough).select("id", "window", "pos", (F.col("same") / F.col("width")).alias("best")).distinct()
+    owners = members.join(distinct, ["own", "width"]).select("window", "item_id")
+    once = met.join(owners, "window").groupBy("id", "item_id", "pos").agg(F.max("best").alias("best"))
     found = once.groupBy("id", "item_id").agg(F.count("*").alias("n_windows"), F.max("best").alias("similarity"), F.min("pos").cast("long").alias("first_word"))
     return found.withColumnsRenamed({"id": id_col, "item_id": item_col} if item_col != "item_id" else {"id": id_col})
 
 
-def without_overlap(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that overlap no item, with their columns; rows with a null id are judged together."""
-    found = staged(overlaps(docs, benchmark, similarity, id_col, text).select(F.col(id_col).alias("id")).distinct(), "leaks")
-    return docs.join(found, docs[id_col].eqNullSafe(found["id"]), "left_anti")
+def without_overlap(
+    docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text: str = "text", shortest: int = SHORTEST
+) -> DataFrame:
+    """The rows of ``docs`` that overlap no item, with their columns.
+
+    Rows are judged by id and text hash, so that rows with null or equal ids
+    and different texts are judged each by its own text.
+    """
+    key, mark = fresh(docs, "row_key"), F.xxhash64(text_or_empty(text))
+    own = docs.select(F.struct(F.col(id_col).alias("id"), mark.alias("hash")).alias(key), F.col(text).alias("text"))
+    found = staged(overlaps(own, benchmark, similarity, key, "text", shortest=shortest).select(f"{key}.id", f"{key}.hash").distinct(), "leaks")
+    return docs.join(found, docs[id_col].eqNullSafe(found["id"]) & (mark == found["hash"]), "left_anti")

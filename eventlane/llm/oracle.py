@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eventlane.llm.decontaminate import MASKS, SHORTEST, WINDOW
+from eventlane.llm.decontaminate import LOOSE, SHORTEST, WINDOW, masks_of
 
 ORACLE: dict[str, str] = {}
 
@@ -15,23 +15,33 @@ SELECT page_id, n::BIGINT AS payload_bytes, q.d AS payload_digest,
 FROM q LEFT JOIN m ON q.d = m.d
 """
 
-_KEYS = " UNION ALL ".join(
-    f"SELECT *, {m} AS m, concat_ws(' ', " + ", ".join(f"w[{i + 1}]" for i, c in enumerate(mask) if c == "1")
-    + f") AS k FROM {{0}} WHERE len(w) > {mask.rindex('1')}"
-    for m, mask in enumerate(MASKS)
-)
+_MASKS = {width: masks_of(width, 0.8) for width in range(SHORTEST, WINDOW + 1)}
+_ALL = list(dict.fromkeys(m for own in _MASKS.values() for m in own))
+
+
+def _keys(rows: str, exact: bool) -> str:
+    """The seeds of rows of words ``w``: of a benchmark window those of its width, else all that its words reach."""
+    parts = []
+    for m, mask in enumerate(_ALL):
+        widths = ", ".join(str(w) for w, own in _MASKS.items() if mask in own)
+        words = ", ".join(f"w[{i + 1}]" for i, c in enumerate(mask) if c == "1")
+        fits = f"len(w) IN ({widths})" if exact else f"len(w) > {mask.rindex('1')}"
+        parts.append(f"SELECT *, {m} AS m, concat_ws(' ', {words}) AS k FROM {rows} WHERE {fits}")
+    return " UNION ALL ".join(parts)
+
+
 _WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')"
 ORACLE["op8_decontamination"] = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS t FROM documents),
 dw AS (SELECT doc_id, p AS pos, t[p + 1 : p + {WINDOW}] AS w FROM (SELECT doc_id, t, unnest(range(len(t))) AS p FROM d)),
 b AS (SELECT item_id, {_WORDS} AS t FROM benchmark),
-bw AS (SELECT min(item_id) AS item_id, w FROM (
+bw AS (SELECT DISTINCT item_id, w FROM (
   SELECT item_id, t[p + 1 : p + {WINDOW}] AS w FROM (SELECT item_id, t, unnest(range(len(t))) AS p FROM b WHERE len(t) >= {SHORTEST})
-  WHERE p + {WINDOW} <= len(t) OR (p = 0 AND len(t) < {WINDOW})) GROUP BY w),
-dk AS ({_KEYS.format("dw")}), bk AS ({_KEYS.format("bw")}),
+  WHERE p + {WINDOW} <= len(t) OR (p = 0 AND len(t) < {WINDOW}))),
+dk AS ({_keys("dw", False)}), bk AS ({_keys("bw", True)}),
 hits AS (SELECT DISTINCT doc_id, item_id, pos, dk.w AS v, bk.w AS w FROM dk JOIN bk USING (m, k)),
-same AS (SELECT doc_id, item_id, pos, len(list_filter(range(1, len(w) + 1), lambda i: v[i] = w[i])) / len(w) AS s FROM hits),
-best AS (SELECT doc_id, item_id, pos, max(s) AS s FROM same WHERE s >= 0.8 GROUP BY ALL)
+same AS (SELECT doc_id, item_id, pos, len(w) AS n, len(list_filter(range(1, len(w) + 1), lambda i: v[i] = w[i])) / len(w) AS s FROM hits),
+best AS (SELECT doc_id, item_id, pos, max(s) AS s FROM same WHERE s >= CASE WHEN n < {LOOSE} THEN 1 ELSE 0.8 END GROUP BY ALL)
 SELECT doc_id, item_id, count(*) AS n_windows, max(s) AS similarity, min(pos) AS first_word FROM best GROUP BY doc_id, item_id
 """
 
