@@ -23,7 +23,10 @@ from eventlane.session import staged
 # Most members, and most visitors, that one block compares.
 BLOCK = 4096
 _MOST_CODEWORDS = 1024
-_MOST_VISITS = 512
+# Ranks are first looked up so far; where the target lies beyond, further.
+_VISITS = 512
+# Links that the number of visits is measured on, and vectors drawn for them at first and at most.
+_LINKS, _DRAWN, _MOST_DRAWN = 300, 256, 4096
 
 
 def unit(vectors: list, width: int) -> np.ndarray:
@@ -99,21 +102,30 @@ def fit(groups: DataFrame, count: int, width: int, sample: int = 20_000) -> Inde
     return Index(codebook(x[:, :half], size), codebook(x[:, half:], size), 1)
 
 
-def visits_for(groups: DataFrame, count: int, index: Index, threshold: float, target: float, queries: int = 256) -> int:
-    """How many cells must be visited to find the share ``target`` of links.
+def _rank(cells: np.ndarray, home: np.ndarray) -> np.ndarray:
+    """The place of each home in its row of cells; their number where it is not among them."""
+    same = cells == home[:, None]
+    return np.where(same.any(axis=1), same.argmax(axis=1), cells.shape[1])
+
+
+def at_threshold(x: np.ndarray, threshold: float, seed: int = 7) -> np.ndarray:
+    """For each unit vector one of cosine ``threshold`` with it, in a seeded direction."""
+    if x.shape[1] < 2:
+        return x
+    aside = np.random.default_rng(seed).standard_normal(x.shape)
+    aside -= (aside * x).sum(axis=1, keepdims=True) * x
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    return threshold * x + np.sqrt(1 - threshold**2) * aside
 
-    About ``queries`` vectors, drawn by hash, are compared with all others; a
-    link is found at the rank of one's cell in the other's order, whichever of
-    the two is less. Eight where those vectors have no link.
+
+def link_ranks(groups: DataFrame, drawn: pd.DataFrame, index: Index, threshold: float, most: int) -> np.ndarray:
+    """At which visit each link of the drawn vectors is found; ``most`` where it is not.
+
+    The drawn vectors are compared with all others. A link is found at the rank
+    of one's cell in the other's order, whichever of the two is less.
     """
-    salted = F.pmod(F.xxhash64("mark", F.lit(1)), F.lit(1 << 30))
-    rows = groups.where(salted < int(min(1, queries / max(1, count)) * (1 << 30))).select("mark", "label", "vector").toPandas().sort_values("mark")
-    if not len(rows):
-        return 8
-    q = unit(rows["vector"].tolist(), index.width)
-    most = min(_MOST_VISITS, len(index.first) * len(index.second))
-    order = index.cells(q, most)
-    shared = Shared(groups.sparkSession, (index, rows["mark"].to_numpy(), rows["label"].to_numpy(), rows["vector"].map(len).to_numpy(), q, order))
+    q = unit(drawn["vector"].tolist(), index.width)
+    shared = Shared(groups.sparkSession, (index, drawn["mark"].to_numpy(), drawn["label"].to_numpy(), drawn["vector"].map(len).to_numpy(), q, index.cells(q, most)))
 
     def ranks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, marks, labels, sizes, q, order = shared.value
@@ -125,16 +137,48 @@ def visits_for(groups: DataFrame, count: int, index: Index, threshold: float, ta
             if not len(met):
                 continue
             theirs = own.cells(x[met], order.shape[1])
-            rank = lambda cells, home: np.where((cells == home[:, None]).any(axis=1), (cells == home[:, None]).argmax(axis=1), order.shape[1])
-            least = np.minimum(rank(order[a], theirs[at, 0]), rank(theirs[at], order[a, 0]))
+            least = np.minimum(_rank(order[a], theirs[at, 0]), _rank(theirs[at], order[a, 0]))
             yield pd.DataFrame({"rank": least.astype("int64")})
 
     seen = groups.select("mark", "label", "vector").mapInPandas(ranks, "rank long").groupBy("rank").count().toPandas()
-    if not len(seen):
-        return min(8, most)
-    seen = seen.sort_values("rank")
-    reached = (seen["count"].cumsum() / seen["count"].sum() >= target).to_numpy().argmax()
-    return int(np.clip(seen["rank"].iloc[reached] + 1, min(4, most), most))
+    return np.repeat(seen["rank"].to_numpy(dtype=np.int64), seen["count"].clip(upper=1 << 20).to_numpy(dtype=np.int64))
+
+
+def visits_for(groups: DataFrame, count: int, index: Index, threshold: float, target: float) -> int:
+    """How many cells must be visited to find the share ``target`` of links.
+
+    Vectors are drawn by hash, more and more, until they have some hundreds of
+    links. Where ``_MOST_DRAWN`` have fewer, links are rare, and each drawn
+    vector's rank for a vector at just the threshold, the hardest to find, is
+    measured too. If the target lies beyond the ranks looked up, these go on.
+    """
+    cells = len(index.first) * len(index.second)
+    most, number = min(_VISITS, cells), _DRAWN
+    salted = F.pmod(F.xxhash64("mark", F.lit(1)), F.lit(1 << 30))
+    while True:
+        share = min(1.0, number / max(1, count))
+        drawn = groups.where(salted < int(share * (1 << 30))).select("mark", "label", "vector").toPandas().sort_values("mark")
+        if not len(drawn):
+            if share == 1.0:
+                return 1
+            number *= 4
+            continue
+        ranks = link_ranks(groups, drawn, index, threshold, most)
+        if len(ranks) < _LINKS and share < 1.0 and number < _MOST_DRAWN:
+            number *= 4
+            continue
+        if len(ranks) < _LINKS:
+            q = unit(drawn["vector"].tolist()[:_MOST_DRAWN], index.width)
+            near = at_threshold(q, threshold)
+            own, theirs = index.cells(q, most), index.cells(near, most)
+            ranks = np.concatenate([ranks, np.minimum(_rank(own, theirs[:, 0]), _rank(theirs, own[:, 0]))])
+        ranks.sort()
+        reached = int(ranks[max(0, int(np.ceil(target * len(ranks))) - 1)])
+        if reached < most:
+            return min(max(reached + 1, 4), cells)
+        if most == cells:
+            raise RuntimeError(f"visiting all {cells} cells does not reach the share {target} of links")
+        most = min(4 * most, cells)
 
 
 def _compare(threshold: float, width: int):
@@ -191,7 +235,7 @@ def near_duplicates(
     first. Null labels, null ids, and vectors that are null, zero or hold null
     or non-finite components link with nothing. Rows that repeat an id count
     as rows but share a component. Extra columns are ignored; an empty table
-    gives an empty result. ``target`` is the share of links that the index aims at.
+    gives an empty result. ``target`` is the share of links that the index aims at, measured before the search.
     """
     spark = df.sparkSession
     groups = staged(_groups(df, id_col, vector, label), "vectors")
