@@ -94,20 +94,36 @@ def near_duplicates(
     ignored. An empty table gives an empty result.
     """
     prints = staged(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text), shingle).alias("fp")), "simhash")
-    groups = staged(prints.groupBy("fp").agg(F.min("id").alias("low")), "fingerprints")
-    roots = components(ball_links(groups.select("fp"), distance))
-    linked = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    linked = _rooted(prints, distance)
     least = linked.groupBy("root").agg(F.min("low").alias("component_id"))
     named = linked.join(least, "root").select(F.col("fp").alias("of"), "component_id")
     return prints.join(named, prints["fp"] == named["of"]).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def _rooted(prints: DataFrame, distance: int) -> DataFrame:
+    """``fp, low, root`` of each distinct fingerprint: its least id and the least fingerprint it is linked to."""
+    groups = staged(prints.groupBy("fp").agg(F.min("id").alias("low")), "fingerprints")
+    roots = components(ball_links(groups.select("fp"), distance))
+    return groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+
+
 def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names its component. Of rows that repeat an id, one stays."""
-    found = near_duplicates(docs, shingle, distance, id_col, text)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(fresh(docs, "kept_id"))).distinct()
-    key = kept.columns[0]
-    return docs.dropDuplicates([id_col]).join(kept, docs[id_col] == kept[key], "left_semi")
+    """One row of ``docs`` of each component, with its columns.
+
+    It is the row of least id, nulls last, then of least fingerprint, then of
+    least text hash, so that rows with null ids or equal ids and different
+    texts stand for themselves. Of rows equal in id and text one stays. Null
+    texts count as empty; an empty table stays empty.
+    """
+    mark = fresh(docs, "mark")
+    hashed = F.xxhash64(text_or_empty(text))
+    prints = staged(docs.select(F.col(id_col).alias("id"), hashed.alias("hash"), fingerprint(F.col(text), shingle).alias("fp")), "simhash")
+    linked = _rooted(prints, distance).select(F.col("fp").alias("of"), "root")
+    order = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "fp", "hash")).alias("first")
+    kept = prints.join(linked, prints["fp"] == linked["of"]).groupBy("root").agg(order).select("first.id", "first.hash")
+    own = docs.withColumn(mark, hashed)
+    one = own.join(kept, own[id_col].eqNullSafe(kept["id"]) & (own[mark] == kept["hash"]), "left_semi")
+    return one.dropDuplicates([id_col, mark]).drop(mark)
 
 
 def hexadecimal(fp: Column) -> Column:
