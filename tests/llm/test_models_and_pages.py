@@ -65,6 +65,13 @@ def test_held_out_grades(spark):
     assert (np.diff(model.thresholds) >= 0).all() and found["expected_grade"].between(0, 2).all()
 
 
+def test_training_ignores_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, "good words here" if i % 2 else "bad stuff there", 7, 8, 9) for i in range(40)], "doc_id long, text string, grade int, rated_id int, known_id int")
+    ratings = spark.createDataFrame([(i, i % 2, "x") for i in range(40)], "doc_id long, grade int, text string")
+    model = quality.train(docs, ratings)
+    assert model.grades.tolist() == [0, 1] and {r.doc_id % 2 for r in quality.select(docs, model).collect()} == {1}
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(["fine words here", "bad stuff here", None, "", "fine " * 100_000])] * 8, "doc_id long, text string, tail string")
     rated = spark.createDataFrame([(0, 1), (1, 0), (2, 1), (3, None), (None, 1)], "doc_id long, grade int")
@@ -125,6 +132,25 @@ def test_blocks_of_broken_markup():
     assert texts("<div>" * 3000 + "deep") == ["deep"]
 
 
+@pytest.mark.parametrize("odd", ["<svg class=x/>", "<canvas>", "<audio src=a>", "<svg>", "<button>", "<math/>", "<video>"])
+def test_odd_elements_do_not_swallow_the_page(odd):
+    found = [b.text for b in html_text.blocks(f"<article><p>first text</p>{odd}<p>second text</p></article><p>third text</p>")]
+    assert found == ["first text", "second text", "third text"]
+
+
+def test_formulas_are_text():
+    page = "<p>area <math><mi>x</mi><msup><mi>y</mi><mn>2</mn></msup></math> end</p><svg><text>drawn</text></svg><p>next</p>"
+    assert [b.text for b in html_text.blocks(page)] == ["area xy2 end", "next"]
+
+
+def test_unclosed_elements_are_looked_up_once():
+    import time
+
+    start = time.perf_counter()
+    assert len(html_text.blocks("<button><p>some text</p>" * 20_000)) == 20_000
+    assert time.perf_counter() - start < 10
+
+
 def test_html_edges(spark, extractor):
     df = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "<article><p>Some words that are an article, of one line.</p></article>", 5)] * 2, "page_id long, html string, text int")
     found = sorted((r.page_id, r.text) for r in html_text.extract(df, extractor).collect())
@@ -177,6 +203,40 @@ def test_filters_reach_the_reader_and_payloads_are_skipped(spark, pages, monkeyp
     assert sum(taken) < 100_000  # the archive holds a payload of 300,000 bytes
 
 
+def test_files_of_a_lost_task_are_never_listed(tmp_path):
+    """An attempt that wrote and never committed leaves a file; the list holds what was committed."""
+    import pyarrow as pa
+
+    schema = "record_id string, record_type string, payload binary"
+    row = pa.RecordBatch.from_pylist([{"record_id": "urn:x", "record_type": "response", "payload": b"abc"}])
+    path = str(tmp_path / "archives")
+    first = warc.WarcWriter(path, True, 1 << 20, schema)
+    first.write(iter([row]))
+    first.commit([first.write(iter([row])), None])
+    assert len(warc.listed(path)) == 1
+    # A job that fails before any commit leaves nothing for the next one either.
+    second = warc.WarcWriter(str(tmp_path / "other"), True, 1 << 20, schema)
+    second.write(iter([row]))
+    third = warc.WarcWriter(str(tmp_path / "other"), True, 1 << 20, schema)
+    third.commit([third.write(iter([row]))])
+    assert len(warc.listed(str(tmp_path / "other"))) == 1
+
+
+def test_copies_become_revisits(spark):
+    """Groups of copies, short ones, empty ones and a hot one, against plain counting."""
+    big, hot = "<p>" + "body " * 300 + "</p>", "<p>" + "hot " * 400 + "</p>"
+    rows = [(i, f"u{i}", hot if i % 3 == 0 else big + str(i // 4) if i % 3 == 1 else ["", None, "short"][i % 9 // 3]) for i in range(120)]
+    own = spark.createDataFrame(rows, "page_id long, url string, html string")
+    back = archive.page_rows(spark.read.format("warc").load(archive.archived(archive.page_records(own.repartition(5)))))
+    largest = {}
+    for i, _, html in rows:
+        if html and len(html.encode()) >= 1000:
+            largest[html] = max(i, largest.get(html, i))
+    want = [(i, len((h or "").encode()), "revisit" if largest.get(h, i) != i else "response", largest[h] if largest.get(h, i) != i else None) for i, _, h in rows]
+    got = sorted(tuple(r) for r in back.select("page_id", "payload_bytes", "record_type", "refers_to").collect())
+    assert got == want and sum(r[2] == "revisit" for r in want) > 40
+
+
 def test_gzip_members_are_records(spark, pages):
     import gzip
 

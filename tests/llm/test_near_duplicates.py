@@ -129,9 +129,10 @@ def test_planted_passages(spark):
     ]
     df = spark.createDataFrame(docs, "doc_id long, text string, pos int, item_id string")
     bench = spark.createDataFrame([(70, " ".join(item)), (70, " ".join(item)), (71, " ".join(item)), (72, " ".join(short)), (73, "tiny item"), (74, None), (75, "")], "item_id long, text string")
-    found = {r.doc_id: (r.item_id, r.n_windows, r.similarity) for r in decontaminate.overlaps(df, bench).collect()}
-    assert set(found) == {1, 2, 4, 8, 11, None}
-    assert found[1] == (70, 18, 1.0) and found[4] == (70, 3, 1.0) and found[8][0] == 72 and found[2][2] < 1
+    rows = [(r.doc_id, r.item_id, r.n_windows, r.similarity) for r in decontaminate.overlaps(df, bench).collect()]
+    assert {(d, i) for d, i, _, _ in rows} == {(d, i) for d in (1, 2, 4, 11, None) for i in (70, 71)} | {(8, 72)}
+    found = {(d, i): (n, s) for d, i, n, s in rows}
+    assert found[1, 70] == found[1, 71] == (18, 1.0) and found[4, 70] == (3, 1.0) and found[2, 71][1] < 1
     kept = decontaminate.without_overlap(df, bench)
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == [3, 5, 6, 7, 9, 10]
@@ -179,6 +180,36 @@ def test_decontamination_finds_every_edit(spark):
     assert set(con.sql(ORACLE["op8_decontamination"]).fetchall()) == expected
 
 
+def test_items_that_share_a_window_and_short_items(spark):
+    stem = " ".join(f"s{k}" for k in range(13))
+    items = [(10, stem), (11, stem), (12, stem + " and more words"), (13, "one two three four five six seven"), (14, "just five words in all"), (15, "only four words here")]
+    docs = [(1, f"x {stem} y"), (2, "a one two three four five six seven b"), (3, "one two three four five six other"), (4, "says just five words in all"), (5, "only four words here")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(df, bench).collect()}
+    assert found == {(1, 10), (1, 11), (1, 12), (2, 13), (4, 14)}
+    assert (5, 15) in {(r.doc_id, r.item_id) for r in decontaminate.overlaps(df, bench, shortest=1).collect()}
+    con = duckdb.connect()
+    for name, id_col, rows in (("documents", "doc_id", docs), ("benchmark", "item_id", items)):
+        con.execute(f"CREATE TABLE {name} ({id_col} BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    assert {r[:2] for r in con.sql(ORACLE["op8_decontamination"]).fetchall()} == found
+
+
+def test_stages_judge_rows_with_null_or_equal_ids_by_their_texts(spark):
+    stem = " ".join(f"s{k}" for k in range(20))
+    rows = [(None, "clean one", 1), (None, f"x {stem}", 2), (None, None, 3), (5, "clean two words", 4), (5, f"{stem} y", 5), (6, "", 6), (5, "clean two words", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row_key int")
+    bench = spark.createDataFrame([(1, stem)], "item_id long, text string")
+    kept = sorted(r.row_key for r in decontaminate.without_overlap(df, bench).collect())
+    assert kept == [1, 3, 4, 4, 6]
+    one = simhash.one_of_each(df)
+    assert one.columns == df.columns
+    # The null and the empty text are copies; the row with an id stays. The repeated row stays once.
+    assert sorted(r.row_key for r in one.collect()) == [1, 2, 4, 5, 6]
+    assert simhash.one_of_each(df.limit(0)).collect() == []
+
+
 @pytest.mark.parametrize("similarity", [1.0, 0.9, 0.8, 0.7, 0.5])
 def test_masks_leave_one_untouched(similarity):
     for width in range(8, 14):
@@ -241,18 +272,41 @@ def test_embeddings_against_brute_force(spark, monkeypatch, block):
     assert plain[2006].n_links == count[2006] and plain[1000].n_links == count[1000]
 
 
-def test_recall_on_the_hot_table(spark):
-    """Against brute force over the sampled queries of the check table with large groups."""
-    df = spark.read.parquet("/root/testdata/check_h/embeddings.parquet").where("label in (1, 5)")
-    rows = df.select("vec_id", "embedding", "label").toPandas()
-    x = np.stack(rows["embedding"]).astype(float)
+def linked_pairs(n, pairs, dims, cosine, seed):
+    """Random unit vectors of two labels, some of which have a partner of the given cosine."""
+    draw = np.random.default_rng(seed)
+    x = draw.standard_normal((n, dims))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    queries_at = np.flatnonzero(rows["vec_id"] % 50 == 0)
-    same = rows["label"].to_numpy()[queries_at][:, None] == rows["label"].to_numpy()
-    true = ((x[queries_at] @ x.T >= 0.93) & same).sum(axis=1) - 1
+    y = embeddings.at_threshold(x[:pairs], cosine, seed + 1)
+    both = np.concatenate([x, y]).astype("f4")
+    labels = np.concatenate([np.arange(n) % 2, np.arange(pairs) % 2])
+    return [(i, v.tolist(), int(lab)) for i, (v, lab) in enumerate(zip(both, labels))]
+
+
+@pytest.mark.parametrize("codewords", [8, 40, 96])
+@pytest.mark.parametrize("pairs", [60, 2000])
+def test_recall_at_several_codebook_sizes(spark, monkeypatch, codewords, pairs):
+    """Few and many links just above the threshold: at least 0.9 of them found, as the contract asks."""
+    rows = linked_pairs(3000, pairs, 64, 0.935, codewords)
+    monkeypatch.setattr(embeddings, "fit", lambda groups, count, width, fit=embeddings.fit: fit(groups, 3 * 64 * codewords**2, width, 3 * 64 * codewords**2 * 4000 // 5000))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     found = {r.vec_id: r.n_links for r in embeddings.near_duplicates(df).collect()}
-    got = np.array([found[i] for i in rows["vec_id"].to_numpy()[queries_at]])
-    assert (got <= true).all() and got.sum() >= 0.95 * true.sum()
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    labels = np.array([lab for _, _, lab in rows])
+    true = ((x @ x.T >= 0.93) & (labels[:, None] == labels)).sum(axis=1) - 1
+    got = np.array([found[i] for i in range(len(rows))])
+    assert true.sum() >= 1.9 * pairs and (got <= true).all() and got.sum() >= 0.93 * true.sum()
+
+
+def test_ranks_go_on_past_the_first_look(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "_VISITS", 2)
+    rows = linked_pairs(400, 400, 32, 0.935, 3)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    monkeypatch.setattr(embeddings, "_MOST_CODEWORDS", 12)
+    monkeypatch.setattr(embeddings, "fit", lambda groups, count, width, fit=embeddings.fit: fit(groups, 10**6, width, 10**6))
+    found = embeddings.near_duplicates(df).collect()
+    assert sum(r.n_links for r in found) >= 0.93 * 800
 
 
 def test_embeddings_query(spark):

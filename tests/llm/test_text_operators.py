@@ -287,6 +287,13 @@ def test_every_listed_licence_has_a_header():
     assert set(licenses.RULES) <= {licence for licence, _ in HEADERS}
 
 
+def test_holder_of_any_length():
+    for name in ("x", "the University of " + "Somewhere and " * 40 + "its partners"):
+        clause = f"Neither the name of {name} nor the names of its contributors may be used"
+        assert licenses.normal(clause) == "neither the name of the copyright holder nor the names of its contributors may be used"
+    assert licenses.normal("neither the name of a") == "neither the name of a"
+
+
 def test_triggers_of_own_knowledge():
     own = licenses.Knowledge({"use it as you like": "a", "all yours": "b", "no strings": "c"}, (("Own", ("a", "b?")), ("Free", ("c?",))))
     assert [r[0] for r in licenses.recognised("Take it. Use it as you like. All yours.", own)] == ["Own"]
