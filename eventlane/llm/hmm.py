@@ -35,7 +35,7 @@ _AT_ONCE = 200_000
 # Training cuts texts into stretches of so many tokens, this many at a time.
 STRETCH, _STRETCHES = 64, 1024
 # Scoring holds about so many tokens; longer texts than _LONG go by transfer matrices.
-_HELD, _LONG, _PIECE = 1 << 20, 4096, 1024
+_HELD, _LONG, _PIECE = 1 << 22, 1 << 17, 1024
 
 
 def words(text: str) -> list[bytes]:
@@ -48,6 +48,11 @@ def class_of(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % CLASSES
 
 
+def class_column(word: Column) -> Column:
+    """``class_of`` as a column function."""
+    return (F.crc32(F.substring(word, -3, 3)) % CLASSES).cast("int")
+
+
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``word, cls, n``: how often each token occurs; the end token is the empty word. Null texts are empty."""
 
@@ -55,8 +60,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         seen: Counter = Counter()
 
         def counted() -> pd.DataFrame:
-            keys = list(seen)
-            return pd.DataFrame({"word": keys, "cls": [class_of(w) for w in keys], "n": list(seen.values())})
+            return pd.DataFrame({"word": list(seen), "n": list(seen.values())})
 
         for batch in batches:
             for value in batch["text"]:
@@ -67,8 +71,8 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                     seen.clear()
         yield counted()
 
-    rows = docs.select(text_or_empty(text).alias("text")).mapInPandas(count, "word binary, cls int, n long")
-    return rows.groupBy("word", "cls").agg(F.sum("n").alias("n"))
+    rows = docs.select(text_or_empty(text).alias("text")).mapInPandas(count, "word binary, n long")
+    return rows.groupBy("word").agg(F.sum("n").alias("n")).select("word", class_column(F.col("word")).alias("cls"), "n")
 
 
 @dataclass
@@ -128,7 +132,7 @@ class _Symbols(dict):
 
 ENCODED = (
     "row long, id {}, teaches boolean, n_tokens long, n_known long, base_score double, symbols binary, "
-    "others array<struct<word: binary, cls: int, n: long>>"
+    "others array<binary>, times array<int>"
 )
 
 
@@ -155,8 +159,8 @@ def encode(docs: DataFrame, vocab: Vocabulary, teaches: Column | None = None, id
                 others = Counter(own[i] for i in rare)
                 base = logs[ids[:-1][ids[:-1] < first]].sum() + logs[-1]
                 known = len(own) - len(rare) + int(ended)
-                out.append((len(ids), known, base, ids.tobytes(), [{"word": w, "cls": class_of(w), "n": n} for w, n in others.items()]))
-            part = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "symbols", "others"])
+                out.append((len(ids), known, base, ids.tobytes(), list(others), list(others.values())))
+            part = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "symbols", "others", "times"])
             yield pd.concat([batch[["row", "id", "teaches"]].reset_index(drop=True), part], axis=1)
 
     flag = F.lit(True) if teaches is None else F.coalesce(teaches, F.lit(True))
@@ -221,32 +225,36 @@ class _Expected:
     def add(self, parts: list[np.ndarray], begins: np.ndarray) -> None:
         """Scaled forward and backward recursions over stretches sorted by falling length."""
         sizes = np.array([len(p) for p in parts])
+        states, ones = len(self.start), np.ones(len(self.start), "f4")
         ids = np.zeros((sizes[0], len(parts)), np.int64)
         for column, part in enumerate(parts):
             ids[: len(part), column] = part
-        live = (np.arange(sizes[0])[:, None] < sizes).sum(axis=1)
-        seen = self.emit[ids]
+        within = np.arange(sizes[0])[:, None] < sizes
+        live = within.sum(axis=1)
+        seen = self.emit.take(ids, axis=0)
         ahead = np.zeros_like(seen)
         scale = np.ones(ids.shape, "f4")
         own = np.where(begins[:, None], self.start, self.rest)
         for t, n in enumerate(live):
             own = (own if t == 0 else ahead[t - 1, :n] @ self.move) * seen[t, :n]
-            scale[t, :n] = own.sum(axis=1)
-            np.divide(own, scale[t, :n, None], out=ahead[t, :n])
+            scale[t, :n] = own @ ones
+            np.multiply(own, (1 / scale[t, :n])[:, None], out=ahead[t, :n])
+        seen *= (within / scale)[:, :, None]
         likely = ahead.copy()
-        behind = np.ones((len(parts), len(self.start)), "f4")
+        behind = np.ones((len(parts), states), "f4")
         for t in range(len(live) - 2, -1, -1):
             n = live[t + 1]
-            onward = seen[t + 1, :n] * behind[:n] / scale[t + 1, :n, None]
-            self.moved += ahead[t, :n].T @ onward
+            onward = seen[t + 1, :n]
+            onward *= behind[:n]
             behind[:n] = onward @ self.move.T
             likely[t, :n] *= behind[:n]
-        within = np.arange(len(live))[:, None] < sizes
-        at, share = ids[within], likely[within]
-        for state in range(share.shape[1]):
+        self.moved += ahead[:-1].reshape(-1, states).T @ seen[1:].reshape(-1, states)
+        # Past a stretch's end all shares are zero and all scales one.
+        at, share = ids.ravel(), likely.reshape(-1, states)
+        for state in range(states):
             self.emitted[:, state] += np.bincount(at, share[:, state], len(self.emitted))
         self.started += likely[0][begins].sum(axis=0)
-        self.log10 += float(np.log10(scale[within], dtype="f8").sum())
+        self.log10 += float(np.log10(scale, dtype="f8").sum())
 
 
 def train(encoded: DataFrame, vocab: Vocabulary, states: int = 8, rounds: int = 5) -> Model:
@@ -288,16 +296,22 @@ def _forward(model: Model, parts: list[np.ndarray], own: np.ndarray) -> tuple[np
     """log10 probability and final state distribution of each part, from its distribution over first states."""
     sizes = np.array([len(p) for p in parts])
     order = np.argsort(-sizes, kind="stable")
-    ids = np.zeros((sizes.max(), len(parts)), np.int64)
-    for column, part in enumerate(order):
-        ids[: sizes[part], column] = parts[part]
-    live = (np.arange(len(ids))[:, None] < sizes).sum(axis=1)
-    logs, last, own = np.zeros(len(parts)), np.zeros(own.shape), own[order]
-    for t, n in enumerate(live):
-        own = (own if t == 0 else last[:n] @ model.move) * model.emit[ids[t, :n]]
-        scale = own.sum(axis=1)
-        np.divide(own, scale[:, None], out=last[:n])
-        logs[:n] += np.log10(scale)
+    flat = np.concatenate([parts[i] for i in order])
+    sizes, own = sizes[order], own[order]
+    starts = np.cumsum(sizes) - sizes
+    live = len(sizes) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), side="right")
+    ones = np.ones(len(model.start))
+    logs, last = np.zeros(len(parts)), np.zeros(own.shape)
+    # Where parts end and at every eighth step the distributions are scaled to one.
+    scaled = (np.arange(1, sizes[0] + 1) % 8 == 0) | (np.append(live[1:], 0) < live)
+    for t, (n, now) in enumerate(zip(live.tolist(), scaled.tolist(), strict=True)):
+        own = own[:n] if t == 0 else own[:n] @ model.move
+        own = own * model.emit.take(flat[starts[:n] + t], axis=0)
+        if now:
+            scale = own @ ones
+            own *= (1 / scale)[:, None]
+            last[:n] = own
+            logs[:n] += np.log10(scale)
     back = np.argsort(order, kind="stable")
     return logs[back], last[back]
 
@@ -305,15 +319,14 @@ def _forward(model: Model, parts: list[np.ndarray], own: np.ndarray) -> tuple[np
 def log10_of(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     """The log10 probability of each sequence of symbols.
 
-    Long sequences are cut in pieces. The recursion is linear in the state
+    Very long sequences are cut in pieces. The recursion is linear in the state
     distribution, so it runs over each piece from every state at once, and the
     pieces' results are put together in order: the same sum, in other brackets.
     """
     found = np.zeros(len(texts))
     short = [i for i, t in enumerate(texts) if len(t) <= _LONG]
-    for at in range(0, len(short), 2048):
-        some = short[at : at + 2048]
-        found[some] = _forward(model, [texts[i] for i in some], np.tile(model.start, (len(some), 1)))[0]
+    if short:
+        found[short] = _forward(model, [texts[i] for i in short], np.tile(model.start, (len(short), 1)))[0]
     states = len(model.start)
     for i in (i for i, t in enumerate(texts) if len(t) > _LONG):
         logs, own = _forward(model, [texts[i][:_PIECE]], model.start[None])
@@ -362,7 +375,8 @@ def score(encoded: DataFrame, vocab: Vocabulary, model: Model, id_col: str = "do
     totals = spark.createDataFrame(
         [(i, float(n + 0.5 * (w + 1))) for i, (n, w) in enumerate(zip(vocab.class_n, vocab.class_words, strict=True))], "cls int, mass double"
     )
-    others = encoded.select("row", F.explode("others").alias("o")).select("row", "o.*").join(F.broadcast(totals), "cls")
+    others = encoded.select("row", F.explode(F.arrays_zip(F.col("others").alias("word"), F.col("times").alias("n"))).alias("o")).select("row", "o.*")
+    others = others.withColumn("cls", class_column(F.col("word"))).join(F.broadcast(totals), "cls")
     counted = others.join(vocab.counts.select("word", F.col("n").alias("c")), "word", "left")
     c = F.coalesce("c", F.lit(0))
     added = counted.groupBy("row").agg(

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from eventlane.llm import hmm, queries
 from eventlane.llm.common import table
@@ -155,3 +156,9 @@ def test_rounds_raise_the_likelihood_and_beat_the_base(spark):
     assert likely == sorted(likely)
     rows = [r for r in queries.op13_lm_scores(spark, "/root/testdata/sf0.01").collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows) + 0.2 * sum(r.n_tokens for r in rows)
+
+
+def test_class_column(spark):
+    words = [b"a", b"ab", b"abc", b"abcd", "éü".encode(), "xé".encode(), b"long-word"]
+    rows = spark.createDataFrame([(w,) for w in words], "word binary").withColumn("cls", hmm.class_column(F.col("word"))).collect()
+    assert [r.cls for r in rows] == [hmm.class_of(w) for w in words]
