@@ -102,12 +102,34 @@ class Vocabulary:
         return own / own.sum()
 
 
+def least_count(counts: DataFrame, most: int) -> int:
+    """The least count such that at most ``most`` words have it or more.
+
+    Counts of 1024 and more are taken by their first ten bits, so the driver
+    sees a histogram whose size does not depend on the corpus.
+    """
+    low = (F.floor(F.log2("n")) - 9).cast("int")
+    level = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.expr("shiftleft(shiftright(n, low), low)"))
+    levels = counts.withColumn("low", low).groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect()
+    least, total = 1 << 62, 0
+    for r in sorted(levels, key=lambda r: -r.level):
+        total += r.words
+        if total > most:
+            break
+        least = r.level
+    return least
+
+
 def vocabulary(docs: DataFrame, frequent: int = 60_000, text: str = "text") -> Vocabulary:
-    """The vocabulary of ``docs``; the ``frequent`` most frequent words become symbols of their own."""
+    """The vocabulary of ``docs``; at most ``frequent`` words, the most frequent, become symbols of their own.
+
+    Words that are as frequent as the first one beyond them are not among them.
+    """
     if not 0 <= frequent <= (1 << 16) - CLASSES - 1:
         raise ValueError("symbols are 16 bits: too many frequent words")
     counts = staged(word_counts(docs, text), "words")
-    top = counts.where((F.length("word") > 0) & (F.length("word") <= _LONGEST)).orderBy(F.desc("n"), "word").limit(frequent).collect()
+    short = counts.where((F.length("word") > 0) & (F.length("word") <= _LONGEST))
+    top = sorted(short.where(F.col("n") >= least_count(short, frequent)).collect(), key=lambda r: (-r.n, bytes(r.word)))
     ends = counts.where(F.length("word") == 0).agg(F.sum("n")).first()[0] or 0
     class_n, class_words = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in counts.where(F.length("word") > 0).groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():

@@ -113,7 +113,9 @@ def test_scores_by_plain_counts(spark, frequent):
     n, v = sum(counts.values()), len(counts)
     assert (vocab.tokens, vocab.distinct) == (n, v)
     symbol = hmm._Symbols(vocab.frequent)
-    assert len(symbol) == min(frequent, sum(0 < len(w) <= 64 for w in counts))
+    short = sorted((-c, w) for w, c in counts.items() if 0 < len(w) <= 64)
+    beyond = -short[frequent][0] if frequent < len(short) else 0
+    assert vocab.frequent == [w for c, w in short if -c > beyond]
     class_n, class_v = Counter(), Counter()
     for w, c in counts.items():
         if w and w not in symbol:
@@ -158,6 +160,18 @@ def test_rounds_raise_the_likelihood_and_beat_the_base(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows) + 0.2 * sum(r.n_tokens for r in rows)
 
 
+def test_least_count(spark):
+    draw = np.random.default_rng(2)
+    numbers = [int(n) for n in np.exp(draw.uniform(0, 30, 400))]
+    rows = spark.createDataFrame([(n,) for n in numbers], "n long")
+    for most in (0, 1, 7, 100, 399, 400, 1000):
+        least = hmm.least_count(rows, most)
+        # Large counts are told apart by their first ten bits; the next of these would be too many.
+        kept, rest = sum(n >= least for n in numbers), [n for n in numbers if n < least]
+        level = lambda n: n if n < 1024 else n >> (n.bit_length() - 10) << (n.bit_length() - 10)
+        assert kept <= most and (not rest or kept + sum(level(n) == level(max(rest)) for n in rest) > most)
+
+
 def test_class_column(spark):
     words = [b"a", b"ab", b"abc", b"abcd", "éü".encode(), "xé".encode(), b"long-word"]
     rows = spark.createDataFrame([(w,) for w in words], "word binary").withColumn("cls", hmm.class_column(F.col("word"))).collect()
