@@ -132,10 +132,12 @@ def without_overlap(
 ) -> DataFrame:
     """The rows of ``docs`` that overlap no item, with their columns.
 
-    Rows are judged by id and text hash, so that rows with null or equal ids
-    and different texts are judged each by its own text.
+    Rows that share an id are judged together; each row with a null id by its own text.
     """
-    key, mark = fresh(docs, "row_key"), F.xxhash64(text_or_empty(text))
-    own = docs.select(F.struct(F.col(id_col).alias("id"), mark.alias("hash")).alias(key), F.col(text).alias("text"))
-    found = staged(overlaps(own, benchmark, similarity, key, "text", shortest=shortest).select(f"{key}.id", f"{key}.hash").distinct(), "leaks")
-    return docs.join(found, docs[id_col].eqNullSafe(found["id"]) & (mark == found["hash"]), "left_anti")
+    key, mark = fresh(docs, "text_hash"), F.xxhash64(text_or_empty(text))
+    known, nameless = docs.where(F.col(id_col).isNotNull()), docs.where(F.col(id_col).isNull())
+    found = staged(overlaps(known, benchmark, similarity, id_col, text, shortest=shortest).select(F.col(id_col).alias("id")).distinct(), "leaks")
+    texts = staged(nameless.select(mark.alias(key), F.col(text).alias("text")).distinct(), "texts")
+    leaked = staged(overlaps(texts, benchmark, similarity, key, "text", shortest=shortest).select(key).distinct(), "leaks")
+    clean = known.join(found, known[id_col] == found["id"], "left_anti")
+    return clean.unionByName(nameless.join(leaked, mark == leaked[key], "left_anti"))

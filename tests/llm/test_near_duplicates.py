@@ -202,7 +202,7 @@ def test_stages_judge_rows_with_null_or_equal_ids_by_their_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, row_key int")
     bench = spark.createDataFrame([(1, stem)], "item_id long, text string")
     kept = sorted(r.row_key for r in decontaminate.without_overlap(df, bench).collect())
-    assert kept == [1, 3, 4, 4, 6]
+    assert kept == [1, 3, 6]  # one row of id 5 leaks, so all of that id go
     one = simhash.one_of_each(df)
     assert one.columns == df.columns
     # The null and the empty text are copies; the row with an id stays. The repeated row stays once.
