@@ -52,22 +52,33 @@ def words(text: Column | str) -> Column:
 
 
 def windows(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``id, n, pos, w0..w12``: a row for each word, with the words behind it (null past the end)."""
+    """``id, n, pos, w``: a row for each word, with itself and those behind it as ``w.w0`` to ``w.w12`` (null past the end)."""
     tail = F.array_repeat(F.lit(None).cast("string"), WINDOW - 1)
     own = df.select(F.col(id_col).alias("id"), F.concat(words(text), tail).alias("padded"))
     n = F.size("padded") - (WINDOW - 1)
     zipped = F.arrays_zip(*[F.slice("padded", i + 1, n).alias(f"w{i}") for i in range(WINDOW)])
-    rows = own.select("id", n.alias("n"), F.posexplode(zipped).alias("pos", "w"))
-    return rows.select("id", "n", "pos", *[F.col("w").getField(f"w{i}").alias(f"w{i}") for i in range(WINDOW)])
+    return own.select("id", n.alias("n"), F.posexplode(zipped).alias("pos", "w"))
 
 
-def _seeds(chosen: dict[str, Column]) -> Column:
-    """The seed keys of a row: one for each mask whose condition holds, and nulls."""
+def _word(i: int) -> Column:
+    return F.col("w").getField(f"w{i}")
+
+
+def _seeded(rows: DataFrame, chosen: dict[str, Column], *kept: str) -> DataFrame:
+    """The ``kept`` columns and ``key``: a row for each mask whose condition holds.
+
+    Each word is hashed once and a seed is a hash of word hashes. The keys are
+    a column before they are exploded: a generator's own expressions run
+    uncompiled where the stage is too large to be compiled as a whole. It is the
+    outer form, as the plain one adds a filter that computes all keys again.
+    """
+    hashes = [F.xxhash64(_word(i)).alias(f"h{i}") for i in range(WINDOW)]
     keys = []
     for mask, holds in chosen.items():
         used = [i for i, c in enumerate(mask) if c == "1"]
-        keys.append(F.when(holds, F.xxhash64(F.lit(int(mask, 2)), *[F.col(f"w{i}") for i in used])))
-    return F.array(*keys)
+        keys.append(F.when(holds, F.xxhash64(F.lit(int(mask, 2)), *[F.col(f"h{i}") for i in used])))
+    listed = rows.select("*", *hashes).select(*kept, F.array(*keys).alias("keys"))
+    return listed.select(*kept, F.explode_outer("keys").alias("key")).where("key is not null")
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str, text: str, shortest: int = SHORTEST) -> DataFrame:
@@ -78,8 +89,7 @@ def benchmark_windows(benchmark: DataFrame, id_col: str, text: str, shortest: in
     """
     rows = windows(benchmark, id_col, text).where(F.col("n") >= shortest)
     rows = rows.where(f"pos + {WINDOW} <= n or (pos = 0 and n < {WINDOW})")
-    own = F.array(*[f"w{i}" for i in range(WINDOW)]).alias("own")
-    return rows.select(F.col("id").alias("item_id"), own, F.least("n", F.lit(WINDOW)).alias("width")).distinct()
+    return rows.select(F.col("id").alias("item_id"), F.array(*map(_word, range(WINDOW))).alias("own"), F.least("n", F.lit(WINDOW)).alias("width")).distinct()
 
 
 def overlaps(
@@ -105,19 +115,16 @@ def overlaps(
     for width in widths:
         for mask in masks_of(width, similarity):
             of.setdefault(mask, []).append(width)
-    names = [f"w{i}" for i in range(WINDOW)]
-    spread = distinct.select("*", *[F.col("own")[i].alias(n) for i, n in enumerate(names)])
     of = of or {"1": [0]}
-    keyed = spread.select("window", "own", "width", F.explode(_seeds({mask: F.col("width").isin(some) for mask, some in of.items()})).alias("key"))
-    seeds = staged(keyed.where("key is not null"), "seeds")
+    spread = distinct.select("*", F.struct(*[F.col("own")[i].alias(f"w{i}") for i in range(WINDOW)]).alias("w"))
+    seeds = staged(_seeded(spread, {mask: F.col("width").isin(some) for mask, some in of.items()}, "window", "own", "width"), "seeds")
     keys = seeds.select("key").distinct()
     if keys.count() <= MOST_BROADCAST:
         keys = F.broadcast(keys)
-    places = windows(docs, id_col, text)
     last = F.col("n") - F.col("pos")
-    seeded = places.select("id", "pos", *names, F.explode(_seeds({mask: last > mask.rindex("1") for mask in of})).alias("key"))
-    hits = seeded.join(keys, "key", "left_semi").join(seeds, "key")
-    same = sum((F.col(f"w{i}").eqNullSafe(F.col("own")[i]) & (F.col("width") > i)).cast("int") for i in range(WINDOW))
+    places = _seeded(windows(docs, id_col, text), {mask: last > mask.rindex("1") for mask in of}, "id", "pos", "w")
+    hits = places.join(keys, "key", "left_semi").join(seeds, "key")
+    same = sum((_word(i).eqNullSafe(F.col("own")[i]) & (F.col("width") > i)).cast("int") for i in range(WINDOW))
     checked = hits.select("id", "window", "pos", "width", same.alias("same"))
     enough = F.when(F.col("width") < LOOSE, F.col("width")).otherwise(F.lit(similarity) * F.col("width"))
     met = checked.where(F.col("same") >= enough).select("id", "window", "pos", (F.col("same") / F.col("width")).alias("best")).distinct()
