@@ -119,11 +119,18 @@ def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col: st
     hashed = F.xxhash64(text_or_empty(text))
     prints = staged(docs.select(F.col(id_col).alias("id"), hashed.alias("hash"), fingerprint(F.col(text), shingle).alias("fp")), "simhash")
     linked = _rooted(prints, distance).select(F.col("fp").alias("of"), "root")
-    order = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "fp", "hash")).alias("first")
-    kept = prints.join(linked, prints["fp"] == linked["of"]).groupBy("root").agg(order).select("first.id", "first.hash")
+    rows = prints.groupBy("id", "hash", "fp").agg(F.count("*").alias("n"))
+    order = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "fp", "hash", "n")).alias("first")
+    first = rows.join(linked, rows["fp"] == linked["of"]).groupBy("root").agg(order).select("first.id", "first.hash", "first.n")
+    kept = staged(first, "kept")
     own = docs.withColumn(mark, hashed)
-    one = own.join(kept, own[id_col].eqNullSafe(kept["id"]) & (own[mark] == kept["hash"]), "left_semi")
-    return one.dropDuplicates([id_col, mark]).drop(mark)
+
+    def those(some: DataFrame) -> DataFrame:
+        return own.join(some, own[id_col].eqNullSafe(some["id"]) & (own[mark] == some["hash"]), "left_semi")
+
+    # Only repeated rows travel with their bodies to be made one.
+    one, repeated = those(kept.where("n = 1")), those(kept.where("n > 1"))
+    return one.unionByName(repeated.dropDuplicates([id_col, mark])).drop(mark)
 
 
 def hexadecimal(fp: Column) -> Column:
