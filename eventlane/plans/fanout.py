@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlane.operators import delivery
@@ -21,16 +20,16 @@ from eventlane.operators.routing import (
     no_output,
     route_smash,
 )
-
-from eventlane.session import checkpoint_dir, remove
+from eventlane.session import staged
+from eventlane.sources.batches import BatchSink, read_batches
 
 
 @dataclass(frozen=True)
 class Adapter:
-    """A destination: how its body is shaped and how it is sent."""
+    """A destination: how its body is shaped and how it is sent (None where attempts of others are only judged)."""
 
     id: str
-    make_send: Callable[[], Send]
+    make_send: Callable[[], Send] | None
     shape: Callable[[Column], Column] = encode_envelope
     policy: RetryPolicy = RetryPolicy()
     plugins: tuple[Plugin, ...] = ()
@@ -60,7 +59,7 @@ class Planned:
 def routed_events(records: DataFrame, config: FanoutConfig) -> DataFrame:
     """Records decoded and routed once (batch or stream); undecodable ones keep their bytes and ``decode_error``."""
     decoded = decode_envelope(records)
-    kept = [c for c in ("topic", "partition", "offset") if c in decoded.columns]
+    kept = [c for c in ("topic", "partition", "offset", "record") if c in decoded.columns]
     bytes_of_bad = F.when(F.col("decode_error").isNotNull(), F.col("value")).alias("value")
     events = decoded.select(*kept, bytes_of_bad, "envelope", "decode_error", "envelope.id", "envelope.event_type")
     return route_smash(events, config.routes)
@@ -116,7 +115,7 @@ def step_results(deliveries: DataFrame, attempts: DataFrame) -> DataFrame:
     the record has.
     """
     keys = ("record", "step")
-    outcomes = delivery.attempt_outcome(attempts.drop("id"), 1, keys).select(
+    outcomes = delivery.attempt_outcome(attempts.select(*keys, "attempt", "http_status", "error"), 1, keys).select(
         F.col("record").alias("o_record"), F.col("step").alias("o_step"), "outcome", F.col("error").alias("send_error")
     )
     joined = deliveries.select("record", "id", "step", "route_id", "adapter_id", "required", "plugin_error").join(
@@ -129,7 +128,7 @@ def step_results(deliveries: DataFrame, attempts: DataFrame) -> DataFrame:
     )
 
 
-ACCOUNT = "record bigint, id string, topic string, outcome string, reason string"
+Write = Callable[[DataFrame], None] | BatchSink
 
 
 def process_batch(
@@ -137,52 +136,94 @@ def process_batch(
     config: FanoutConfig,
     attempts_path: str,
     batch_id: int,
-    write_dead: Callable[[DataFrame], None],
-    write_undecodable: Callable[[DataFrame], None],
-    write_unreached: Callable[[DataFrame], None] | None = None,
+    write_dead: Write,
+    write_undecodable: Write,
+    write_unreached: Write | None = None,
+    query: str = "fanout",
 ) -> DataFrame:
     """One micro-batch end to end, for ``foreachBatch``.
 
     Returns one row per record (record, id, topic, outcome, reason): ``commit``,
     ``dlq``, ``discard``, ``error`` or ``undecodable``. An event without a
     destination follows the no-output policy; where that is an error, it goes
-    to ``write_unreached``, and without one the batch fails after its account
-    is written, so that the stream's offsets do not pass it.
-
-    The decoded and routed batch and the attempts are written before they are
-    read back, so settling never sends twice and a lost executor costs only a
-    re-read. Each write replaces this batch's own folder, so a repeated batch
-    does not double it. Records are told apart by place, not by event id.
+    to ``write_unreached``, and without one the batch fails before anything is
+    sent, so that the stream's offsets do not pass it.
+
+    A batch that failed may be run again. Its steps (``routed``, ``bodies``,
+    ``attempts``, ``accounts`` below ``attempts_path``) are kept by query and
+    batch id. Until its delivery is finished, a repeated batch is routed anew,
+    so a corrected configuration counts; after that the steps are read, so
+    nothing is sent again and records keep their numbers. A ``BatchSink`` as
+    writer holds the batch's rows once however often it is run; a plain
+    function is called again. A batch that was finished only gives its account.
+    Records are told apart by place, not by event id.
     """
     spark = records.sparkSession
-    stage = f"{checkpoint_dir(spark)}/fanout-{uuid.uuid4().hex}"
-    routed = routed_events(records, config).withColumn("record", F.monotonically_increasing_id())
-    routed.write.parquet(f"{stage}/routed")
-    plan = planned(spark.read.schema(routed.schema).parquet(f"{stage}/routed"), config)
-    bodies = shaped(plan.deliveries, config)
-    bodies.write.parquet(f"{stage}/bodies")
-    ready = spark.read.schema(bodies.schema).parquet(f"{stage}/bodies")
-    path = f"{attempts_path}/batch_id={batch_id}"
-    sent = send_all(ready, config)
-    sent.write.mode("overwrite").parquet(path)
-    attempts = spark.read.schema(sent.schema).parquet(path)
-    settled = delivery.settle(step_results(ready, attempts), ("record", "id"))
-    account = _account(plan, settled)
-    accounts = f"{attempts_path.rstrip('/')}.accounts/batch_id={batch_id}"
-    account.write.mode("overwrite").parquet(accounts)
-    account = spark.read.schema(ACCOUNT).parquet(accounts)
+    steps = {name: BatchSink(f"{attempts_path.rstrip('/')}/{name}", query) for name in (*_WORK, "attempts", "accounts", "finished")}
+    if steps["finished"].committed(spark, batch_id) is not None:
+        return steps["accounts"].committed(spark, batch_id)
+
+    attempts = steps["attempts"].committed(spark, batch_id)
+    if attempts is None:
+        routed = routed_events(records, config).withColumn("record", F.monotonically_increasing_id())
+        plan = planned(steps["routed"].replace(routed, batch_id), config)
+        if write_unreached is None:
+            _refuse_unreached(plan, batch_id)
+        ready = steps["bodies"].replace(shaped(plan.deliveries, config), batch_id)
+        attempts = steps["attempts"].replace(send_all(ready, config), batch_id)
+    else:
+        plan = planned(steps["routed"].committed(spark, batch_id), config)
+        ready = steps["bodies"].committed(spark, batch_id)
+
+    def judged() -> DataFrame:
+        return _account(plan, delivery.settle(step_results(ready, attempts), ("record", "id")))
+
+    account = steps["accounts"].once(judged, spark, batch_id)
     failed_at = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    write_dead(delivery.dead_letters(plan.events, account, failed_at))
-    write_undecodable(plan.undecodable)
-    lost = account.filter("outcome = 'error'")
+    _put(write_dead, delivery.dead_letters(plan.events, account, failed_at), batch_id)
+    _put(write_undecodable, plan.undecodable, batch_id)
     if write_unreached is not None:
-        write_unreached(plan.unreached.filter("outcome = 'error'").drop("record"))
-    elif count := lost.count():
-        raise RuntimeError(f"{count} events of batch {batch_id} reach no destination: {lost.first()['reason']}")
-    remove(spark, stage)
+        _put(write_unreached, plan.unreached.filter("outcome = 'error'").drop("record"), batch_id)
+    steps["finished"].replace(account.groupBy("topic", "outcome").agg(F.count("*").alias("records")), batch_id)
+    for name in _WORK:
+        steps[name].vacuum(spark, batch_id, keep_last=False)
     return account
 
 
+# Steps whose rows are of no use once the batch is finished.
+_WORK = ("routed", "bodies")
+
+
+def _refuse_unreached(plan: Planned, batch_id: int) -> None:
+    lost = plan.unreached.filter("outcome = 'error'")
+    if count := lost.count():
+        raise RuntimeError(f"{count} events of batch {batch_id} reach no destination: {lost.first()['reason']}")
+
+
+def _put(write: Write, df: DataFrame, batch_id: int) -> None:
+    if isinstance(write, BatchSink):
+        write.replace(df, batch_id)
+    else:
+        write(df)
+
+
+def account_of(records: DataFrame, attempts: DataFrame, config: FanoutConfig) -> DataFrame:
+    """What became of each record of a log, judged by landed attempts: rows as ``process_batch`` gives them.
+
+    ``records`` carry a unique ``record``; ``attempts`` hold (record, step,
+    attempt, http_status, error), whoever sent them. The last attempt of a step
+    counts. A step without an attempt has not failed, and attempts of steps that
+    the configuration does not plan are ignored.
+    """
+    plan = planned(staged(routed_events(records, config), "routed"), config)
+    return _account(plan, delivery.settle(step_results(plan.deliveries, attempts), ("record", "id")))
+
+
+def read_attempts(spark: SparkSession, attempts_path: str) -> DataFrame:
+    """Delivery attempts of all batches, with ``query`` and ``batch_id``."""
+    return read_batches(spark, f"{attempts_path.rstrip('/')}/attempts")
+
+
 def _account(plan: Planned, settled: DataFrame) -> DataFrame:
     """One row per record of a batch."""
     topics = plan.events.select(F.col("record").alias("of"), "topic")
@@ -199,19 +240,23 @@ def start(
     config: FanoutConfig,
     attempts_path: str,
     checkpoint: str,
-    write_dead: Callable[[DataFrame], None],
-    write_undecodable: Callable[[DataFrame], None],
-    write_settled: Callable[[DataFrame], None] = lambda settled: None,
+    write_dead: Write,
+    write_undecodable: Write,
+    write_settled: Write = lambda settled: None,
     trigger: dict | None = None,
-    write_unreached: Callable[[DataFrame], None] | None = None,
+    write_unreached: Write | None = None,
+    query: str = "fanout",
 ):
     """Run the fan-out over a stream of topic records, batch by batch.
 
-    Offsets advance once a batch is sent, settled and dead-lettered.
+    Offsets advance once a batch is sent, settled and dead-lettered. Batch
+    numbers are those of the checkpoint: with a new checkpoint, give a new
+    ``query`` or ``attempts_path``.
     """
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        write_settled(process_batch(df, config, attempts_path, batch_id, write_dead, write_undecodable, write_unreached))
+        account = process_batch(df, config, attempts_path, batch_id, write_dead, write_undecodable, write_unreached, query)
+        _put(write_settled, account, batch_id)
 
     writer = records.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

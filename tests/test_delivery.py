@@ -1,6 +1,7 @@
 """Envelopes, routing, delivery, settling, relay and sinks."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from eventlane.operators import delivery, envelopes, health, relay, reports, routing
 from eventlane.plans import fanout, serve
 from eventlane.sources import parsers, readers, writers
+from eventlane.sources.batches import BatchSink, read_batches
 
 
 def values(spark, *texts):
@@ -206,7 +208,7 @@ def fan_out(spark, tmp_path, records, policy=routing.NoOutputPolicy(), **sinks):
     path = str(tmp_path / "attempts")
     kept = {}
     account = fanout.process_batch(records, config, path, 0, lambda df: kept.update(dead=df.collect()), lambda df: kept.update(bad=df.collect()), **sinks)
-    return account.collect(), kept, spark.read.parquet(path).collect()
+    return account.collect(), kept, fanout.read_attempts(spark, path).collect()
 
 
 def log_rows(spark, *rows):
@@ -239,13 +241,102 @@ def test_events_without_destination_are_never_lost(spark, tmp_path):
     assert {r.id: r.outcome for r in account} == {"1": "commit", "2": "discard"}
 
 
-def test_a_batch_leaves_no_staged_table(spark, tmp_path):
+def test_a_batch_leaves_no_work_files(spark, tmp_path):
     import glob
 
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    before = set(glob.glob(f"{folder}/fanout-*"))
     fan_out(spark, tmp_path, log_rows(spark, ("1", "push", {})))
-    assert set(glob.glob(f"{folder}/fanout-*")) == before
+    for step, count in (("routed", 0), ("bodies", 0), ("attempts", 1), ("accounts", 1)):
+        assert len(glob.glob(f"{tmp_path}/attempts/{step}/data/query=fanout/batch_id=0/run=*")) == count
+
+
+def counting(folder):
+    """A receiver that leaves a file for each request; it refuses what asks for it."""
+
+    def make():
+        def send(key, body):
+            import uuid
+
+            with open(f"{folder}/{key.replace('/', '-')}.{uuid.uuid4().hex}", "w"):
+                return 404 if json.loads(body)["payload"].get("refuse") else 200
+
+        return send
+
+    return make
+
+
+@pytest.mark.parametrize("broken", ["accounts", "dead", "undecodable", "unreached", "finished", None])
+def test_a_batch_that_crashed_runs_again(spark, tmp_path, monkeypatch, broken):
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    records = log_rows(spark, ("1", "push", {}), ("2", "push", {"refuse": True}), ("3", "view", {})).unionByName(
+        values(spark, "bad").withColumn("topic", F.lit("t.a"))
+    )
+    (tmp_path / "sent").mkdir()
+    order = (routing.SmashRoute("r", "t.*", ("push",), (routing.Destination("first"),)),)
+    config = fanout.FanoutConfig(order, (fanout.Adapter("first", counting(str(tmp_path / "sent")), policy=delivery.RetryPolicy(1)),))
+    sinks = [BatchSink(f"{tmp_path}/{name}", "q") for name in ("dead", "undecodable", "unreached")]
+
+    def run(rows):
+        return fanout.process_batch(rows, config, str(tmp_path / "steps"), 4, *sinks, query="q")
+
+    replace = BatchSink.replace
+
+    def crashing(self, df, batch_id):
+        done = replace(self, df, batch_id)
+        if broken and self.path.endswith(f"/{broken}"):
+            raise OSError("lost the driver")
+        return done
+
+    with monkeypatch.context() as patched:
+        patched.setattr(BatchSink, "replace", crashing)
+        if broken:
+            with pytest.raises(OSError):
+                run(records)
+    for layout in (records.repartition(3), records):
+        account = run(layout)
+        assert sorted((r.id or "", r.outcome) for r in account.collect()) == [("", "undecodable"), ("1", "commit"), ("2", "dlq"), ("3", "error")]
+        assert sorted(name.split(".")[0] for name in os.listdir(tmp_path / "sent")) == ["1-0", "2-0"]
+        dead, undecodable, unreached = (read_batches(spark, sink.path).collect() for sink in sinks)
+        assert [r.envelope.id for r in dead] == ["2"] and [r.decode_error for r in undecodable] == ["invalid json"] and [r.id for r in unreached] == ["3"]
+        assert {(r.query, r.batch_id) for r in dead} == {("q", 4)}
+
+
+def test_a_refused_batch_is_routed_anew(spark, tmp_path):
+    rows = log_rows(spark, ("1", "push", {}), ("2", "view", {}))
+    with pytest.raises(RuntimeError):
+        fan_out(spark, tmp_path, rows)
+    with pytest.raises(ValueError, match="no batch was committed"):
+        fanout.read_attempts(spark, str(tmp_path / "attempts"))
+    account, _, attempts = fan_out(spark, tmp_path, rows, routing.NoOutputPolicy(True, "dlq"))
+    assert {r.id: r.outcome for r in account} == {"1": "commit", "2": "dlq"} and len(attempts) == 2
+
+
+def test_batch_sink(spark, tmp_path):
+    path = str(tmp_path / "sink")
+    rows = spark.range(6).withColumn("v", F.lit("old"))
+    one, two = BatchSink(path, "007"), BatchSink(path, "1e3")
+    assert one.committed(spark, 0) is None
+    one.replace(rows, 0)
+    one.replace(rows.where("id < 2").withColumn("v", F.lit("new")), 0)
+    one.replace(rows.where("false"), 1)
+    two.replace(rows.where("id = 5").withColumn("more", F.lit(1)), 0)
+    lost = one.replace(rows, 2)  # a run that failed leaves files, but no manifest
+    lost.write.parquet(f"{path}/data/query=007/batch_id=3/run=r-failed")
+    read = sorted((r.query, r.batch_id, r.id, r.v, r.more) for r in read_batches(spark, path).where("batch_id <> 2").collect())
+    assert read == [("007", 0, 0, "new", None), ("007", 0, 1, "new", None), ("1e3", 0, 5, "old", 1)]
+    assert one.committed(spark, 1).count() == 0 and one.once(lambda: 1 / 0, spark, 0).count() == 2
+    assert read_batches(spark, path, ["1e3"]).count() == 1
+    plan = read_batches(spark, path)._jdf.queryExecution().toString()
+    assert "dynamicpruning" in plan
+    one.vacuum(spark, 0)
+    assert one.committed(spark, 0).count() == 2 and len(os.listdir(f"{path}/data/query=007/batch_id=0")) == 1
+    with pytest.raises(ValueError, match="place of a batch"):
+        one.replace(rows.withColumn("Run", F.lit(1)), 5)
+    with pytest.raises(ValueError, match="named by letters"):
+        BatchSink(path, "a/b")
 
 
 def test_a_deadline_leaves_retries_pending():

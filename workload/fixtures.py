@@ -189,6 +189,18 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def step_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed attempts of the log's steps: one to three a step, all but the last refused for the moment."""
+    events = table(spark, sf_dir, "events")
+    steps = events.select(F.col("event_id").alias("record"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("step"))
+    tries = steps.select("*", (1 + (F.col("record") + F.col("step")) % 3).cast("int").alias("tries"))
+    rows = tries.select("*", F.explode(F.sequence(F.lit(1), "tries")).alias("attempt"))
+    end = (F.col("record") + 3 * F.col("step")) % 8
+    status = F.when(F.col("attempt") < F.col("tries"), 429).when(end == 0, 404).when(end == 1, 503).when(end != 2, 200)
+    late = (F.col("attempt") == F.col("tries")) & (end == 2)
+    return rows.select("record", "step", "attempt", status.cast("int").alias("http_status"), F.when(late, "timeout").alias("error"))
+
+
 def heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested heartbeat snapshots, one per event, host by user."""
     events = table(spark, sf_dir, "events")

@@ -480,7 +480,19 @@ ORACLE["quarantined"] = f"WITH {LOG} SELECT seq, {_DECODE_ERROR} AS decode_error
 ORACLE["heartbeats_round_trip"] = ORACLE["recovered"]
 ORACLE["logs_round_trip"] = """SELECT event_type AS name, 'journal/' || event_type || '.log' AS file, true AS success,
   least(count(*), 300) AS lines, count(*) AS read, count(*) FILTER (event_id % 9 <> 0) AS dated FROM events GROUP BY event_type"""
-ORACLE["fanout_accounting"] = f"""WITH {LOG}, {STEPS}
-  SELECT topic, CASE WHEN NOT ok THEN 'undecodable' WHEN seq NOT IN (SELECT seq FROM steps) THEN 'error'
-    WHEN seq % 6 = 0 AND seq IN (SELECT seq FROM steps WHERE required) THEN 'dlq' ELSE 'commit' END AS outcome, count(*) AS records
-  FROM log GROUP BY ALL"""
+ORACLE["fanout_accounting"] = f"""WITH {LOG}, {STEPS},
+  sent AS (SELECT seq, step, route_id, adapter_id, required, CASE (seq + 3 * step) % 8
+      WHEN 0 THEN 'forward failed permanently: destination returned 404'
+      WHEN 1 THEN 'forward failed after ' || (1 + (seq + step) % 3) || ' attempts: destination returned 503'
+      WHEN 2 THEN 'forward failed after ' || (1 + (seq + step) % 3) || ' attempts: timeout' END AS error FROM steps),
+  broken AS (SELECT * FROM sent WHERE required AND error IS NOT NULL QUALIFY row_number() OVER (PARTITION BY seq ORDER BY step) = 1),
+  judged AS (SELECT log.seq, topic, ok, event_type, kind, source, b.seq IS NOT NULL AS failed, b.adapter_id, b.route_id, b.error,
+      log.seq IN (SELECT seq FROM steps) AS reached FROM log LEFT JOIN broken b ON b.seq = log.seq)
+  SELECT seq AS record, CASE WHEN ok THEN 'e-' || seq END AS id, topic,
+    CASE WHEN NOT ok THEN 'undecodable' WHEN NOT reached THEN 'error' WHEN failed THEN 'dlq' ELSE 'commit' END AS outcome,
+    CASE WHEN NOT ok THEN {_DECODE_ERROR}
+      WHEN NOT reached THEN CASE WHEN source = 'linear' AND kind = 'view' THEN 'no active smash destinations' ELSE 'no matching smash route' END
+        || ' for topic ''' || topic || ''' and event ''' || event_type || ''''
+      WHEN failed THEN 'required destination adapter ''' || adapter_id || ''' failed on route ''' || route_id || ''': ' || error END AS reason
+  FROM judged"""
+ORACLE["batch_sink"] = f"""WITH {LOG} SELECT seq % 3 AS batch_id, 'webhooks.dlq' AS topic, 'e-' || seq AS key, 'kept' AS error FROM log WHERE ok"""

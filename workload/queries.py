@@ -14,10 +14,10 @@ from eventlane.operators import delivery, envelopes, folds, gates, health, plugi
 from eventlane.plans import fanout, serve
 from eventlane.session import checkpoint_dir, staged
 from eventlane.sources import parsers, readers, specs, writers
+from eventlane.sources.batches import BatchSink, read_batches
 from eventlane.sources.specs import BUILT_IN
 from eventlane.streaming import keyed
 from workload import fixtures
-from workload.senders import checking
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -847,12 +847,21 @@ def logs_round_trip(spark, sf_dir):
 
 @query
 def fanout_accounting(spark, sf_dir):
-    """Every record of the log through the fan-out, by what became of it."""
+    """Every record of the log by what became of it, judged by the landed attempts of its steps."""
+    config = fanout.FanoutConfig(SMASH_ROUTES, tuple(fanout.Adapter(a, None) for a in ("audit", "agent", "bus", "tool")))
+    records = fixtures.envelopes_json(spark, sf_dir).withColumnRenamed("seq", "record")
+    return fanout.account_of(records, fixtures.step_attempts(spark, sf_dir), config).select("record", "id", "topic", "outcome", "reason")
+
+
+@query
+def batch_sink(spark, sf_dir):
+    """Dead letters of three batches, each written twice: the first time in part and of another text."""
     path = fresh_path(spark)
-    config = fanout.FanoutConfig(SMASH_ROUTES, tuple(fanout.Adapter(a, checking, policy=delivery.SINGLE) for a in ("audit", "agent", "bus", "tool")))
-    account = fanout.process_batch(
-        fixtures.envelopes_json(spark, sf_dir), config, f"{path}/attempts", 0,
-        lambda df: writers.write_dlq(df, "webhooks.dlq", table_path=f"{path}/dead"),
-        lambda df: writers.quarantine(df, f"{path}/undecodable"), lambda df: writers.write_table(df.select("id", "topic", "reason"), f"{path}/unreached"),
-    )
-    return account.groupBy("topic", "outcome").agg(F.count("*").alias("records"))
+    sink = BatchSink(path, "fanout", lambda df: writers.dlq_records(df, "webhooks.dlq"))
+    log = parsed_log(spark, sf_dir).select("seq", "envelope", F.lit("2024-01-01T00:00:00Z").alias("failed_at"))
+    for batch_id in range(3):
+        rows = log.where(F.col("seq") % 3 == batch_id)
+        sink.replace(rows.where("seq % 2 = 0").withColumn("error", F.lit("lost")), batch_id)
+        sink.replace(rows.withColumn("error", F.lit("kept")), batch_id)
+    read = read_batches(spark, path)
+    return read.select("batch_id", "topic", "key", F.get_json_object(F.col("value").cast("string"), "$.error").alias("error"))
