@@ -120,8 +120,10 @@ def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col: st
     prints = staged(docs.select(F.col(id_col).alias("id"), hashed.alias("hash"), fingerprint(F.col(text), shingle).alias("fp")), "simhash")
     linked = _rooted(prints, distance).select(F.col("fp").alias("of"), "root")
     rows = prints.groupBy("id", "hash", "fp").agg(F.count("*").alias("n"))
-    order = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "fp", "hash", "n")).alias("first")
-    first = rows.join(linked, rows["fp"] == linked["of"]).groupBy("root").agg(order).select("first.id", "first.hash", "first.n")
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "fp", "hash", "n")
+    # The first of each fingerprint is found before the join, so copies do not travel to one task.
+    heads = rows.groupBy("fp").agg(F.min(order).alias("head"))
+    first = heads.join(linked, heads["fp"] == linked["of"]).groupBy("root").agg(F.min("head").alias("first")).select("first.id", "first.hash", "first.n")
     kept = staged(first, "kept")
     own = docs.withColumn(mark, hashed)
 
