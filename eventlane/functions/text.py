@@ -156,15 +156,11 @@ def folded_lower(value: Column | str) -> Column:
     return F.translate(F.lower(_col(value)), "ſ", "s")
 
 
-_NAME_CHAR = f"[A-Z0-9_{chr(0x17F)}{chr(0x212A)}]"
+# The three redaction rules, with the non-ASCII letters that fold to s and k.
 REDACT_ASSIGNMENT = (
-    rf"(?i)(?<!{WORD_CHAR})({_NAME_CHAR}*(?:"
-    + "|".join(fold_letters(word) for word in SENSITIVE_WORDS)
-    + rf"){_NAME_CHAR}*)=({_NOT_SPACE}+)"
-)
-REDACT_BEARER = (
-    "(?i)(" + fold_letters("authorization") + rf"{UNICODE_SPACE}*:{UNICODE_SPACE}*bearer{UNICODE_SPACE}+)({_NOT_SPACE}+)"
+    rf"(?i)(?<!{WORD_CHAR})([A-Z0-9_ſK]*(?:[sſ]ECRET|TO[kK]EN|PA[sſ][sſ]WORD|PRIVATE_[kK]EY|[sſ]A[sſ]L)[A-Z0-9_ſK]*)=({_NOT_SPACE}+)"
 )
+REDACT_BEARER = rf"(?i)(authorization{UNICODE_SPACE}*:{UNICODE_SPACE}*bearer{UNICODE_SPACE}+)({_NOT_SPACE}+)"
 REDACT_PEM = r"(?s)-----BEGIN [A-Z ]+PRIVATE KEY-----.*?-----END [A-Z ]+PRIVATE KEY-----"
 
 

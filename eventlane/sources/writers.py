@@ -31,6 +31,19 @@ def dlq_records(dead: DataFrame, topic: str) -> DataFrame:
     )
 
 
+def kafka_options(bootstrap: str, max_retries: int = 5, backoff_ms: int = 200, max_backoff_ms: int = 5000) -> dict[str, str]:
+    """Producer settings of a publish policy; the client counts the tries after the first."""
+    if max_retries < 1 or not 0 <= backoff_ms <= max_backoff_ms:
+        raise ValueError("a publish policy needs at least one attempt and a backoff of at most its maximum")
+    return {
+        "kafka.bootstrap.servers": bootstrap,
+        "kafka.acks": "all",
+        "kafka.retries": str(max_retries - 1),
+        "kafka.retry.backoff.ms": str(backoff_ms),
+        "kafka.retry.backoff.max.ms": str(max_backoff_ms),
+    }
+
+
 def write_topic(
     records: DataFrame,
     bootstrap: str | None = None,
@@ -39,12 +52,15 @@ def write_topic(
     trigger: dict | None = None,
     max_retries: int = 5,
     backoff_ms: int = 200,
+    max_backoff_ms: int = 5000,
     **options,
 ):
     """Publish (topic, key, value) rows; the ``topic`` column picks the target.
 
     A stream needs ``checkpoint`` and returns the started query. With
     ``table_path`` the rows go to a table partitioned by topic instead.
+    ``max_retries`` counts attempts, the first included; the pause between them
+    doubles from ``backoff_ms`` to ``max_backoff_ms``.
     """
     missing = [c for c in RECORD if c not in records.columns]
     if missing:
@@ -52,13 +68,7 @@ def write_topic(
     if (bootstrap is None) == (table_path is None):
         raise ValueError("give either bootstrap or table_path")
     if table_path is None:
-        options = {
-            "kafka.bootstrap.servers": bootstrap,
-            "kafka.acks": "all",
-            "kafka.retries": str(max_retries),
-            "kafka.retry.backoff.ms": str(backoff_ms),
-            **options,
-        }
+        options = {**kafka_options(bootstrap, max_retries, backoff_ms, max_backoff_ms), **options}
     fmt = "kafka" if table_path is None else "parquet"
     if records.isStreaming:
         if checkpoint is None:

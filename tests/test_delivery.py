@@ -314,6 +314,14 @@ def test_a_refused_batch_is_routed_anew(spark, tmp_path):
     assert {r.id: r.outcome for r in account} == {"1": "commit", "2": "dlq"} and len(attempts) == 2
 
 
+def test_publish_policy():
+    options = writers.kafka_options("broker:9092", 5, 200, 5000)
+    assert (options["kafka.retries"], options["kafka.retry.backoff.ms"], options["kafka.retry.backoff.max.ms"]) == ("4", "200", "5000")
+    assert writers.kafka_options("broker:9092", 1)["kafka.retries"] == "0"
+    with pytest.raises(ValueError):
+        writers.kafka_options("broker:9092", 0)
+
+
 def test_batch_sink(spark, tmp_path):
     path = str(tmp_path / "sink")
     rows = spark.range(6).withColumn("v", F.lit("old"))

@@ -245,6 +245,7 @@ _SCANS = " UNION ALL ".join(
     for i, p in enumerate(PATTERNS)
 )
 ORACLE["scan_text"] = f"WITH {TEXTS} {_SCANS}"
+# The three redaction rules.
 _ASSIGN = r"(?i)\b([A-Z0-9_]*(SECRET|TOKEN|PASSWORD|PRIVATE_KEY|SASL)[A-Z0-9_]*)=([^\s]+)"
 _BEARER = r"(?i)(authorization\s*:\s*bearer\s+)([^\s]+)"
 _PEM = "-----BEGIN [A-Z ]+PRIVATE KEY-----.*?-----END [A-Z ]+PRIVATE KEY-----"
