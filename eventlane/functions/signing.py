@@ -41,10 +41,7 @@ def normalize_text(raw: str) -> str:
 
 
 def secrets_table(spark: SparkSession, secrets: Mapping[str, str]) -> DataFrame:
-    """One row per source; joined in so that no key shows up in a query plan.
-
-    Spark chooses the join by the table's size.
-    """
+    """One row per source; joined in so that no key shows up in a query plan."""
     rows = [(name, *map(bytearray, pads(value)), normalize_text(value)) for name, value in secrets.items()]
     return spark.createDataFrame(rows, SECRETS)
 

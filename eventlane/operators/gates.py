@@ -152,7 +152,9 @@ def loop_guard(
 
 
 def with_secrets(df: DataFrame, secrets: DataFrame) -> DataFrame:
-    return df.join(secrets, F.col("source") == F.col("secret_source"), "left")
+    """Each row with its source's secret. The table has a row a source, so it goes to the requests:
+    a shuffle by source would move every body, into as many tasks as there are sources."""
+    return df.join(F.broadcast(secrets), F.col("source") == F.col("secret_source"), "left")
 
 
 def request_view() -> RequestView:
