@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,15 @@ def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it.
+
+    Columns are written out at each use, and generators and lambdas evaluate
+    each copy anew; the variable of a lambda is evaluated once.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def body_text(body: Column | str) -> Column:
     """Body bytes as text, null when they are not valid UTF-8."""
     return F.try_validate_utf8(_col(body).cast("string"))
@@ -30,13 +39,16 @@ def parse_json(text: Column | str) -> Column:
     text. The document is therefore parsed once as a field in front of an end
     marker: trailing text either breaks the parse or hides the marker.
     """
-    body = _col(text)
     plain = "~end~"
-    # A body that holds the marker itself gets one it cannot contain.
-    marker = F.when(F.contains(body, F.lit(plain)), F.sha2(body, 256)).otherwise(F.lit(plain))
-    wrapped = F.try_parse_json(F.concat(F.lit('{"v":'), body, F.lit(',"m":"'), marker, F.lit('"}')))
-    intact = F.try_variant_get(wrapped, "$.m", "string") == marker
-    return F.when(intact, F.variant_get(wrapped, "$.v", "variant"))
+
+    def parsed(body: Column) -> Column:
+        # A body that holds the marker itself gets one it cannot contain.
+        marker = F.when(F.contains(body, F.lit(plain)), F.sha2(body, 256)).otherwise(F.lit(plain))
+        wrapped = F.try_parse_json(F.concat(F.lit('{"v":'), body, F.lit(',"m":"'), marker, F.lit('"}')))
+        intact = lambda doc: F.try_variant_get(doc, "$.m", "string") == marker
+        return bound(wrapped, lambda doc: F.when(intact(doc), F.variant_get(doc, "$.v", "variant")))
+
+    return bound(_col(text), parsed)
 
 
 def is_object_text(text: Column | str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from eventlane.functions.payload import (
     at,
     body_text,
+    bound,
     computed_once,
     optional_string,
     parse_json,
@@ -118,10 +119,18 @@ def envelope_from(doc: Column) -> Column:
     Required fields are strict, extra fields are ignored, ``payload`` may be
     JSON null but must be there. ``flags`` may be absent but not null.
     """
-    texts = strings_at(doc, [(name,) for name in _TEXTS])
-    payload, meta = at(doc, "payload"), at(doc, "meta")
-    options = F.transform(tokens_at(doc, [("meta", name) for name in _META_TEXTS]), optional_string)
-    flags = at(doc, "meta", "flags")
+    parts = F.struct(
+        strings_at(doc, [(name,) for name in _TEXTS]).alias("texts"),
+        at(doc, "payload").alias("payload"),
+        at(doc, "meta").alias("meta"),
+        F.transform(tokens_at(doc, [("meta", name) for name in _META_TEXTS]), optional_string).alias("options"),
+        at(doc, "meta", "flags").alias("flags"),
+    )
+    return bound(parts, _envelope_of)
+
+
+def _envelope_of(parts: Column) -> Column:
+    texts, payload, meta, options, flags = (parts[n] for n in ("texts", "payload", "meta", "options", "flags"))
     flag_items = F.try_variant_get(flags, "$", "array<variant>")
     flags_fit = flags.isNull() | F.coalesce(
         F.forall(flag_items, lambda item: F.coalesce(value_type(item) == "STRING", F.lit(False))), F.lit(False)
@@ -170,7 +179,7 @@ def decode_dlq(df: DataFrame, value: str = "value") -> DataFrame:
     """Add ``failed_at``, ``error``, ``envelope`` and ``decode_error`` of dead letters."""
     parsed = computed_once(df, _doc=parse_json(body_text(value)))
     outer = strings_at("_doc", [("failed_at",), ("error",)])
-    decoded = computed_once(parsed, _outer=outer, _inner=envelope_from(at("_doc", "envelope")))
+    decoded = computed_once(parsed, _outer=outer, _inner=bound(at("_doc", "envelope"), envelope_from))
     typed = F.forall("_outer", lambda t: t.isNotNull())
     named = decoded.select(
         "*",

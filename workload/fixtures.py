@@ -33,6 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores: a few bytes of the table make a long text, and a file's row group is one task."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def phrase(number: Column) -> Column:
     chain = None
     for i, text in enumerate(PHRASES[:-1]):
@@ -113,12 +118,12 @@ def _headers() -> Column:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return requests_from(table(spark, sf_dir, "events"))
+    return requests_from(spread(table(spark, sf_dir, "events")))
 
 
 def envelopes_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topic log: one wire envelope per event, some undecodable (Kafka schema plus ``id``)."""
-    events = table(spark, sf_dir, "events")
+    events = spread(table(spark, sf_dir, "events"))
     eid, user = F.col("event_id"), F.col("user_id")
     epoch = F.unix_timestamp(F.col("ts").cast("timestamp"))
     source = F.when(eid % 3 == 0, "github").when(eid % 3 == 1, "linear").otherwise("example")
