@@ -27,6 +27,7 @@ the RocksDB state store, which these operators need.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -46,6 +47,8 @@ from eventlane.operators.folds import (
 
 LATE = "late"
 BUCKETS = 256
+# Rows that are judged and given out at once.
+BLOCK = 50_000
 _MOST = 1 << 24
 
 
@@ -131,6 +134,63 @@ HELD = ("fold_key", "fold_time", "at_us", "seq", "carried")
 ROW = "fold_key string, fold_time bigint, at_us bigint, seq bigint, carried string"
 
 
+@dataclass
+class _Block:
+    codes: np.ndarray
+    times: np.ndarray
+    seq: np.ndarray
+    at_us: np.ndarray
+    carried: np.ndarray | None
+
+
+class _Rows:
+    """Rows of one bucket in numbers: a few keys can bring most of a micro-batch.
+
+    A key is held once and its rows name it by number, and rows that carry
+    nothing hold nothing for it; texts and Python numbers are made a block at a time.
+    """
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.numbers: dict[str, int] = {}
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.carried: list[np.ndarray] = []
+
+    def add(self, rows: pd.DataFrame) -> None:
+        if not len(rows):
+            return
+        codes, found = pd.factorize(rows["fold_key"].to_numpy(object))
+        for name in found:
+            if name not in self.numbers:
+                self.numbers[name] = len(self.names)
+                self.names.append(name)
+        known = np.array([self.numbers[name] for name in found], np.int64)
+        # Copies: a view would keep the whole batch.
+        self.parts.append((known[codes], *(rows[c].to_numpy(np.int64, copy=True) for c in ("fold_time", "seq", "at_us"))))
+        carried = rows["carried"]
+        self.carried.append(carried.to_numpy(object, copy=True) if carried.notna().any() else np.empty(0, object))
+
+    def named(self, codes: np.ndarray) -> np.ndarray:
+        """The keys of numbers."""
+        used, place = np.unique(codes, return_inverse=True)
+        return np.array([self.names[u] for u in used], object)[place]
+
+    def in_order(self, size: int = BLOCK) -> Iterator[_Block]:
+        """The rows by key, time and seq, some at a time; they are given up."""
+        if not self.parts:
+            return
+        carried = None
+        if any(len(c) for c in self.carried):
+            carried = np.concatenate([c if len(c) else np.full(len(p[0]), None, object) for c, p in zip(self.carried, self.parts, strict=True)])
+        parts, self.parts, self.carried = self.parts, [], []
+        codes, times, seq, at_us = (np.concatenate(column) for column in zip(*parts, strict=True))
+        del parts
+        order = np.lexsort((seq, times, codes))
+        for start in range(0, len(order), size):
+            at = order[start : start + size]
+            yield _Block(codes[at], times[at], seq[at], at_us[at], None if carried is None else carried[at])
+
+
 class Judge(StatefulProcessor):
     """Applies a rule to the rows of one bucket of keys; rows without a key pass."""
 
@@ -146,24 +206,30 @@ class Judge(StatefulProcessor):
         self.waiting = handle.getListState("waiting", ROW) if self.exact else None
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat([r.drop(columns="bucket") for r in rows], ignore_index=True)
         now = timerValues.getCurrentWatermarkInMs()
-        keyed = batch["fold_key"].notna().to_numpy()
-        if not keyed.all():
-            yield self._out(batch[~keyed], np.full((~keyed).sum(), ACCEPT, object))
-            batch = batch[keyed]
-        if self.exact and len(batch):
-            due = (batch["at_us"] // 1000 < now).to_numpy()
-            self._hold(batch[~due])
-            batch = pd.concat([self._ready(now), batch[due]], ignore_index=True)
-        if len(batch):
-            yield self._judged(batch, now)
+        held, came = _Rows(), False
+        for batch in rows:
+            keyed = batch["fold_key"].notna().to_numpy()
+            if not keyed.all():
+                yield self._passed(batch[~keyed])
+                batch = batch[keyed]
+            came = came or len(batch) > 0
+            if self.exact:
+                due = (batch["at_us"] // 1000 < now).to_numpy()
+                self._hold(batch[~due])
+                batch = batch[due]
+            held.add(batch)
+        if self.exact and came:
+            held.add(self._ready(now))
+        yield from self._judged(held, now)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
         self.timer.clear()
-        if self.exact and len(ready := self._ready(now)):
-            yield self._judged(ready, now)
+        if self.exact:
+            held = _Rows()
+            held.add(self._ready(now))
+            yield from self._judged(held, now)
         self._sweep(now)
 
     def close(self) -> None:
@@ -184,35 +250,43 @@ class Judge(StatefulProcessor):
             self._hold(held[~due])
         return held[due]
 
-    def _judged(self, batch: pd.DataFrame, now: int) -> pd.DataFrame:
+    def _judged(self, held: _Rows, now: int) -> Iterator[pd.DataFrame]:
         """Decisions on rows in order of key, time and seq, and the state after them."""
-        batch = batch.sort_values(["fold_key", "fold_time", "seq"], kind="stable", ignore_index=True)
-        names, times = batch["fold_key"].to_numpy(), batch["fold_time"].tolist()
         swept = self.swept.get()[0] if self.swept.exists() else None
         floor = -(1 << 62) if swept is None else swept - self.delay_ms
-        decision = np.full(len(batch), self.refused, object)
-        starts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist()]
         wake = None
-        for start, end in zip(starts, [*starts[1:], len(names)], strict=True):
-            name, own = (names[start],), range(start, end)
-            held = self.values.getValue(name)
-            stored = None if held is None else held[0]
-            lost = [i for i in own if self.rule.unknown(times[i], stored, floor, self.exact)]
-            if lost:
-                decision[lost] = LATE
-                own = [i for i in own if i not in set(lost)]
-                if not own:
-                    continue
-            accepted, value = self.rule.judge([times[i] for i in own], stored)
-            decision[[i for i, ok in zip(own, accepted, strict=True) if ok]] = ACCEPT
-            if value != stored:
-                self.values.updateValue(name, (value,))
-                ends = self.rule.ends(value)
-                if ends is not None:
-                    wake = ends if wake is None else min(wake, ends)
+        codes = name = first = stored = None
+        for block in held.in_order():
+            decision = np.full(len(block.codes), self.refused, object)
+            starts = [0, *(np.flatnonzero(block.codes[1:] != block.codes[:-1]) + 1).tolist()]
+            for start, end in zip(starts, [*starts[1:], len(block.codes)], strict=True):
+                if block.codes[start] != codes:
+                    wake = self._keep(name, first, stored, wake)
+                    codes, name = block.codes[start], (held.names[block.codes[start]],)
+                    got = self.values.getValue(name)
+                    first = stored = None if got is None else got[0]
+                times, own = block.times[start:end].tolist(), range(start, end)
+                # What is lost is told by the state that was stored before the batch.
+                lost = {i for i, t in zip(own, times, strict=True) if self.rule.unknown(t, first, floor, self.exact)}
+                if lost:
+                    decision[sorted(lost)] = LATE
+                    times, own = [t for i, t in zip(own, times, strict=True) if i not in lost], [i for i in own if i not in lost]
+                    if not own:
+                        continue
+                accepted, stored = self.rule.judge(times, stored)
+                decision[[i for i, ok in zip(own, accepted, strict=True) if ok]] = ACCEPT
+            yield self._out(block.seq, held.named(block.codes), block.at_us, block.carried, decision)
+        wake = self._keep(name, first, stored, wake)
         if wake is not None:
             self._wake(max(wake, now) + self.delay_ms)
-        return self._out(batch, decision)
+
+    def _keep(self, name: tuple | None, before: int | None, value: int | None, wake: int | None) -> int | None:
+        """Store a key's number if it changed; the earliest end of what was stored."""
+        if name is None or value == before:
+            return wake
+        self.values.updateValue(name, (value,))
+        ends = self.rule.ends(value)
+        return wake if ends is None else ends if wake is None else min(wake, ends)
 
     def _wake(self, at_ms: int) -> None:
         """One timer a bucket is enough: the earliest."""
@@ -241,9 +315,12 @@ class Judge(StatefulProcessor):
         if later is not None:
             self._wake(max(later, now) + self.delay_ms)
 
+    def _passed(self, rows: pd.DataFrame) -> pd.DataFrame:
+        return self._out(*(rows[c].to_numpy() for c in ("seq", "fold_key", "at_us", "carried")), ACCEPT)
+
     @staticmethod
-    def _out(batch: pd.DataFrame, decision: np.ndarray) -> pd.DataFrame:
-        return batch[["seq", "fold_key", "at_us", "carried"]].assign(decision=decision)
+    def _out(seq, fold_key, at_us, carried, decision) -> pd.DataFrame:
+        return pd.DataFrame({"seq": seq, "fold_key": fold_key, "at_us": at_us, "carried": carried, "decision": decision})
 
 
 def judged(
@@ -254,7 +331,8 @@ def judged(
 
     ``df`` has ``seq`` and, somewhere before, a watermark; ``carry`` is one
     string column that rows take along. A bucket of keys is one Python call a
-    micro-batch, whose rows must fit in its memory: bound a trigger's rows.
+    micro-batch, whose rows must fit in its memory, some 40 bytes each and what
+    they carry: bound a trigger's rows.
     At most ``buckets`` tasks share the work, and a checkpoint is bound to the number.
     """
     if order not in ("arrival", "event"):
