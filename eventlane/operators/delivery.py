@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from eventlane.functions.text import truncate_bytes
 from eventlane.operators.envelopes import compact_envelope
+from eventlane.session import staged
 
 MIN_MESSAGE_BYTES = 128
 
@@ -334,8 +335,12 @@ def settle(steps: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
 
 
 def executed_steps(steps: DataFrame, settled: DataFrame) -> DataFrame:
-    """Steps that ran: those up to and including the first required failure."""
-    cut = settled.filter(F.col("failed_step").isNotNull()).select(F.col("id").alias("cut_id"), "failed_step")
+    """Steps that ran: those up to and including the first required failure.
+
+    The cuts are staged: where ``settled`` comes of ``steps``, one task would
+    otherwise sort the steps twice at once.
+    """
+    cut = staged(settled.filter(F.col("failed_step").isNotNull()).select(F.col("id").alias("cut_id"), "failed_step"), "cuts")
     return (
         steps.join(cut, F.col("id") == F.col("cut_id"), "left")
         .filter(F.col("failed_step").isNull() | (F.col("step") <= F.col("failed_step")))

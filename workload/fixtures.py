@@ -157,20 +157,23 @@ def envelopes_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All lines of each order, numbered anew: the given table repeats some line numbers."""
-    items = table(spark, sf_dir, "lineitem")
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    return items.select("l_orderkey", F.row_number().over(order).alias("l_linenumber"), "l_partkey", "l_suppkey")
+def order_items(spark: SparkSession, sf_dir: str, order: Column) -> DataFrame:
+    """All lines of each ``order``, numbered anew as ``line``: the given table repeats some line numbers."""
+    items = table(spark, sf_dir, "lineitem").select(order.alias("id"), "l_linenumber", "l_partkey", "l_suppkey")
+    lines = Window.partitionBy("id").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    return items.select("id", F.row_number().over(lines).alias("line"), "l_partkey", "l_suppkey")
 
 
 def delivery_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Planned steps of each order: required first, failures from line data."""
-    items = order_items(spark, sf_dir)
-    line, part = F.col("l_linenumber"), F.col("l_partkey")
+    """Planned steps of each order: required first, failures from line data.
+
+    Lines are numbered by the id that steps are settled by, so one sort serves both.
+    """
+    items = order_items(spark, sf_dir, F.col("l_orderkey").cast("string"))
+    line, part = F.col("line"), F.col("l_partkey")
     required = line % 3 != 0
     return items.select(
-        F.col("l_orderkey").cast("string").alias("id"),
+        "id",
         line.cast("int").alias("step"),
         _text("r", part % 5).alias("route_id"),
         _text("a", F.col("l_suppkey") % 7).alias("adapter_id"),
@@ -182,15 +185,15 @@ def delivery_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attempt rows from line items: the last line of an order is its last attempt."""
-    items = order_items(spark, sf_dir)
+    items = order_items(spark, sf_dir, F.col("l_orderkey"))
     part = F.col("l_partkey")
     status = F.when(part % 6 == 0, 404).when(part % 6 == 1, 503).when(part % 6 == 2, 429).when(part % 6 == 3, None).otherwise(200)
     return items.select(
-        F.col("l_orderkey").alias("id"),
-        F.col("l_linenumber").cast("int").alias("attempt"),
+        "id",
+        F.col("line").cast("int").alias("attempt"),
         status.cast("int").alias("http_status"),
         F.when(part % 6 == 3, F.when(part % 4 == 1, "timeout").otherwise("request: ValueError")).alias("error"),
-        _text("a", F.col("l_orderkey") % 7).alias("adapter_id"),
+        _text("a", F.col("id") % 7).alias("adapter_id"),
     )
 
 
