@@ -165,8 +165,8 @@ class _Rows:
                 self.numbers[name] = len(self.names)
                 self.names.append(name)
         known = np.array([self.numbers[name] for name in found], np.int64)
-        # Copies: a view would keep the whole batch.
-        self.parts.append((known[codes], *(rows[c].to_numpy(np.int64, copy=True) for c in ("fold_time", "seq", "at_us"))))
+        # Copies: a view would keep the whole batch. Numbers that may be null come as floats, and nulls go last.
+        self.parts.append((known[codes], *(rows[c].to_numpy(copy=True) for c in ("fold_time", "seq", "at_us"))))
         carried = rows["carried"]
         self.carried.append(carried.to_numpy(object, copy=True) if carried.notna().any() else np.empty(0, object))
 

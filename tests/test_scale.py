@@ -1,7 +1,6 @@
 """Steps whose cost must not follow the number of sources, row groups or rows of one key."""
 
 import pandas as pd
-from pyspark.sql import functions as F
 
 from eventlane.functions import payload
 from eventlane.operators import delivery
@@ -56,7 +55,7 @@ def test_rows_of_a_key_are_numbers_given_out_in_blocks():
     assert rows == [("ba", 0, 0), ("ba", 1, 2), ("ba", 3, 3), ("ba", 4, 5), ("a", 5, 1), ("a", 5, 4)]
 
 
-def test_state_goes_on_over_blocks(spark, tmp_path, monkeypatch):
+def test_state_goes_on_over_blocks(monkeypatch):
     """A key whose rows come in many blocks is judged as if they came in one."""
     times, rule = [0, 1, 5, 9, 10, 30, 31, 70], keyed.TtlRule(10)
     values = {}
@@ -81,3 +80,11 @@ def test_state_goes_on_over_blocks(spark, tmp_path, monkeypatch):
     out = pd.concat(judge._judged(held, 0))
     assert [t for t, d in zip(times, out["decision"]) if d == "accept"] == [0, 10, 30, 70]
     assert values == {("k",): (80,)} and set(out["carried"]) == {"c"}
+
+
+def test_rows_without_a_time_come_last_of_their_key():
+    held = keyed._Rows()
+    held.add(pd.DataFrame({"fold_key": ["a", "a"], "fold_time": [None, 7.0], "at_us": [None, 1.0], "seq": [0, 1], "carried": [None, None]}))
+    held.add(pd.DataFrame({"fold_key": ["a"], "fold_time": [3], "at_us": [1], "seq": [2], "carried": ["c"]}))
+    (block,) = held.in_order()
+    assert block.seq.tolist() == [2, 1, 0] and block.times[:2].tolist() == [3, 7] and block.carried.tolist() == ["c", None, None]
