@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,15 +46,16 @@ def parse_json(text: Column | str) -> Column:
         # A body that holds the marker itself gets one it cannot contain.
         marker = F.when(F.contains(body, F.lit(plain)), F.sha2(body, 256)).otherwise(F.lit(plain))
         wrapped = F.try_parse_json(F.concat(F.lit('{"v":'), body, F.lit(',"m":"'), marker, F.lit('"}')))
-        intact = lambda doc: F.try_variant_get(doc, "$.m", "string") == marker
-        return bound(wrapped, lambda doc: F.when(intact(doc), F.variant_get(doc, "$.v", "variant")))
+        parts = F.try_variant_get(wrapped, "$", "struct<v:variant,m:variant>")
+        # Neither marker needs an escape. As JSON a value is far cheaper to get than by a cast.
+        return bound(parts, lambda doc: F.when(F.to_json(doc["m"]) == F.concat(F.lit('"'), marker, F.lit('"')), doc["v"]))
 
     return bound(_col(text), parsed)
 
 
 def is_object_text(text: Column | str) -> Column:
     """Whether valid JSON text is an object (cheaper than typing the VARIANT)."""
-    return F.regexp_like(_col(text), F.lit(r"\A[ \t\n\r]*\{"))
+    return F.startswith(F.ltrim(_col(text), F.lit(" \t\n\r")), F.lit("{"))
 
 
 def json_path(segments: tuple[str, ...] | list[str]) -> str:
@@ -94,9 +96,18 @@ def string_at(payload: Column | str, *segments: str) -> Column:
 
 
 def _typed(value: Column) -> Column:
-    return F.struct(
-        value_type(value).alias("kind"), value.alias("value"), F.try_variant_get(value, "$", "string").alias("text")
-    )
+    kind = value_type(value).alias("kind")
+    return F.when(value.isNotNull(), F.struct(kind, value.alias("value"), F.to_json(value).alias("json")))
+
+
+def _string_text(typed: Column) -> Column:
+    """Text of a typed string: without escapes it is what the quotes of its JSON enclose.
+
+    A cast of a VARIANT to text builds an expression for every value.
+    """
+    json = typed["json"]
+    inner = F.substr(json, F.lit(2), F.length(json) - 2)
+    return F.when(F.contains(json, F.lit("\\")), F.try_variant_get(typed["value"], "$", "string")).otherwise(inner)
 
 
 def _token(typed: Column) -> Column:
@@ -106,11 +117,11 @@ def _token(typed: Column) -> Column:
     or unsigned, as decimal text. ``1.0`` is typed as a decimal of scale 0
     too, so decimals count only above the signed range.
     """
-    kind, text = typed["kind"], typed["text"]
+    kind, json = typed["kind"], typed["json"]
     number = F.try_variant_get(typed["value"], "$", "decimal(20,0)")
     token = (
-        F.when(kind == "STRING", blank_to_null(text))
-        .when(kind == "BIGINT", text)
+        F.when(kind == "STRING", blank_to_null(_string_text(typed)))
+        .when(kind == "BIGINT", json)
         .when(
             kind.like("DECIMAL(%,0)")
             & (number > F.lit(_I64_MAX).cast("decimal(20,0)"))
@@ -122,8 +133,36 @@ def _token(typed: Column) -> Column:
 
 
 def tokens_at(payload: Column | str, paths: Sequence[tuple[str, ...]]) -> Column:
-    """Values at several paths as VARIANTs, for one pass of :func:`as_tokens`."""
-    return F.array(*(at(payload, *path) for path in paths))
+    """Values at several paths as VARIANTs, for one pass of :func:`as_tokens`.
+
+    All paths are read in one walk over the document, unless their names cannot
+    stand in one struct.
+    """
+    fields = _as_fields(paths)
+    if len(paths) < 2 or fields is None:
+        return F.array(*(at(payload, *path) for path in paths))
+
+    def values(doc: Column) -> Column:
+        return F.array(*(reduce(lambda part, name: part.getField(name), path, doc) for path in paths))
+
+    # Also where the payload is no object the array holds a null for each path.
+    return bound(F.try_variant_get(_col(payload), "$", fields), values)
+
+
+def _as_fields(paths: Sequence[tuple[str, ...]]) -> str | None:
+    """The paths as the type of one struct with a VARIANT at each end, null where they do not fit in one."""
+    heads: dict[str, list[tuple[str, ...]]] = {}
+    for path in paths:
+        if not path or not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", path[0]):
+            return None
+        heads.setdefault(path[0], []).append(path[1:])
+    # Columns are found whatever their case, and a value cannot be a whole and its parts at once.
+    if len({name.lower() for name in heads}) < len(heads) or any(() in tails and set(tails) != {()} for tails in heads.values()):
+        return None
+    types = {name: "variant" if () in tails else _as_fields(tails) for name, tails in heads.items()}
+    if None in types.values():
+        return None
+    return f"struct<{','.join(f'`{name}`:{kind}' for name, kind in types.items())}>"
 
 
 def as_tokens(values: Column) -> Column:
@@ -146,10 +185,12 @@ def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
     Catalyst copies the definition of a plain column into every filter and
     projection above it; a JSON parse would then run once per use. It does not
     do so across a generator, so each column here is computed once per row.
+    A generator's own expressions are not compiled: it is given a finished struct.
     """
     names = set(columns)
     kept = [c for c in df.columns if c not in names]
-    return df.select(*kept, F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+    held = df.select(*kept, F.struct(*(c.alias(n) for n, c in columns.items())).alias("_once"))
+    return held.select(*kept, F.inline(F.array("_once")))
 
 
 def pointer_segments(pointer: str) -> list[str]:
@@ -181,8 +222,8 @@ def pointer_exists(payload: Column | str, pointer: str) -> Column:
 def integer_of(value: Column) -> Column:
     kind = value_type(value)
     text = F.try_variant_get(value, "$", "string")
-    exact = (kind == "BIGINT") | ((kind == "STRING") & F.regexp_like(text, F.lit(r"\A[+-]?[0-9]+\z")))
-    return F.when(exact, text.try_cast("bigint"))
+    exact = (kind == "STRING") & F.regexp_like(text, F.lit(r"\A[+-]?[0-9]+\z"))
+    return F.when(kind == "BIGINT", F.to_json(value).try_cast("bigint")).when(exact, text.try_cast("bigint"))
 
 
 def integer_at(payload: Column | str, *segments: str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventlane.functions.text import ascii_lower, header_value, without_spaces, ws_trim
+from eventlane.functions.text import UNICODE_SPACE, ascii_lower, header_value, lower_without_spaces, ws_trim
 
 _BLOCK = 64
 
@@ -53,10 +53,11 @@ def hmac_sha256_hex(body: Column, ipad: Column, opad: Column) -> Column:
 
 
 def normalize_signature(value: Column | str) -> Column:
-    """Trim, drop one ``sha256=`` prefix, drop all white space, ASCII-lower."""
-    trimmed = ws_trim(value)
-    bare = F.when(F.startswith(trimmed, F.lit("sha256=")), F.substring(trimmed, 8, 2147483647)).otherwise(trimmed)
-    return ascii_lower(without_spaces(bare))
+    """Trim, drop one ``sha256=`` prefix, drop all white space, ASCII-lower.
+
+    What trimming would leave out is dropped with all white space; the value is named once.
+    """
+    return lower_without_spaces(F.regexp_replace(value, rf"\A{UNICODE_SPACE}*sha256=", ""))
 
 
 def adapter_token_ok(headers: Column | str, auth_mode: str, expected: Column | str | None) -> Column:

@@ -36,19 +36,28 @@ def without_spaces(value: Column | str) -> Column:
     return F.translate(_col(value), SPACE_CHARS, "")
 
 
+def lower_without_spaces(value: Column | str) -> Column:
+    """Lower-case A-Z and drop all Unicode white space, in one pass."""
+    return F.translate(_col(value), _UPPER + SPACE_CHARS, _LOWER)
+
+
 def ascii_upper(value: Column | str) -> Column:
     return F.translate(_col(value), _LOWER, _UPPER)
 
 
+def _unless_empty(value: Column) -> Column:
+    """``nullif(value, '')`` that names the value once: columns are written out at each use."""
+    return F.get(F.array_remove(F.array(value), F.lit("")), F.lit(0))
+
+
 def blank_to_null(value: Column | str) -> Column:
     """Trimmed text, or null when nothing is left."""
-    trimmed = ws_trim(value)
-    return F.nullif(trimmed, F.lit(""))
+    return _unless_empty(ws_trim(value))
 
 
 def normalize_source(value: Column | str) -> Column:
     """Trimmed, ASCII-lower-cased source name; null when blank."""
-    return F.nullif(ascii_lower(ws_trim(value)), F.lit(""))
+    return _unless_empty(ascii_lower(ws_trim(value)))
 
 
 def header_value(headers: Column | str, name: str) -> Column:

@@ -103,6 +103,7 @@ def _with_route(df: DataFrame, config: ServeConfig) -> DataFrame:
 
 
 NARROW = ("seq", "received_epoch", "source", "event_type", "dedup_key", "cooldown_key", "route_key", "topic", "early", "middle", "late")
+JUDGED = tuple(c for c in NARROW if c not in ("early", "middle"))
 
 
 def decide(requests: DataFrame, config: ServeConfig) -> DataFrame:
@@ -129,22 +130,25 @@ def decide(requests: DataFrame, config: ServeConfig) -> DataFrame:
         gates.failed_when(~F.col("within_limit"), 429, "source rate limit exceeded"),
         F.col("middle"),
     )
-    narrow = narrow.withColumn("blocked", blocked)
-    decisions = folds.idempotency_decisions(
-        narrow.filter(F.col("blocked").isNull()), config.dedup_ttl_seconds, config.cooldown_seconds
-    ).select(F.col("seq").alias("decided_seq"), "decision")
-    judged = narrow.join(decisions, F.col("seq") == F.col("decided_seq"), "left")
-    ignored = F.when(
-        F.col("blocked").isNull() & (F.coalesce(F.col("decision"), F.lit(folds.DUPLICATE)) != folds.ACCEPT),
-        F.coalesce(F.col("decision"), F.lit(folds.DUPLICATE)),
+    # Three steps read what the limits left, which costs several passes to find.
+    limited = staged(narrow.select(*JUDGED, blocked.alias("blocked")), "limited")
+    open_, shut = limited.filter(F.col("blocked").isNull()), limited.filter(F.col("blocked").isNotNull())
+    decisions = folds.idempotency_decisions(open_, config.dedup_ttl_seconds, config.cooldown_seconds).select(
+        F.col("seq").alias("decided_seq"), "decision"
     )
-    final = F.coalesce(F.col("blocked"), F.when(ignored.isNull(), F.col("late")))
+    # Only requests that the folds saw have a decision to look up.
+    judged = open_.join(decisions, F.col("seq") == F.col("decided_seq"), "left")
+    decision = F.coalesce(F.col("decision"), F.lit(folds.DUPLICATE))
+    ignored = F.when(decision != folds.ACCEPT, decision)
+    final = F.when(ignored.isNull(), F.col("late"))
+    kept = [c for c in JUDGED if c != "late"]
+    refused = shut.select(*kept, F.lit("rejected").alias("status"), "blocked.http_code", "blocked.reason")
     return judged.select(
-        "seq", "received_epoch", "source", "event_type", "dedup_key", "cooldown_key", "route_key", "topic",
+        *kept,
         F.when(ignored.isNotNull(), "ignored").when(final.isNotNull(), "rejected").otherwise("accepted").alias("status"),
         F.coalesce(final["http_code"], F.lit(200)).alias("http_code"),
         F.coalesce(ignored, final["reason"]).alias("reason"),
-    )
+    ).unionByName(refused)
 
 
 def decide_stream(requests: DataFrame, config: ServeConfig, at: str = "received_at", delay: str = "10 minutes", order: str = "arrival") -> DataFrame:

@@ -82,14 +82,15 @@ def _hmac_auth(source: str, header: str) -> Callable[[RequestView], list[Failure
         return [
             Failure(view.ipad.isNull(), UNAUTHORIZED, f"missing {source} secret"),
             Failure(given.isNull(), UNAUTHORIZED, f"missing {source} signature"),
-            Failure(normalize_signature(given) != wanted, UNAUTHORIZED, f"invalid {source} signature"),
+            Failure(normalize_signature(F.element_at(view.headers, header)) != wanted, UNAUTHORIZED, f"invalid {source} signature"),
         ]
 
     return build
 
 
 def _dotted(head: Column, tail: Column) -> Column:
-    return F.concat_ws(".", head, tail)
+    """``head.tail``, the head alone without a tail, null without a head. Names each once."""
+    return F.concat(head, F.coalesce(F.concat(F.lit("."), tail), F.lit("")))
 
 
 # --- github -----------------------------------------------------------------
@@ -111,7 +112,7 @@ EXAMPLE_PATHS = (("action",), ("event_type",), ("type",), *EXAMPLE_SCOPE, *EXAMP
 
 def _github_event_type(spec: SourceSpec, view: RequestView) -> Column:
     event = header_value(view.headers, "x-github-event")
-    return F.when(event.isNotNull(), _dotted(event, spec.string(view, ("action",))))
+    return _dotted(event, spec.string(view, ("action",)))
 
 
 def _github_cooldown(spec: SourceSpec, view: RequestView) -> Column:
@@ -152,7 +153,7 @@ def outside_window(payload: Column, received_epoch: Column, window_seconds: int)
 def _linear_event_type(spec: SourceSpec, view: RequestView) -> Column:
     kind = F.coalesce(spec.string(view, ("type",)), header_value(view.headers, "linear-event"))
     action = spec.string(view, ("action",))
-    return F.when(kind.isNotNull(), _dotted(ascii_lower(kind), ascii_lower(action)))
+    return _dotted(ascii_lower(kind), ascii_lower(action))
 
 
 def linear_source(window_seconds: int = 60, enforce_window: bool = True) -> SourceSpec:
@@ -197,7 +198,7 @@ def _example_auth(view: RequestView) -> list[Failure]:
     return [
         Failure(view.token.isNull(), UNAUTHORIZED, "missing example secret"),
         Failure(given.isNull(), UNAUTHORIZED, "missing example token"),
-        Failure(normalize_signature(given) != view.token, UNAUTHORIZED, "invalid example token"),
+        Failure(normalize_signature(F.element_at(view.headers, "x-example-token")) != view.token, UNAUTHORIZED, "invalid example token"),
     ]
 
 
@@ -206,7 +207,7 @@ def _example_event_type(spec: SourceSpec, view: RequestView) -> Column:
         header_value(view.headers, "x-example-event"), spec.token(view, ("event_type",), ("type",))
     )
     action = spec.token(view, ("action",))
-    return F.when(event.isNotNull(), _dotted(ascii_lower(event), ascii_lower(action)))
+    return _dotted(ascii_lower(event), ascii_lower(action))
 
 
 EXAMPLE = SourceSpec(

@@ -1,9 +1,10 @@
 """Steps whose cost must not follow the number of sources, row groups or rows of one key."""
 
 import pandas as pd
+from pyspark.sql import functions as F
 
-from eventlane.functions import payload
-from eventlane.operators import delivery
+from eventlane.functions import payload, signing, text
+from eventlane.operators import delivery, reports
 from eventlane.plans import serve
 from eventlane.streaming import keyed
 from workload import fixtures
@@ -32,6 +33,54 @@ def test_a_document_is_parsed_once(spark):
     assert text.count("try_parse_json(") == 1
 
 
+def analyzed(df):
+    return df._jdf.queryExecution().analyzed().toString()
+
+
+def test_all_paths_are_read_in_one_walk(spark):
+    rows = spark.createDataFrame([('{"a":{"b":1,"c":" x\\\\y "},"d":null}',), ('{"a":"s","d":"t"}',), ("[1]",)], "t string")
+    paths = [("a", "b"), ("a", "c"), ("d",), ("e", "f")]
+    df = rows.select(payload.as_tokens(payload.tokens_at(payload.parse_json("t"), paths)).alias("found"))
+    assert str(payload.tokens_at("doc", paths)).count("variant_get(") == 1
+    assert [[t["text"] for t in r.found] for r in df.collect()] == [["1", "x\\y", None, None], [None, None, "t", None], [None] * 4]
+
+
+def test_paths_that_fit_in_no_struct_are_read_one_by_one(spark):
+    rows = spark.createDataFrame([('{"a":{"b":1},"A":2,"x y":3}',)], "t string")
+    for paths, found in (([("a",), ("a", "b")], [None, "1"]), ([("A",), ("a", "b")], ["2", "1"]), ([("x y",), ("A",)], ["3", "2"])):
+        tokens = payload.as_tokens(payload.tokens_at(payload.parse_json("t"), paths))
+        assert [t["text"] for t in rows.select(tokens.alias("t")).head().t] == found
+
+
+def test_a_trimmed_value_is_named_once(spark):
+    rows = spark.createDataFrame([(" sha256=A B ",), (" \u3000",), ("x",), (None,)], "t string")
+    for column in (text.blank_to_null("t"), text.normalize_source("t"), signing.normalize_signature("t")):
+        assert analyzed(rows.select(column)).count("t#") <= 2
+    found = rows.select(text.blank_to_null("t").alias("b"), signing.normalize_signature("t").alias("s")).collect()
+    assert [tuple(r) for r in found] == [("sha256=A B", "ab"), (None, ""), ("x", "x"), (None, None)]
+
+
+def test_generators_are_given_finished_columns(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "n int, why string")
+    once = payload.computed_once(rows, twice=F.col("n") * 2)
+    counts = (reports.Count("smash_egress_success_total", F.col("why").isNull(), {"adapter": F.col("why")}),
+              reports.Count("smash_egress_failure_total", F.col("n") == 1, {"reason": F.col("why")}))
+    hits = reports.metric_rows(rows, *counts)
+    for df in (once, hits):
+        made = [line for line in plan(df).splitlines() if "Generate inline" in line]
+        assert len(made) == 1 and "struct(" not in made[0]
+    assert [r.twice for r in once.collect()] == [2, 4]
+    assert sorted((r.metric, r.reason) for r in hits.collect()) == [("smash_egress_failure_total", "a"), ("smash_egress_success_total", None)]
+
+
+def test_only_requests_that_the_folds_saw_are_looked_up(spark):
+    decided = serve.decide(fixtures.requests(spark, SF_DIR), serve_config())
+    text_ = plan(decided.filter("status = 'rejected'").select("seq", "status"))
+    assert "Window" not in plan(decided) and "Union" in text_
+    accepted = decided.filter("status = 'accepted'")
+    assert "Union" not in plan(accepted) and accepted.count() == decided.count() - decided.filter("status != 'accepted'").count()
+
+
 def test_one_shuffle_and_sort_settles_the_steps(spark):
     text = plan(delivery.settle(fixtures.delivery_steps(spark, SF_DIR)))
     assert text.count("Exchange hashpartitioning") == 1 and text.count("+- Sort [") == 1
