@@ -68,7 +68,9 @@ def metric_rows(df: DataFrame, *counts: Count) -> DataFrame:
         )
         for count in counts
     ]
-    return df.select(F.inline(F.array_compact(F.array(*hits))))
+    # A generator's own expressions are not compiled, so it is given a column.
+    held = df.select(F.array(*hits).alias("_hits"))
+    return held.select(F.inline("_hits")).filter(F.col("metric").isNotNull())
 
 
 def latency_histogram(
