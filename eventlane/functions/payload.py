@@ -111,7 +111,7 @@ def _string_text(typed: Column) -> Column:
 
 
 def _token(typed: Column) -> Column:
-    """(text, is_string) of a typed value; the text is null unless it is a token.
+    """(text, is_string) of a typed value, null without one; the text is null unless it is a token.
 
     A token is a non-blank string, trimmed, or an integer of 64 bits, signed
     or unsigned, as decimal text. ``1.0`` is typed as a decimal of scale 0
@@ -129,7 +129,7 @@ def _token(typed: Column) -> Column:
             number.cast("string"),
         )
     )
-    return F.struct(token.alias("text"), (kind == "STRING").alias("is_string"))
+    return F.when(kind.isNotNull(), F.struct(token.alias("text"), (kind == "STRING").alias("is_string")))
 
 
 def tokens_at(payload: Column | str, paths: Sequence[tuple[str, ...]]) -> Column:

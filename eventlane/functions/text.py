@@ -31,11 +31,6 @@ def ascii_lower(value: Column | str) -> Column:
     return F.translate(_col(value), _UPPER, _LOWER)
 
 
-def without_spaces(value: Column | str) -> Column:
-    """Drop all Unicode white space."""
-    return F.translate(_col(value), SPACE_CHARS, "")
-
-
 def lower_without_spaces(value: Column | str) -> Column:
     """Lower-case A-Z and drop all Unicode white space, in one pass."""
     return F.translate(_col(value), _UPPER + SPACE_CHARS, _LOWER)
